@@ -30,7 +30,7 @@ END_ID = 2
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 #: Words and stems that a worker remembers before it starts over.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_id", pa.int64())])
 DDL = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier bigint, step_id bigint"

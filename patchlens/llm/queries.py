@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing
+from . import common, packing, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -14,6 +14,29 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.documents(spark, sf_dir))
+
+
+#: Of crc32(doc_id as text) modulo HELD_OUT_OF: the remainder whose labels aren't learned from.
+TOXIC_HELD_OUT_OF, LM_HELD_OUT_OF, HELD_OUT = 4, 7, 2
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labels of documents that aren't held out."""
+    return toxicity.train(docs, labels.where(common.bucket(F.col("doc_id"), TOXIC_HELD_OUT_OF) != HELD_OUT))
+
+
+def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", (common.bucket(F.col("doc_id"), TOXIC_HELD_OUT_OF) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
@@ -24,6 +47,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_divergence": op1_quality_divergence,
+    "op6_toxicity_fm": op6_toxicity_fm,
     "op4_packing": op4_packing,
 }
 
