@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality, toxicity
+from . import common, neardup, packing, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -46,10 +46,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.documents(spark, sf_dir))
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op6_toxicity_fm": op6_toxicity_fm,
     "op4_packing": op4_packing,
+    "op9_minhash_neardup": op9_minhash_neardup,
 }
 
 ORACLES: dict[str, str] = {}
