@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, neardup, packing, quality, toxicity
+from . import common, cws, neardup, packing, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -50,9 +50,14 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(common.documents(spark, sf_dir))
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op6_toxicity_fm": op6_toxicity_fm,
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op4_packing": op4_packing,
     "op9_minhash_neardup": op9_minhash_neardup,
 }
