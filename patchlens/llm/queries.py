@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cws, neardup, packing, quality, toxicity
+from . import common, cws, neardup, packing, pii, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -54,10 +54,18 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(common.documents(spark, sf_dir))
 
 
+def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text with pseudonyms, and how many values of each kind were replaced."""
+    done = pii.pseudonymize(common.documents(spark, sf_dir))
+    counts = [F.coalesce(F.size(F.filter("pii", lambda p, k=kind: (p["kind"] == k) & p["pseudonym"].isNotNull())), F.lit(0)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op6_toxicity_fm": op6_toxicity_fm,
     "op2_weighted_sampling": op2_weighted_sampling,
+    "op3_feistel_pii": op3_feistel_pii,
     "op4_packing": op4_packing,
     "op9_minhash_neardup": op9_minhash_neardup,
 }
