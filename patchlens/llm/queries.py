@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cws, neardup, packing, pii, quality, toxicity
+from . import common, cws, lm, neardup, packing, pii, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -61,8 +61,13 @@ def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *counts)
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.documents(spark, sf_dir), LM_HELD_OUT_OF, HELD_OUT)
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_toxicity_fm": op6_toxicity_fm,
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_feistel_pii": op3_feistel_pii,
