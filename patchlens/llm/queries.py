@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cws, lm, neardup, packing, pii, quality, toxicity
+from . import common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -65,6 +65,23 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(common.documents(spark, sf_dir), LM_HELD_OUT_OF, HELD_OUT)
 
 
+def op7_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(common.documents(spark, sf_dir))
+    names = F.array_sort(F.array_distinct("licences.licence"))
+    return found.select("doc_id", F.size("licences").cast("bigint").alias("n_spans"), F.array_join(names, ",").alias("licence_names"), F.coalesce(F.array_max("licences.dice"), F.lit(0.0)).alias("best_dice"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = order.placed(common.documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    slots = order.shards(placed).select("shard", "first_slot", "stride", F.posexplode("slots").alias("i", "s"))
+    return slots.select((F.col("first_slot") + F.col("i")).alias("slot"), "shard", (F.col("i") * F.col("stride")).alias("byte_offset"), F.col("s.number").alias("sequence"), F.col("s.n_tokens").alias("n_tokens"), F.col("s.crc32").alias("ids_crc32"))
+
+
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(common.documents(spark, sf_dir).select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op5_deleted_interpolation": op5_deleted_interpolation,
@@ -72,7 +89,10 @@ QUERIES = {
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_feistel_pii": op3_feistel_pii,
     "op4_packing": op4_packing,
+    "op7_licence_dice": op7_licence_dice,
+    "op8_training_order": op8_training_order,
     "op9_minhash_neardup": op9_minhash_neardup,
+    "op10_pfair_mixing": op10_pfair_mixing,
 }
 
 ORACLES: dict[str, str] = {}
