@@ -236,3 +236,20 @@ def groups(docs: DataFrame) -> DataFrame:
     out = f.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without those that groups() doesn't keep; of rows that share a doc_id one stays.
+
+    Rows without words, or with a null doc_id, stay.
+    """
+    of = common.cut(groups(docs))
+    gone = of.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    several = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"))
+    key = docs["doc_id"].cast("bigint") == F.col("gone_id")
+    few = lambda ids: F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
+    left = docs.join(few(gone), key, "left_anti")
+    if several.isEmpty():
+        return left
+    once = left.join(few(several), left["doc_id"].cast("bigint") == F.col("gone_id"), "left_semi")
+    return left.join(few(several), left["doc_id"].cast("bigint") == F.col("gone_id"), "left_anti").unionByName(once.dropDuplicates(["doc_id"]))

@@ -37,6 +37,20 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.bucket(F.col("doc_id"), TOXIC_HELD_OUT_OF) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity_model(docs, _labels(spark, sf_dir)))
+
+
+def without_pii(docs: DataFrame) -> DataFrame:
+    """n_chars is that of the new text: an IPv4 address may have become longer or shorter."""
+    done = pii.pseudonymize(docs).drop("pii")
+    return done.withColumn("n_chars", F.length("text").cast(done.schema["n_chars"].dataType)) if "n_chars" in done.columns else done
+
+
+def in_mixed_order(docs: DataFrame) -> DataFrame:
+    return mixing.ordered(mixing.mix(docs))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")

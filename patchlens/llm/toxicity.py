@@ -166,5 +166,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below THRESHOLD. Rows are handled as score() does."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            keep = []
+            for (text,) in common.rows(iter([batch]), "text"):
+                terms = terms_of(text)
+                slots = m.slot[np.fromiter(terms, np.int64, len(terms))]
+                keep.append(m.score(slots[slots > 0]) < THRESHOLD)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     return fit(sample(docs, labels, max_docs))
