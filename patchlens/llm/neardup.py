@@ -5,12 +5,12 @@
    non-empty bin in a fixed random order of its own (optimal densification). BANDS groups of ROWS bins give bucket keys.
    A pair at the threshold shares a bucket with probability 1 - (1 - 0.75^4)^32, all but 6 in a million.
 2. Documents with equal sets form a class, of which the smallest doc_id goes on. So copies cost one row, not pairs.
-3. In each bucket of several classes the smallest member is the centre, and each other member makes one candidate edge
-   with it. Edges are confirmed on the full sets. Links give components by label propagation.
+3. In each bucket of several classes the member whose buckets hold the most others (the likely origin of a group of copies) is
+   the centre, and each other member makes one candidate edge with it. Edges are confirmed on the full sets. Links give components by label propagation.
 4. Members that aren't in their centre's component may still link with other members. Jaccard distance is a metric, so
-   distances to the centre tell which: only those whose distances differ by no more than the threshold's. They form a
-   smaller bucket around the next centre, a straggler, then around blocks of them, until every bucket is settled. So no link between
-   different components is lost in a bucket, without all pairs of a group: members that are connected aren't compared.
+   distances to the centre tell which: only those whose distances differ by no more than the threshold's. What a bucket
+   has left is settled on the full sets in one task, or in blocks; members of one component aren't compared, and only
+   links that connect components leave the task. So no link between components is given up for a bucket's size.
 
 Sets are made again from whole texts for the documents in the edges to confirm; they aren't stored for the others.
 """
@@ -18,13 +18,12 @@ Sets are made again from whole texts for the documents in the edges to confirm;
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,8 +34,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: So many ids are broadcast at most (16 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_IDS = 2_000_000
-#: Centres of a bucket in the first rounds; each further round has four times as many as the one before.
-CENTRES = (1, 1, 16)
+#: Members of a bucket that are settled together; a larger bucket is cut into blocks, and every two blocks meet.
+SETTLE_MEMBERS = 2048
 
 _U = np.uint64
 _ORDERS = np.random.default_rng(11).integers(0, BINS, (2048, BINS))  # attempts x bins: where an empty bin looks
@@ -98,10 +97,11 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in schema]
             for doc_id, text in common.rows(iter([batch]), "doc_id", "text"):
-                s = shingles(text)
-                digest, keys = (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(signature(s))) if len(s) else (None, [])
+                s, digest, keys = shingles(text), None, []
+                if len(s):
+                    digest, keys = hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(signature(s))
                 for c, v in zip(columns, (doc_id, len(s), digest, keys)):
                     c.append(v)
             yield common.emit(schema, columns)
@@ -163,50 +163,67 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _close(a, b):
-    """Whether distances to one centre allow a link: they differ by at most the threshold's (and rounding), or aren't known."""
-    return a.isNull() | b.isNull() | (F.abs(a - b) <= (100 - PERCENT) / 100 + 1e-9)
+def _settle(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """state: key, id, n, label. Links (a, b) that join what is linked within a bucket: as many as components grow together.
+
+    The full sets of a bucket's members meet in one task, or of two blocks of a bucket's, so its memory is bounded. Only
+    links leave it.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def one(table: pa.Table) -> pa.Table:
+        ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
+        flat = np.frombuffer(b"".join(table.column("shingles").to_pylist()), _U)
+        _, flat = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(n)
+        starts, label, mark, out = ends - n, label.copy(), np.zeros(flat.max() + 1, bool), []
+        for i in range(len(ids) - 1):
+            rest = np.flatnonzero((label[i + 1:] != label[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= PERCENT * np.maximum(n[i], n[i + 1:]))) + i + 1
+            if not len(rest):
+                continue
+            mark[flat[starts[i]: ends[i]]] = True
+            both = np.add.reduceat(mark[flat[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)[rest - i - 1]
+            mark[flat[starts[i]: ends[i]]] = False
+            for j in rest[100 * both >= PERCENT * (n[i] + n[rest] - both)]:
+                if label[j] != label[i]:
+                    out.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], schema=schema)
+
+    sets = _sets(docs, common.cut(state.select("id").distinct()))
+    sizes = state.groupBy("key").agg(F.ceil(F.count("*") / SETTLE_MEMBERS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = state.join(sizes, "key").select("key", "id", "n", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("meeting"), "id", "n", "label")
+    return dealt.join(sets, "id").groupBy("meeting").applyInArrow(one, "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members: key, id, n (the set's size). The confirmed links (a, b) and the components (id, label) that they make."""
+    """members: key, id, n (the set's size), rank (the least is the centre). Confirmed links (a, b), enough to connect what is linked, and the components (id, label)."""
     spark = docs.sparkSession
-    seen = spark.createDataFrame([], "a bigint, b bigint, both bigint, either bigint")
-    found, label = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "id bigint, label bigint")
+    label = spark.createDataFrame([], "id bigint, label bigint")
+    centres = members.groupBy("key").agg(F.min(F.struct("rank", "id", "n")).alias("c"))
+    pairs = common.cut(members.join(centres, "key").where("id <> c.id").select("key", "id", "n", F.col("c.id").alias("c"), F.col("c.n").alias("cn")))
     fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * PERCENT
-    # d: the distance to the bucket's pivot, null if it wasn't asked for. A straggler is in another component than the pivot.
-    state = members.select("key", "id", "n", F.lit(None).cast("double").alias("d"), F.lit(True).alias("straggler"), F.col("id").alias("label"), F.lit(None).cast("bigint").alias("pivot"))
-    for at in itertools.count():
-        block = CENTRES[min(at, len(CENTRES) - 1)] * 4 ** max(0, at + 1 - len(CENTRES))
-        if block == 1:
-            centres = state.where("straggler").groupBy("key").agg(F.min(F.struct("id", "n", "d", "label")).alias("c"))
-        else:
-            first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            centres = state.where("straggler").withColumn("at", first).where(F.col("at") <= block).select("key", F.struct("id", "n", "d", "label").alias("c"))
-        pairs = state.join(centres, "key").where("id <> c.id").select("key", "id", "n", "d", "label", "pivot", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), F.col("c.d").alias("cd"), F.col("c.label").alias("clabel"))
-        asked = pairs.where(fits & _close(F.col("d"), F.col("cd")) & (F.col("label") != F.col("clabel"))).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        new = common.cut(asked.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            got = common.cut(confirm(docs, new))
-            seen = common.cut(seen.union(got))
-            linked = got.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("a", "b")
-            if not linked.isEmpty():
-                found = common.cut(found.union(linked))
-                label = components(found)
-        # The next buckets: the stragglers, and those of the pivot's component that a straggler may link with.
-        if block == 1:
-            known = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("dist"))
-            rest = pairs.select("key", "id", "n", F.col("c").alias("pivot"), F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).join(known, ["a", "b"], "left").select("key", "id", "n", F.col("dist").alias("d"), "pivot")
-        else:
-            rest = state.join(centres.select("key", F.col("c.id").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n", "d", "pivot")
-        rest = rest.join(label.withColumnRenamed("label", "l1"), "id", "left").join(label.select(F.col("id").alias("pivot"), F.col("label").alias("l2")), "pivot", "left")
-        rest = common.cut(rest.select("key", "id", "n", "d", F.coalesce("l1", "id").alias("label"), "pivot", (F.coalesce("l1", "id") != F.coalesce("l2", "pivot")).alias("straggler")))
-        reach = rest.where("straggler").groupBy("key").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
-        kept = rest.join(reach, "key").where(F.col("straggler") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - (100 - PERCENT) / 100 - 1e-9))
-        several = kept.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-        state = common.cut(kept.join(several, "key", "left_semi").select("key", "id", "n", "d", "straggler", "label", "pivot"))
-        if state.isEmpty():
-            return found, label
+    asked = common.cut(pairs.where(fits).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct())
+    seen = common.cut(confirm(docs, asked))
+    found = seen.where(F.col("both") * 100 >= F.col("either") * PERCENT).select("a", "b")
+    if not found.isEmpty():
+        label = components(found)
+    # What is left of a bucket: those in another component than the centre, and those of the centre's that may link with one.
+    known = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+    now = pairs.select("key", "id", "n", "c", F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).join(known, ["a", "b"], "left")
+    now = now.join(label.withColumnRenamed("label", "l1"), "id", "left").join(label.select(F.col("id").alias("c"), F.col("label").alias("l2")), "c", "left")
+    now = common.cut(now.select("key", "id", "n", "d", F.coalesce("l1", "id").alias("label"), (F.coalesce("l1", "id") != F.coalesce("l2", "c")).alias("straggler")))
+    reach = now.groupBy("key").agg(F.min(F.when(F.col("straggler"), F.coalesce("d", F.lit(0.0)))).alias("nearest"), F.min("label").alias("least"), F.max("label").alias("most")).where("nearest IS NOT NULL AND least < most")
+    near = F.col("straggler") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - (100 - PERCENT) / 100 - 1e-9)
+    state = common.cut(now.join(reach, "key").where(near).select("key", "id", "n", "label"))
+    if not state.isEmpty():
+        more = common.cut(_settle(docs, state))
+        if not more.isEmpty():
+            found = found.union(more)
+            label = components(found)
+    return found, label
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -223,8 +240,10 @@ def groups(docs: DataFrame) -> DataFrame:
     of = common.cut(known.select("doc_id", "digest", "n_shingles").join(copies, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     reps = known.join(copies, "digest", "left").where(F.coalesce("rep", "doc_id") == F.col("doc_id")).dropDuplicates(["digest"])
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = common.cut(banded.join(shared, "key").select("key", F.col("doc_id").alias("id"), "n"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = common.cut(banded.join(shared, "key").select("key", F.col("doc_id").alias("id"), "n", "size"))
+    met = members.groupBy("id").agg((-F.sum("size")).alias("rank"))
+    members = common.cut(members.join(met, "id").select("key", "id", "n", "rank"))
     found, label = links(docs, members)
     # A document of several texts, and so of several classes, ties them together.
     ties = of.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
