@@ -71,7 +71,12 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text with pseudonyms, and how many values of each kind were replaced."""
     done = pii.pseudonymize(common.documents(spark, sf_dir))
-    counts = [F.coalesce(F.size(F.filter("pii", lambda p, k=kind: (p["kind"] == k) & p["pseudonym"].isNotNull())), F.lit(0)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+
+    def of(kind: str):
+        replaced = F.filter("pii", lambda p: (p["kind"] == kind) & p["pseudonym"].isNotNull())
+        return F.when(F.size("pii") > 0, F.size(replaced)).otherwise(0).cast("bigint").alias(f"n_{kind}")
+
+    counts = [of(kind) for kind in pii.KINDS]
     return done.select("doc_id", "text", *counts)
 
 
