@@ -1,0 +1 @@
+"""patchlens: risk review of code-change sets as Spark DataFrames."""
