@@ -88,7 +88,7 @@ def rules(score: Column) -> Callable[[DataFrame], DataFrame]:
     """A scorer of one expression over a chunk's columns, without a model."""
 
     def run(chunks: DataFrame) -> DataFrame:
-        reply = F.to_json(F.struct(score.alias("risk_score"), F.lit("").alias("reasoning")))
+        reply = F.to_json(F.named_struct(F.lit("risk_score"), score, F.lit("reasoning"), F.lit("")))
         return chunks.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.explode(F.array(F.lit(1), F.lit(2))).alias("look"), F.lit(1).alias("call_no"), F.lit("ok").alias("kind"), reply.alias("content"))
 
     return run

@@ -7,11 +7,12 @@ import subprocess
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _replaced(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: bytes(b).decode("utf-8", "replace"), na_action="ignore")
 
