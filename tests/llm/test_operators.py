@@ -136,7 +136,7 @@ def test_fingerprints(docs, none):
 
 
 def test_pii_formats(spark):
-    texts = ["call +1 (743) 555-3824 or a.b@c.org", "4962251213359604 4962251213359605", "227.5.221.1", "2024-02-29", None, "", "plain", "DE89370400440532013000"]
+    texts = ["call +1 (743) 555-3824 or a.b@c.org", "4962251213359604 4962251213359605", "227.5.221.1", "2024-02-29", None, "", "plain", "DE89370400440532013000", "283 4962251213359604 and 1234 4962251213359604"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 2)], "doc_id bigint, text string, pii string")
     out = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
     for i, t in enumerate(texts):
@@ -146,6 +146,7 @@ def test_pii_formats(spark):
     digits = [int(c) for c in card[0][::-1]]
     assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0 and card[0] != "4962251213359604" and card[1] == "4962251213359605"
     assert "555-3824" not in out[0].text and "a.b@" not in out[0].text and out[0].text.endswith("@c.org")
+    assert out[8].text == f"283 {card[0]} and 1234 {card[0]}"  # a number beside another
     iban = out[7].text
     assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
