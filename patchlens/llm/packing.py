@@ -29,8 +29,8 @@ END_ID = 2
 #: Tokens of a window and of a step group.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
-#: Words and stems that a worker remembers before it starts over.
-CACHE_WORDS = 800_000
+#: Words and stems that a worker remembers before it starts over: about 200 bytes each, beside other operators' caches.
+CACHE_WORDS, CACHE_STEMS = 500_000, 300_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_id", pa.int64())])
 DDL = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier bigint, step_id bigint"
@@ -65,7 +65,7 @@ class WordTokenizer(dict):
     def stem(self, word: str) -> bytes:
         got = self.stems.get(word)
         if got is None:
-            if len(self.stems) > CACHE_WORDS:
+            if len(self.stems) > CACHE_STEMS:
                 self.stems.clear()
             pieces = self.whole.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
             got = self.stems[word] = np.array([p.id for p in pieces], "<u4").tobytes()

@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 #: so many standard errors: chance differences of rare terms would else drown the rest in long documents.
 MIN_DOCS, MIN_Z = 3, 4.0
 EPOCHS, BATCH, RATE, L2, SEED = 12, 64, 0.1, 1e-3, 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FIELD = "_label"
 
