@@ -377,7 +377,12 @@ def reports(spark, d):
 @query("a12_robustness")
 def a12(spark, d):
     diffs = virtual.diffs(spark, d)
-    judge = lambda x: plans.scan(x, score.rules(F.least(F.lit(100), 10 * F.size(C.keywords(F.col("text"))))), CFG).select("diff_id", "verdict")
+
+    def judge(x: DataFrame) -> DataFrame:
+        """By the most urgent file alone; the whole review is scan_full's."""
+        files = parse.files(parse.hunk_lines(parse.lines(x, "raw")))
+        return files.groupBy("diff_id").agg(C.verdict(C.verdict_rank(F.max(C.priority(F.col("path"), F.col("added"))))).alias("verdict"))
+
     return evaluate.change_rate(evaluate.robustness(diffs, judge), diffs)
 
 
