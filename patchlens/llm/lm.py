@@ -7,10 +7,14 @@ the training documents fall into two parts, and the tokens of each are held out
 first token's context is the end of the text before.
 
 Counting without moving tokens. One pass packs documents into chunks of about CHUNK_TOKENS tokens: their distinct words (as
-64-bit hashes, the most frequent first) and the tokens as indexes. From then on, only each chunk's distinct words and
-bigrams travel, as sorted blobs of hashes, one for each chunk and slice of the hash range: a slice is summed over all
-chunks in one task, and the totals go back to the chunks that asked for them. A word as frequent as may be adds one
-entry for each chunk, so no key is hot, and the number of slices grows with the number of chunks. All counts cover all training documents.
+64-bit hashes, the most frequent first) and the tokens as indexes, and deals the chunks out by their number. From then on, only
+each chunk's distinct words and bigrams travel, as sorted blobs of hashes, one for each chunk and slice of the hash range:
+a slice is summed over all chunks in one task, and the totals go back to where the chunks that asked for them lie. A word
+as frequent as may be adds one entry for each chunk, so no key is hot, and the number of slices grows with the number of
+chunks. All counts cover all training documents.
+
+Words have hashes of 64 bits. Bigrams have as many bits as the corpus needs for a bigram to share its hash with any other
+at a chance of SHARED at most, whatever the size of the corpus (64 bits from 2 ** 44 tokens on).
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from . import common
 CHUNK_TOKENS = 1_500_000
 #: Chunks for each slice of the hash range: a slice then holds about as many entries as so many chunks have distinct ones.
 CHUNKS_PER_SLICE = 1
+#: log2 of the chance that a bigram's hash is another's, too.
+SHARED = -20
 BUCKETS = 34
 #: The histogram from which the weights are learned has so many steps for each factor of two of an estimate.
 STEPS, LEVELS = 4, 40
@@ -56,10 +62,23 @@ def _undelta(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U)
 
 
-def bigram_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def bigram_bits(n_tokens: int) -> int:
+    return min(64, n_tokens.bit_length() - SHARED)
+
+
+def bigram_hash(v: np.ndarray, w: np.ndarray, bits: int = 64) -> np.ndarray:
     h = v * _U(0x9E3779B97F4A7C15) + (w ^ (w >> _U(31))) * _U(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(32))
+    return (h ^ (h >> _U(32))) >> _U(64 - bits)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Of non-negative counts, as uint32 (larger ones as the largest), byte by byte: most are small."""
+    return _pack(np.minimum(n, 0xFFFFFFFF).astype(np.uint32).ravel().view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return _unpack(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
 class Chunk:
@@ -80,17 +99,17 @@ class Chunk:
         part = np.repeat(self.parts, self.lengths)
         return np.stack([np.bincount(self.tokens[part == k], minlength=len(self.words)) for k in (0, 1)])
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def bigrams(self, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct hashes, the counts of parts 0 and 1, a token's place among them, and one token of each."""
         v, w = self.words[self.contexts()], self.words[self.tokens]
-        hashes, first, inverse = np.unique(bigram_hash(v, w), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(bigram_hash(v, w, bits), return_index=True, return_inverse=True)
         part = np.repeat(self.parts, self.lengths)
         return hashes, np.stack([np.bincount(inverse[part == k], minlength=len(hashes)) for k in (0, 1)]), inverse, first
 
 
 def _chunks(docs: DataFrame, held_out_of: int, held_out: int) -> DataFrame:
-    """One row for each chunk: chunk, ids, lengths, parts, words, tokens (packed)."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("parts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
+    """One row for each chunk: chunk, n_tokens, ids, lengths, parts, words, tokens (packed)."""
+    schema = pa.schema([("chunk", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("parts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
 
     def part_of(doc_id: int | None) -> int:
         r = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 0
@@ -116,7 +135,7 @@ def _chunks(docs: DataFrame, held_out_of: int, held_out: int) -> DataFrame:
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             lengths = np.array([1 if t is None else len(t) + 1 for t in docs_tokens], np.uint32)
-            out = common.emit(schema, [[base + n], [ids], [_pack(lengths)], [_pack(np.array(parts, np.uint8))], [_pack(hashes[order])], [_pack(rank[tokens].view(np.uint8).reshape(-1, 4).T)]])
+            out = common.emit(schema, [[base + n], [len(tokens)], [ids], [_pack(lengths)], [_pack(np.array(parts, np.uint8))], [_pack(hashes[order])], [_pack_counts(rank[tokens])]])
             at, ids, docs_tokens, parts, n = {}, [], [], [], n + 1
             return out
 
@@ -133,12 +152,11 @@ def _chunks(docs: DataFrame, held_out_of: int, held_out: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "chunk bigint, ids array<bigint>, lengths binary, parts binary, words binary, tokens binary")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "chunk bigint, n_tokens bigint, ids array<bigint>, lengths binary, parts binary, words binary, tokens binary")
 
 
 def _chunk(row: dict) -> Chunk:
-    tokens = _unpack(row["tokens"], np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-    return Chunk(_unpack(row["words"], _U), tokens.astype(np.int64), _unpack(row["lengths"], np.uint32).astype(np.int64), _unpack(row["parts"], np.uint8))
+    return Chunk(_unpack(row["words"], _U), _unpack_counts(row["tokens"]).astype(np.int64), _unpack(row["lengths"], np.uint32).astype(np.int64), _unpack(row["parts"], np.uint8))
 
 
 def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -147,12 +165,13 @@ def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-_BLOBS = pa.schema([("slice", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("chunk", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary()), ("sum0", pa.int64()), ("sum1", pa.int64()), ("known", pa.int64())])
+WORDS, BIGRAMS = 0, 1
+_BLOBS = pa.schema([("kind", pa.int64()), ("slice", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_TOTALS = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary()), ("sum0", pa.int64()), ("sum1", pa.int64()), ("known", pa.int64())])
 
 
-def _totals(chunks: DataFrame, slices: int, bigrams: bool) -> DataFrame:
-    """chunk, slice, counts: the totals (2 x entries, int64 as uint32) of the chunk's entries in the slice, in order of their hashes.
+def _totals(chunks: DataFrame, slices: int, bits: int) -> DataFrame:
+    """chunk, kind, slice, counts: the totals (2 x entries) of the chunk's words or bigrams in the slice, in order of their hashes.
 
     sum0, sum1 and known are the slice's own totals, given with one of its rows: tokens of parts 0 and 1, and distinct
     entries that occur in training.
@@ -161,44 +180,44 @@ def _totals(chunks: DataFrame, slices: int, bigrams: bool) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _dicts(batches):
             c = _chunk(row)
-            if bigrams:
-                hashes, counts = c.bigrams()[:2]
-            else:
-                order = np.argsort(c.words)
-                hashes, counts = c.words[order], c.word_counts()[:, order]
-            cuts = np.searchsorted(hashes, np.array([(i << 64) // slices for i in range(1, slices)], _U)) if slices > 1 else []
-            for k, (h, n) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts, axis=1))):
-                if len(h):
-                    yield common.emit(_BLOBS, [[k], [row["chunk"]], [_delta(h)], [_pack(n.astype(np.uint32))]])
+            order = np.argsort(c.words)
+            for kind, width, (hashes, counts) in ((WORDS, 64, (c.words[order], c.word_counts()[:, order])), (BIGRAMS, bits, c.bigrams(bits)[:2])):
+                cuts = np.searchsorted(hashes, np.array([(i << width) // slices for i in range(1, slices)], _U)) if slices > 1 else []
+                for k, (h, n) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts, axis=1))):
+                    if len(h):
+                        yield common.emit(_BLOBS, [[kind], [k], [row["chunk"]], [_delta(h)], [_pack_counts(n)]])
 
     def total(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         hashes = [_undelta(r["hashes"]) for r in rows]
         all_hashes, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.concatenate([_unpack(r["counts"], np.uint32).reshape(2, -1) for r in rows], axis=1)
+        counts = np.concatenate([_unpack_counts(r["counts"]).reshape(2, -1) for r in rows], axis=1)
         sums = np.stack([np.bincount(back, counts[k], len(all_hashes)) for k in (0, 1)]).astype(np.int64)
         at, out = 0, [[] for _ in _TOTALS]
         for i, (r, h) in enumerate(zip(rows, hashes)):
             mine = sums[:, back[at: at + len(h)]]
             at += len(h)
             own = (sums[0].sum(), sums[1].sum(), int((sums.sum(0) > 0).sum())) if i == 0 else (0, 0, 0)
-            for c, v in zip(out, (r["chunk"], r["slice"], _pack(np.minimum(mine, 0xFFFFFFFF).astype(np.uint32)), *own)):
+            for c, v in zip(out, (r["chunk"], r["kind"], r["slice"], _pack_counts(mine), *own)):
                 c.append(v)
         return pa.Table.from_batches([common.emit(_TOTALS, out)])
 
-    blobs = chunks.mapInArrow(spread, "slice bigint, chunk bigint, hashes binary, counts binary")
-    return blobs.groupBy("slice").applyInArrow(total, "chunk bigint, slice bigint, counts binary, sum0 bigint, sum1 bigint, known bigint")
+    blobs = chunks.mapInArrow(spread, "kind bigint, slice bigint, chunk bigint, hashes binary, counts binary")
+    return blobs.groupBy("kind", "slice").applyInArrow(total, "chunk bigint, kind bigint, slice bigint, counts binary, sum0 bigint, sum1 bigint, known bigint")
 
 
-def _gather(chunks: DataFrame, totals: DataFrame, name: str) -> DataFrame:
-    """chunks with the totals of a chunk's entries in one blob."""
+def _placed(df: DataFrame, partitions: int) -> DataFrame:
+    """df cut by a checkpoint that knows that it's dealt out by chunk: such ones meet without another shuffle.
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
-        blob = _pack(np.concatenate([_unpack(r["counts"], np.uint32).reshape(2, -1) for r in rows], axis=1))
-        return pa.Table.from_batches([common.emit(pa.schema([("chunk", pa.int64()), (name, pa.binary())]), [[rows[0]["chunk"]], [blob]])])
-
-    return chunks.join(totals.select("chunk", "slice", "counts").groupBy("chunk").applyInArrow(one, f"chunk bigint, {name} binary"), "chunk")
+    Spark forgets that of an adaptive plan, so the plan isn't one.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return common.cut(df.repartition(partitions, "chunk"))
+    finally:
+        conf.set(key, before)
 
 
 def bucket_of(context_counts: np.ndarray) -> np.ndarray:
@@ -210,15 +229,15 @@ def _ratio(a: np.ndarray, b) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=np.asarray(b) > 0)
 
 
-def _estimates(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _estimates(chunk: pa.Table, totals: pa.Table, bits: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk, its words' totals and its bigrams' totals (2 x entries), local counts, a token's bigram, and each bigram's words."""
-    c = _chunk(row)
-    order = np.argsort(c.words)
-    words = np.empty((2, len(c.words)), np.int64)
-    words[:, order] = _unpack(row["word_totals"], np.uint32).reshape(2, -1)
-    pairs = _unpack(row["bigram_totals"], np.uint32).reshape(2, -1).astype(np.int64)
-    _, local, inverse, first = c.bigrams()
-    return c, words, pairs, local, inverse, c.contexts()[first], c.tokens[first]
+    c = _chunk(chunk.to_pylist()[0])
+    rows = sorted(totals.select(["kind", "slice", "counts"]).to_pylist(), key=lambda r: r["slice"])
+    of = [np.concatenate([_unpack_counts(r["counts"]).reshape(2, -1) for r in rows if r["kind"] == kind], axis=1).astype(np.int64) for kind in (WORDS, BIGRAMS)]
+    words = np.empty_like(of[WORDS])
+    words[:, np.argsort(c.words)] = of[WORDS]
+    _, local, inverse, first = c.bigrams(bits)
+    return c, words, of[BIGRAMS], local, inverse, c.contexts()[first], c.tokens[first]
 
 
 def level(p: np.ndarray) -> np.ndarray:
@@ -259,43 +278,43 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame
     a row each. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks = common.cut(_chunks(docs, held_out_of, held_out))
-    slices = max(1, chunks.count() // CHUNKS_PER_SLICE)
-    words = common.cut(_totals(chunks, slices, False))
-    t = words.agg(F.sum("sum0").alias("n0"), F.sum("sum1").alias("n1"), F.sum("known").alias("v")).first()
+    dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = _placed(_chunks(docs, held_out_of, held_out), dealt)
+    size = chunks.agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens")).first()
+    slices, bits = max(1, size["chunks"] // CHUNKS_PER_SLICE), bigram_bits(size["tokens"] or 0)
+    totals = _placed(_totals(chunks, slices, bits), dealt)
+    t = totals.where(F.col("kind") == WORDS).agg(F.sum("sum0").alias("n0"), F.sum("sum1").alias("n1"), F.sum("known").alias("v")).first()
     n0, n1, v = (int(x or 0) for x in (t["n0"], t["n1"], t["v"]))
     total = np.array([n0, n1])
-    ready = common.cut(_gather(_gather(chunks, words, "word_totals"), _totals(chunks, slices, True), "bigram_totals"))
-
-    def held_out_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for row in _dicts(batches):
-            _, w, p, local, _, context, word = _estimates(row)
-            for held in (0, 1):
-                own = np.flatnonzero(local[held])
-                c, base = w[1 - held][context[own]], max(1, total[1 - held])
-                keys = (bucket_of(c) * 1024 + level(_ratio(p[1 - held][own], c))) * 1024 + level(w[1 - held][word[own]] / base)
-                k, back = np.unique(keys, return_inverse=True)
-                for key, n in zip(k.tolist(), np.bincount(back, local[held][own]).tolist()):
-                    seen[key] = seen.get(key, 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+    both = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk"))
+
+    def held_out_counts(chunk: pa.Table, own_totals: pa.Table) -> pa.Table:
+        _, w, p, local, _, context, word = _estimates(chunk, own_totals, bits)
+        keys, counts = [], []
+        for held in (0, 1):
+            own = np.flatnonzero(local[held])
+            c, base = w[1 - held][context[own]], max(1, total[1 - held])
+            keys.append((bucket_of(c) * 1024 + level(_ratio(p[1 - held][own], c))) * 1024 + level(w[1 - held][word[own]] / base))
+            counts.append(local[held][own])
+        k, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return pa.table({"key": pa.array(k, pa.int64()), "n": pa.array(np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64), pa.int64())})
 
     # At most BUCKETS x (STEPS x LEVELS + 2)^2 rows, whatever the size of the corpus.
-    rows = ready.mapInArrow(held_out_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = both.applyInArrow(held_out_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
     histogram = np.array([(r["key"] >> 20, (r["key"] >> 10) & 1023, r["key"] & 1023, r["n"]) for r in rows], np.int64).reshape(-1, 4)
     weights = learn(histogram, 1 / (v + 1))
     n = n0 + n1
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _dicts(batches):
-            c, w, p, _, inverse, context, word = _estimates(row)
-            w, p = w.sum(0), p.sum(0)
-            base = np.log10((w + 1) / (n + v + 1))[c.tokens]
-            lam = weights[bucket_of(w[context])]
-            mixed = np.log10(lam[:, 0] * _ratio(p, w[context]) + lam[:, 1] * _ratio(w[word], n) + lam[:, 2] / (v + 1))[inverse]
-            starts = np.r_[0, np.cumsum(c.lengths)[:-1]]
-            add = lambda x: np.add.reduceat(x, starts).tolist()
-            yield common.emit(schema, [row["ids"], (c.parts == 2).tolist(), c.lengths.tolist(), add((w > 0)[c.tokens].astype(np.int64)), [n] * len(starts), add(base), add(mixed)])
-
-    return ready.mapInArrow(scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    def scores(chunk: pa.Table, own_totals: pa.Table) -> pa.Table:
+        c, w, p, _, inverse, context, word = _estimates(chunk, own_totals, bits)
+        w, p = w.sum(0), p.sum(0)
+        base = np.log10((w + 1) / (n + v + 1))[c.tokens]
+        lam = weights[bucket_of(w[context])]
+        mixed = np.log10(lam[:, 0] * _ratio(p, w[context]) + lam[:, 1] * _ratio(w[word], n) + lam[:, 2] / (v + 1))[inverse]
+        starts = np.r_[0, np.cumsum(c.lengths)[:-1]]
+        add = lambda x: np.add.reduceat(x, starts).tolist()
+        ids = chunk.column("ids").to_pylist()[0]
+        return pa.Table.from_batches([common.emit(schema, [ids, (c.parts == 2).tolist(), c.lengths.tolist(), add((w > 0)[c.tokens].astype(np.int64)), [n] * len(starts), add(base), add(mixed)])])
+
+    return both.applyInArrow(scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
