@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -63,6 +64,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself. Its session sends at most BATCH_BYTES at once to Python, unless it says itself how many.
+
+    Ten thousand rows, the usual batch, of texts or sets take a worker and the JVM beside it hundreds of MB.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def bucket(column, n: int):
     """crc32 of an id as text, modulo n (a null id falls to bucket 0)."""
     return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % n, F.lit(0))

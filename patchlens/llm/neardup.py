@@ -106,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield common.emit(schema, columns)
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             got = [(i, shingles(text).tobytes()) for i, text in common.rows(iter([batch]), "id", "text")]
             yield common.emit(schema, [[g[0] for g in got], [g[1] for g in got]])
 
-    return found.mapInArrow(run, "id bigint, shingles binary")
+    return common.small_batches(found).mapInArrow(run, "id bigint, shingles binary")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:

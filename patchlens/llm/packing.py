@@ -239,4 +239,4 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
                 yield from flush(False)
         yield from flush(True)
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, DDL)
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, DDL)

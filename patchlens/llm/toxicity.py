@@ -72,12 +72,9 @@ class Terms(dict):
         return got
 
 
-_TERMS = Terms()
-
-
-def terms_of(text: str | None) -> set[int]:
+def terms_of(text: str | None, known: Terms) -> set[int]:
     out: set[int] = set()
-    for got in map(_TERMS.__getitem__, set(common.lower_words_of(text))):
+    for got in map(known.__getitem__, set(common.lower_words_of(text))):
         out.update(got)
     return out
 
@@ -135,12 +132,13 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -
     bounded = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # at most 16 bytes times max_docs are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms()
         for batch in batches:
-            got = [(np.array(sorted(terms_of(text)), "<i4").tobytes(), label) for text, label in common.rows(iter([batch]), "text", FIELD)]
+            got = [(np.array(sorted(terms_of(text, known)), "<i4").tobytes(), label) for text, label in common.rows(iter([batch]), "text", FIELD)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32())], ["terms", FIELD])
 
     joined = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(F.broadcast(bounded), "doc_id").select("doc_id", "text", FIELD)
-    found = joined.select("text", FIELD).mapInArrow(run, f"terms binary, {FIELD} int").collect()
+    found = common.small_batches(joined).select("text", FIELD).mapInArrow(run, f"terms binary, {FIELD} int").collect()
     return [(np.frombuffer(r[0], "<i4"), min(1, max(0, r[1]))) for r in sorted(found)]
 
 
@@ -153,17 +151,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, known = sent.value, Terms()
         for batch in batches:
             ids, scores = [], []
             for doc_id, text in common.rows(iter([batch]), "doc_id", "text"):
-                terms = terms_of(text)
+                terms = terms_of(text, known)
                 slots = m.slot[np.fromiter(terms, np.int64, len(terms))]
                 ids.append(doc_id)
                 scores.append(m.score(slots[slots > 0]))
             yield common.emit(schema, [ids, scores, [int(s >= THRESHOLD) for s in scores]])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,16 +169,16 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, known = sent.value, Terms()
         for batch in batches:
             keep = []
             for (text,) in common.rows(iter([batch]), "text"):
-                terms = terms_of(text)
+                terms = terms_of(text, known)
                 slots = m.slot[np.fromiter(terms, np.int64, len(terms))]
                 keep.append(m.score(slots[slots > 0]) < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
