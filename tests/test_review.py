@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchlens.config import Config, ConfigError, fit_max_chars
 from patchlens.functions import columns as C
 from patchlens.operators import classify, evaluate, pack, parse, render, score
+from patchlens.plans import queries
 from patchlens.plans.scan import scan
 
 
@@ -140,3 +141,13 @@ def test_perturbations_and_leaks(spark):
     assert evaluate.reorder(df).first().raw == "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ 2\n+beta\n@@ 1\n+alpha alpha beta\n"
     names = spark.createDataFrame([("prompt_injection",), ("reverse_shell",)], "name string")
     assert [r.contaminated for r in evaluate.contaminated(names, F.lit("a prompt here")).collect()] == [True, False]
+
+
+def test_robustness_judges_by_the_whole_review(spark, tmp_path):
+    """A blank line pushes a file over the budget of a chunk: truncated, it needs a person."""
+    path, doc_id = "tests/test_module.py", 12
+    head = f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n@@ -1 +1 @@\n+\n"
+    rows = [(doc_id, "x" * (queries.CFG.max_chars - 1 - len(head)))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = queries.a12(spark, str(tmp_path)).first()
+    assert (r.diffs, r.changed, r.rate) == (1, 1, 1.0)
