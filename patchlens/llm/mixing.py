@@ -3,8 +3,8 @@
 Each source's documents, in a keyed random order, form blocks of BLOCK_DOCS. With target weight w, block k of a source has
 release time floor(k / w) and deadline ceil((k + 1) / w), in slots of one block each. Earliest deadline first over these
 windows meets every deadline, as the weights sum to 1; so at any slot each source has got within less than one block of
-its weight's share. Weights are rounded to q / PERIOD, and the schedule repeats after PERIOD slots: one period is
-laid out on the driver, and a block's slot is arithmetic on its number from then on.
+its weight's share. Weights are taken as exact fractions, so nothing drifts, however long the mix and however small a weight. The
+driver lays blocks out in stretches, with one number for each source in memory, and hands each stretch over as a file.
 
 Every document gets a slot; none is dropped or repeated. The shares hold up to the horizon, the first slot for which a source has
 no block left; after it the other sources' blocks keep their order.
@@ -16,7 +16,13 @@ one task.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +30,13 @@ from . import common
 
 BLOCK_DOCS = 64
 PERIOD = 4096
+#: Blocks that the driver lays out at once.
+STRETCH = 1 << 18
 #: Documents for each bucket of the hash.
 BUCKET_DOCS = 20_000
 NO_SOURCE = "(none)"
 OTHERS = "(others)"
+_MIX = "struct<block: bigint, position: bigint, slot: bigint, release: bigint, deadline: bigint, in_mix: boolean>"
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -41,74 +50,94 @@ def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period: source, block number, slot, release, deadline. Earliest deadline first, ties by source."""
-    period = sum(quota.values())
-    window = {s: (lambda k, q=q: (k * period // q, -(-(k + 1) * period // q))) for s, q in quota.items()}
-    pending = [(window[s](0)[0], s, 0) for s in sorted(quota)]
-    heapq.heapify(pending)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+def _exact(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Whole numbers in the exact proportions of the weights, and their sum."""
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(f.denominator for f in parts.values()))
+    whole = {s: int(f * unit) for s, f in parts.items()}
+    return whole, sum(whole.values())
+
+
+def laid_out(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Source, block number, slot, release, deadline of every block, in the order of the slots. Earliest deadline first, ties by source.
+
+    A source without blocks left takes no part, and slots before the next release are left out.
+    """
+    part, total = _exact(weights)
+    pending = [(0, s, 0) for s in sorted(blocks) if blocks[s]]
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while pending or ready:
+        if not ready:
+            slot = max(slot, pending[0][0])
         while pending and pending[0][0] <= slot:
-            _, s, k = heapq.heappop(pending)
-            heapq.heappush(ready, (window[s](k)[1], s, k))
-        deadline, s, k = heapq.heappop(ready)
+            release, s, k = heapq.heappop(pending)
+            heapq.heappush(ready, (-(-(k + 1) * total // part[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
         assert slot < deadline
-        out.append((s, k, slot, window[s](k)[0], deadline))
-        if k + 1 < quota[s]:
-            heapq.heappush(pending, (window[s](k + 1)[0], s, k + 1))
-    return out
+        yield s, k, slot, release, deadline
+        if k + 1 < blocks[s]:
+            heapq.heappush(pending, ((k + 1) * total // part[s], s, k + 1))
+        slot += 1
+
+
+def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of whole-numbered weights: source, block number, slot, release, deadline."""
+    return list(laid_out(quota, quota))
+
+
+def _slots(spark: SparkSession, rows: Iterator[tuple[str, int, int, int, int]], stretch: int) -> DataFrame:
+    """rows as a table in the shared folder, written a stretch at a time."""
+    at = f"{common.shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    schema = pa.schema([("s", pa.string()), ("k", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
+    while part := list(itertools.islice(rows, stretch)):
+        spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)).write.mode("append").parquet(at)
+    return spark.read.schema("s string, k bigint, slot bigint, release bigint, deadline bigint").parquet(at)
 
 
 def tempered(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
     return {s: n**exponent for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = STRETCH, seed: int = 1) -> DataFrame:
     """docs with `mix`: block, position (in the block), slot, release, deadline and in_mix (before the horizon).
 
-    weights: of the sources, in any unit; by default the root of a source's number of documents. A null source is one of its own;
-    sources without a weight, and those beyond period - 1 by weight, share one. Documents with equal ids
-    follow each other. A null doc_id is a value like any other. An empty table gives no rows. Every column is passed through, save for one named mix.
+    weights: of the sources, positive and in any unit; by default the root of a source's number of documents. A null source is one of
+    its own; sources that given weights don't name share one. period: blocks laid out at once. Documents with equal ids follow each other. A null doc_id is a value like any other. An empty table gives no rows. Every column is passed through, save for one named mix.
     """
     spark = docs.sparkSession
     named = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
-    n_docs = docs.count()
-    buckets = max(1, n_docs // BUCKET_DOCS)
+    counts = {r["s"]: r["count"] for r in docs.select(named.alias("s")).groupBy("s").count().toLocalIterator()}
+    if not counts:
+        return docs.drop("mix").withColumn("mix", F.lit(None).cast(_MIX))
+    buckets = max(1, sum(counts.values()) // BUCKET_DOCS)
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"))
     bucket = F.pmod(F.shiftright(order, 20), F.lit(buckets))
-    heavy = docs.select(named.alias("s")).groupBy("s").count()
+    source = named
     if weights is None:
-        top = heavy.orderBy(F.desc("count"), "s").limit(period - 1).collect()  # bounded by the period
-        weights = tempered({r["s"]: r["count"] for r in top})
-        if heavy.count() > len(weights):
-            weights[OTHERS] = sum(weights.values()) / len(weights)
-    elif heavy.where(~F.col("s").isin(list(weights))).count():
-        weights = weights | {OTHERS: min(weights.values())}
-    if not weights:
-        weights = {OTHERS: 1.0}
-    source = F.when(named.isin(list(weights)), named).otherwise(F.lit(OTHERS))
+        weights = tempered(counts)
+    elif others := sum(n for s, n in counts.items() if s not in weights):
+        source = F.when(named.isin(list(weights)), named).otherwise(F.lit(OTHERS))
+        counts = {s: n for s, n in counts.items() if s in weights} | {OTHERS: others + (counts.get(OTHERS, 0) if OTHERS in weights else 0)}
+        weights = weights | {OTHERS: min(weights.values(), default=1.0)}
     keyed = docs.withColumn("mix", F.struct(source.alias("s"), bucket.alias("b"), order.alias("o")))
     sizes = keyed.groupBy(F.col("mix.s").alias("s"), F.col("mix.b").alias("b")).agg(F.count("*").alias("n"))
-    before = common.cut(sizes.withColumns({"before": F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("s"))}))
-    quota = quotas(weights, period)
-    laid = schedule(quota)
-    # Both tables are bounded by the period: PERIOD rows, and one for each weight.
-    slots = spark.createDataFrame(laid, "s string, k bigint, slot bigint, release bigint, deadline bigint")
-    q = spark.createDataFrame(list(quota.items()), "s string, q bigint")
-    left = before.groupBy("s").agg(F.max("all").alias("n")).join(F.broadcast(q), "s", "right")
-    horizon = left.agg(F.min(F.floor(F.ceil(F.coalesce("n", F.lit(0)) / block_docs) * period / F.col("q"))).alias("h")).first()["h"] or 0
+    before = common.cut(sizes.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")))
+    blocks = {s: -(-counts.get(s, 0) // block_docs) for s in weights}
+    part, total = _exact(weights)
+    horizon = min(n * total // part[s] for s, n in blocks.items())
+    slots = _slots(spark, laid_out(weights, blocks), period)
     within = F.row_number().over(Window.partitionBy("mix.s", "mix.b").orderBy("mix.o", "doc_id")) - 1
     ranked = keyed.withColumn("mix", F.struct("mix.s", "mix.b", within.alias("r")))
     first = before.select(F.struct("s", "b").alias("key_"), "before")
     columns = [c for c in docs.columns if c != "mix"]
     joined = ranked.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.struct("mix.s", "mix.b").alias("key_"), F.col("mix.r").alias("r_")).join(first, "key_")
     rank = F.col("before") + F.col("r_")
-    numbered = joined.select("row_", F.col("key_.s").alias("s"), F.floor(rank / block_docs).alias("block"), (rank % block_docs).alias("position"))
-    placed = numbered.join(F.broadcast(q), "s").withColumns({"k": F.col("block") % F.col("q"), "lap": F.floor(F.col("block") / F.col("q")) * period}).join(F.broadcast(slots), ["s", "k"])
-    at = lambda c: (F.col("lap") + F.col(c)).alias(c)
-    return placed.select("row_.*", F.struct("block", "position", at("slot"), at("release"), at("deadline"), (F.col("lap") + F.col("slot") < horizon).alias("in_mix")).alias("mix"))
+    numbered = joined.select("row_", F.col("key_.s").alias("s"), F.floor(rank / block_docs).alias("k"), (rank % block_docs).alias("position"))
+    placed = numbered.join(slots, ["s", "k"])
+    return placed.select("row_.*", F.struct(F.col("k").alias("block"), "position", "slot", "release", "deadline", (F.col("slot") < horizon).alias("in_mix")).alias("mix"))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:

@@ -213,3 +213,24 @@ def test_mixing_keeps_all(docs, none):
     out = mixing.mix(docs, block_docs=2, period=16).collect()
     assert len(out) == docs.count() and len({(r.mix.slot, r.mix.position) for r in out}) == len(out)
     assert mixing.mix(none).count() == 0
+
+
+def test_mixing_by_exact_weights(spark):
+    """2,000 sources, one with a third of the weight, and one of a weight far below 1 / 4096: no slot too many or too few."""
+    weights = {"big": 1 / 3, "tiny": 1e-5} | {f"s{i}": (2 / 3 - 1e-5) / 1998 for i in range(1998)}
+    got = collections.Counter()
+    part, total = mixing._exact(weights)
+    for s, k, slot, release, deadline in mixing.laid_out(weights, {x: 10**9 for x in weights}):
+        assert k == got[s] and release == k * total // part[s] <= slot < deadline == -(-(k + 1) * total // part[s])
+        got[s] += 1
+        assert abs(got["big"] * total - (slot + 1) * part["big"]) < total
+        if slot == 29_999:
+            break
+    assert got["big"] in (9_999, 10_000, 10_001) and got["tiny"] <= 1 and all(abs(got[x] * total - 30_000 * part[x]) < total for x in weights)
+
+
+def test_mixing_has_no_limit_on_sources(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"))
+    out = mixing.mix(df, block_docs=1).collect()
+    assert len({r.mix.slot for r in out}) == 6000
+    assert {(r.source, r.mix.block) for r in out} == {(f"s{i % 5000}", i // 5000) for i in range(6000)}
