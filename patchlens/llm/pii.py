@@ -27,14 +27,21 @@ KEY = "example key"
 ROUNDS, WALKS = 8, 24
 KINDS = ("email", "iban", "ipv4", "date", "phone", "ssn", "card")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Characters of an IBAN, and the countries that have so many.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+_IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: Groups of four digits, and at most three more, but not the head of a date, a phone or social security number or an address.
+_FOUR = r"[0-9]{4}(?![./-][0-9]{2}[./-][0-9]{2}(?![0-9]))"
+_FEW = r"[0-9]{1,3}(?![0-9]|[ .-][0-9]{3}[ .-][0-9]{4}|-[0-9]{2}-[0-9]{4}|[./-][0-9]{2}[./-](?:19|20)[0-9]{2}|\.[0-9]{1,3}\.[0-9])"
+_COUNTRY = r"^\+[0-9]{1,3}(?![0-9])|^1(?=[ .-])|^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([./-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}([.-])[0-9]{3}\3[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.+-])(?:1[ .-])?[0-9]{3}([ .-])[0-9]{3}\3[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
+    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -]{_FOUR}){{2,}}(?:[ -]{_FEW})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: What every kind has.
@@ -159,7 +166,7 @@ def _date(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """The country code stays. Numbers that are dialable in North America stay so, and others stay others."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?![0-9])", 0)
+    code = F.regexp_extract(m, _COUNTRY, 0)
     shape = F.substring(m, F.length(code) + 1, F.length(m))
     number = _digits(shape)
     dialable = lambda x: x.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
@@ -197,20 +204,64 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _part(value: Column, own: bool) -> Column:
+    return F.struct(value.alias("value"), F.lit(own).alias("own"))
+
+
+_PARTS = "array<struct<value: string, own: boolean>>"
+
+
+def _cards_in(m: Column) -> Column:
+    """Parts of groups of four digits (the last may be shorter): from each group on, the longest number that passes the check."""
+    n = F.size(F.split(m, "[ -]"))
+    window = lambda i, k: F.substring(m, 5 * i + 1, 5 * k - 1)
+    valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
+    longest = lambda i: F.coalesce(F.array_max(F.filter(F.array(F.lit(4), F.lit(5)), lambda k: (i + k <= n) & valid(_digits(window(i, k))))), F.lit(1))
+    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), longest(i).alias("k")))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["i"] > 0, F.array(_part(F.substring(m, 5 * s["i"], F.lit(1)), False))).otherwise(F.array().cast(_PARTS))
+        one = F.struct(window(s["i"], s["k"]).alias("value"), (s["k"] > 1).alias("own"))
+        return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], gap, F.array(one)).alias("out"), (s["k"] - 1).alias("skip")))
+
+    return F.aggregate(starts, F.struct(F.array().cast(_PARTS).alias("out"), F.lit(0).alias("skip")), step, lambda acc: acc["out"])
+
+
+def _iban_in(m: Column) -> Column:
+    """Parts: the longest run of words from the first on that passes the check, and what follows it."""
+    words = F.split(m, " ")
+    passes = lambda x: (F.length(x) >= 12) & (_mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
+    ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: passes(F.array_join(F.slice(words, F.lit(1), i), "")))
+    cut = lambda i: _let(F.array_join(F.slice(words, F.lit(1), i), " "), lambda head: F.array(_part(head, True), _part(F.substring(m, F.length(head) + 1, F.length(m)), False)))
+    return _let(F.array_max(ends), lambda i: F.when(i.isNotNull(), cut(i)).otherwise(F.array().cast(_PARTS)))
+
+
+def pieces(m: Column, key: str = KEY) -> Column:
+    """A match as an array of value, kind and pseudonym, whose values make up the match: the match itself, unless only a part of it passes its check."""
+    parts = F.when(m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){2}[ -]"), _cards_in(m)).when(m.rlike("^[A-Z]{2}[0-9]{2}.* "), _iban_in(m)).otherwise(F.array().cast(_PARTS))
+    chosen = _let(parts, lambda ps: F.when(F.exists(ps, lambda p: p["own"]), ps).otherwise(F.array(_part(m, True))))
+    return F.transform(chosen, lambda p: F.struct(p["value"].alias("value"), F.when(p["own"], kind_of(p["value"])).alias("kind"), F.when(p["own"], pseudonym(p["value"], key)).alias("pseudonym")))
+
+
 def found(text: Column, key: str = KEY) -> Column:
-    """An array of value, kind and pseudonym (null: left alone) of what looks like PII, in the order of the text."""
-    each = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"), pseudonym(m, key).alias("pseudonym")))
-    return F.when(text.rlike(MAY), each)
+    """For each match in the order of the text, its pieces; null if nothing can be PII."""
+    return F.when(text.rlike(MAY), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pieces(m, key)))
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the text replaced, and a column `pii`: the array of what was found (null if nothing looks like it).
+    """docs with the text replaced, and a column `pii`: an array of value, kind and pseudonym (null: left alone) of what was found.
 
     A null text stays null. Every column is passed through, save for one named pii, which is replaced. Rows are handled on
     their own: repeated rows have equal results, and an empty table gives none. It needs no shuffle.
     """
     listed = docs.withColumn("pii", found(F.col("text"), key))
     gaps = F.split("text", ANY, -1)
-    values = F.concat(F.transform("pii", lambda p: F.coalesce(p["pseudonym"], p["value"])), F.array(F.lit("")))
+    values = F.concat(F.transform("pii", lambda ps: F.array_join(F.transform(ps, lambda p: F.coalesce(p["pseudonym"], p["value"])), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, values, lambda gap, v: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(v, F.lit("")))), "")
-    return listed.withColumn("text", F.when(F.size("pii") > 0, joined).otherwise(F.col("text")))
+    told = F.filter(F.flatten("pii"), lambda p: p["kind"].isNotNull())
+    return listed.withColumns({"text": F.when(F.size("pii") > 0, joined).otherwise(F.col("text")), "pii": told})

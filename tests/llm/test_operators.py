@@ -234,3 +234,18 @@ def test_mixing_has_no_limit_on_sources(spark):
     out = mixing.mix(df, block_docs=1).collect()
     assert len({r.mix.slot for r in out}) == 6000
     assert {(r.source, r.mix.block) for r in out} == {(f"s{i % 5000}", i // 5000) for i in range(6000)}
+
+
+def test_pii_beside_other_words(spark):
+    card, rest = "4111 1111 1111 1111", [" 12/27", " 123", " 555-123-4567", " 2024-01-02"]
+    texts = [*(card + x for x in rest), "1234 " + card, "BE68 5390 0754 7034 EUR", "ES91 2100 0418 4502 0005 1332 OK", "+15551234567", "+4915112345678", "1-555-123-4567", "555 123 4567", "1234 5678 1234 5678 99"]
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    new = out[0].text[:19]
+    assert new != card and [out[0].text, out[1].text, out[4].text] == [new + " 12/27", new + " 123", "1234 " + new]
+    assert all(out[i].text[:19] == new and rest[i] not in out[i].text for i in (2, 3))
+    for i, tail in ((5, " EUR"), (6, " OK")):
+        plain = out[i].text.removesuffix(tail).replace(" ", "")
+        assert out[i].text.endswith(tail) and out[i].text != texts[i] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    for i, code in ((7, "+1"), (8, "+49"), (9, "1-"), (10, "")):
+        assert out[i].text.startswith(code) and out[i].text != texts[i] and [p.kind for p in out[i].pii] == ["phone"]
+    assert out[11].text == texts[11] and [p.pseudonym for p in out[11].pii] == [None]
