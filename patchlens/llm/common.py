@@ -7,7 +7,9 @@ extra columns can't clash with working columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +40,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values, in slices that bound the copies in memory."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices that bound the copies in memory."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
+            yield batch.slice(at, 1024)
+
+
+def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples of Python values."""
+    for part in parts(batches):
+        yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
 
 
 def emit(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches for mapInArrow. When a task ends, the worker, which waits for the next one, gives its free memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that the cluster names; one under /tmp only where it is unset, as in tests."""
     sc = spark.sparkContext
@@ -75,6 +103,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it: no column of df."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def bucket(column, n: int):
     """crc32 of an id as text, modulo n (a null id falls to bucket 0)."""
     return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % n, F.lit(0))
