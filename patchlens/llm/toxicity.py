@@ -4,8 +4,12 @@ score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), with x_i = 1
 distinct words (ASCII letters lower-cased, outer punctuation removed) and their prefixes. The pairwise part, computed in
 linear time by the usual identity, learns interactions that additive weights miss.
 
+Terms get weights if their documents' labels differ from the rest's, or if they are in a pair whose four combinations of
+presence show an interaction (p11 - p10 - p01 + p00, in standard errors), whatever the terms tell alone. Pairs are
+counted among the PAIR_TERMS terms of the most sampled documents.
+
 The model is fitted on the driver over a bounded sample of labelled rows: at most MAX_TRAIN_DOCS, those with the smallest
-hash of their id. Only the terms' hashes leave the executors. Scoring is one pass over the documents without a shuffle;
+hash of their id, and at most MAX_TRAIN_BYTES of their terms' hashes, which are all that leaves the executors. Scoring is one pass over the documents without a shuffle;
 the model that is sent along has a fixed size.
 """
 
@@ -25,11 +29,13 @@ from . import common
 BITS = 18
 RANK = 8
 PREFIX = 4
-MAX_TRAIN_DOCS = 12_000
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64 << 20
 THRESHOLD = 0.3
-#: A term counts if it is in so many sampled documents at least, and if its shares of the two labels' documents differ by
+#: A term counts alone if it is in so many sampled documents at least, and if its shares of the two labels' documents differ by
 #: so many standard errors: chance differences of rare terms would else drown the rest in long documents.
 MIN_DOCS, MIN_Z = 3, 4.0
+#: A pair counts if each of its combinations is in so many sampled documents, and its interaction has so many standard errors.
+PAIR_TERMS, MIN_CELL, MIN_PAIR_Z = 3072, 10, 9.0
 EPOCHS, BATCH, RATE, L2, SEED = 12, 64, 0.1, 1e-3, 1
 CACHE_WORDS = 200_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -79,6 +85,37 @@ def terms_of(text: str | None, known: Terms) -> set[int]:
     return out
 
 
+def interacting(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The terms in pairs with an interaction. seen: the documents of each term."""
+    n = len(y)
+    common_terms = np.flatnonzero((seen >= MIN_CELL) & (seen <= n - MIN_CELL))
+    terms = np.sort(common_terms[np.argsort(-seen[common_terms], kind="stable")[:PAIR_TERMS]])
+    if len(terms) < 2:
+        return terms[:0]
+    place = np.full(len(seen), -1)
+    place[terms] = np.arange(len(terms))
+    both, toxic = (np.zeros((len(terms), len(terms)), np.float32) for _ in range(2))
+    for at in range(0, n, 512):
+        x = np.zeros((min(512, n - at), len(terms)), np.float32)
+        for k, r in enumerate(rows[at: at + 512]):
+            own = place[r]
+            x[k, own[own >= 0]] = 1
+        both += x.T @ x
+        x = x[y[at: at + 512] > 0]
+        toxic += x.T @ x
+    d, t, found = both.diagonal().copy(), toxic.diagonal().copy(), np.zeros(len(terms), bool)
+    for at in range(0, len(terms), 256):
+        n11, t11, some = both[at: at + 256], toxic[at: at + 256], slice(at, at + 256)
+        cells = [(n11, t11), (d[some, None] - n11, t[some, None] - t11), (d[None] - n11, t[None] - t11), (n - d[some, None] - d[None] + n11, y.sum() - t[some, None] - t[None] + t11)]
+        shares = [(k + 0.5) / (m + 1) for m, k in cells]
+        error = sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(shares, cells))
+        z = np.abs(shares[0] - shares[1] - shares[2] + shares[3]) / np.sqrt(error)
+        hit = (z >= MIN_PAIR_Z) & np.minimum.reduce([m for m, _ in cells]).__ge__(MIN_CELL)
+        found[some] |= hit.any(1)
+        found |= hit.any(0)
+    return terms[found]
+
+
 def fit(rows: list[tuple[np.ndarray, int]], rank: int = RANK) -> Model:
     """rows: the hashes and the label (0 or 1) of each document. Without both labels, the score is the labels' mean."""
     rng, y = np.random.default_rng(SEED), np.array([label for _, label in rows], float)
@@ -90,11 +127,11 @@ def fit(rows: list[tuple[np.ndarray, int]], rank: int = RANK) -> Model:
     n1, n0, seen = y.sum(), len(y) - y.sum(), in1 + in0
     share = np.clip(seen / len(y), 1e-9, 1 - 1e-9)
     z = np.abs(in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    known = np.flatnonzero((seen >= MIN_DOCS) & (z >= MIN_Z))
+    known = np.union1d(np.flatnonzero((seen >= MIN_DOCS) & (z >= MIN_Z)), interacting([r for r, _ in rows], y, seen))
     slot[known] = np.arange(1, len(known) + 1)
     docs = [(s := slot[r])[s > 0] for r, _ in rows]
     m = len(known) + 1
-    w, v = np.zeros(m), rng.normal(0, 0.02, (m, rank))
+    w, v = np.zeros(m), rng.normal(0, 0.05, (m, rank))
     v[0] = 0
     w0, gw0, gw, gv = float(np.log(rate / (1 - rate))), 1.0, np.ones(m), np.ones((m, rank))
     for _ in range(EPOCHS):
@@ -138,7 +175,16 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32())], ["terms", FIELD])
 
     joined = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(F.broadcast(bounded), "doc_id").select("doc_id", "text", FIELD)
-    found = common.small_batches(joined).select("text", FIELD).mapInArrow(run, f"terms binary, {FIELD} int").collect()
+    found = common.small_batches(joined).select("text", FIELD).mapInArrow(common.tidy(run), f"terms binary, {FIELD} int")
+    found = common.cut(found.withColumn("size", F.length("terms")))
+    sizes = sorted((r["h"], r["size"]) for r in found.select(F.xxhash64("terms", FIELD).alias("h"), "size").collect())
+    total, last = 0, None
+    for h, size in sizes:  # all, unless they are too many bytes
+        total += size
+        if total > MAX_TRAIN_BYTES:
+            break
+        last = h
+    found = found.where(F.xxhash64("terms", FIELD) <= F.lit(last)).select("terms", FIELD).collect() if sizes and last is not None else []
     return [(np.frombuffer(r[0], "<i4"), min(1, max(0, r[1]))) for r in sorted(found)]
 
 
@@ -161,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(m.score(slots[slots > 0]))
             yield common.emit(schema, [ids, scores, [int(s >= THRESHOLD) for s in scores]])
 
-    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(common.tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +224,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep.append(m.score(slots[slots > 0]) < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return common.small_batches(docs).mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(common.tidy(run), docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
