@@ -1,19 +1,24 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Text is normalised (lower case, runs of anything but letters and digits become one space) and compared segment by
-segment: a document's lines, its paragraphs (runs of lines between blank ones) and the whole of it. With a and b the numbers of bigrams
-(with repeats) of a segment and a template, Dice = 2 * common / (a + b) can only reach the threshold t if
-t / (2 - t) <= a / b <= (2 - t) / t: these bounds prune the templates of a segment, and segments without any bigram
-of a template left are skipped.
-
-One pass over whole texts, without a shuffle.
+A text's words are its runs of letters and digits, lower-cased; white space, line ends and marks (of comments, say) between
+them don't count. With a and b the numbers of bigrams (with repeats) of a window of words and a template, and c those in
+common, Dice = 2 c / (a + b). To reach the threshold t, a window has to be of at most b (2 - t) / t bigrams, of which at least
+b t / (2 - t) are the template's: these size bounds prune a text's candidate templates to those of which it has so many
+bigrams close together. Windows begin and end at such bigrams, wherever these stand, within a line or over many.
+
+Of windows that overlap the one with the most bigrams in common holds, then the one with the higher coefficient; of
+different licences that tie, all. One pass over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,66 +40,74 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
-_NOISE = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def bigrams(text: str) -> Counter:
-    words = _NOISE.sub(" ", text.lower()).split()
+    words = _WORD.findall(text.lower())
     return Counter(zip(words, words[1:]))
 
 
 class Scanner:
-    """Templates with the number of their bigrams and the bounds of a segment's."""
+    """Templates with the number of their bigrams, and the templates of each bigram."""
 
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.threshold = threshold
         self.templates = [(name, b, sum(b.values())) for name, texts in templates.items() for b in map(bigrams, texts) if b]
-        self.known = frozenset(pair for _, b, _ in self.templates for pair in b)
-        low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-        self.bounds = [(n * low, n * high) for _, _, n in self.templates]
-        self.most = max((h for _, h in self.bounds), default=0)
-
-    def match(self, segment: str) -> list[tuple[str, float]]:
-        """The licences whose best template reaches the threshold, and its Dice coefficient."""
-        own = bigrams(segment)
-        a = sum(own.values())
-        if not a or a > self.most or self.known.isdisjoint(own):
-            return []
-        best: dict[str, float] = {}
-        for (name, b, n), (low, high) in zip(self.templates, self.bounds):
-            if low <= a <= high:
-                dice = 2 * sum((own & b).values()) / (a + n)
-                if dice >= self.threshold and dice > best.get(name, 0):
-                    best[name] = dice
-        return sorted(best.items())
+        self.of: dict[tuple[str, str], list[int]] = {}
+        for k, (_, b, _) in enumerate(self.templates):
+            for pair in b:
+                self.of.setdefault(pair, []).append(k)
+        self.words = frozenset(w for pair in self.of for w in pair)
+
+    def _windows(self, k: int, at: list[int], words: list[str]) -> Iterator[tuple[int, float, int, int]]:
+        """Bigrams in common, Dice, first and last word of the best window of template k from each of its bigrams on. at: where these stand."""
+        _, template, n = self.templates[k]
+        least, most = n * self.threshold / (2 - self.threshold), n * (2 - self.threshold) / self.threshold
+        for i, start in enumerate(at):
+            if i + least > len(at) or at[min(len(at) - 1, i + math.ceil(least) - 1)] - start + 1 > most:
+                continue
+            seen: Counter = Counter()
+            both, best = 0, None
+            for place in at[i:]:
+                a = place - start + 1
+                if a > most:
+                    break
+                pair = (words[place], words[place + 1])
+                seen[pair] += 1
+                both += seen[pair] <= template[pair]
+                dice = 2 * both / (a + n)
+                if dice >= self.threshold and (best is None or (both, dice) > best[:2]):
+                    best = (both, dice, start, place + 1)
+            if best:
+                yield best
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """start, end (code points), licence and Dice coefficient of each segment that matches; nested ones of the same licence once, the best."""
+        """start, end (code points), licence and Dice coefficient of each window that holds."""
         if not text:
             return []
-        spans, at, start = [], 0, None
-        for line in text.split("\n"):
-            end = at + len(line)
-            if line.strip():
-                start = at if start is None else start
-                spans.append((at, end))
-            if (not line.strip() or end == len(text)) and start is not None:
-                spans.append((start, end if line.strip() else at - 1))
-                start = None
-            at = end + 1
-        spans.append((0, len(text)))
-        found: list[tuple[int, int, str, float]] = []
-        for s, e in sorted(set(spans)):
-            if (e - s) > 40 * self.most + 400:  # more white space and marks than words: measured on the words themselves
-                if len(_NOISE.sub(" ", text[s:e]).split()) > self.most + 1:
-                    continue
-            for name, dice in self.match(text[s:e]):
-                found.append((s, e, name, dice))
-        out = []
-        for f in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f)):
-            if not any(g[2] == f[2] and g[0] < f[1] and f[0] < g[1] for g in out):
-                out.append(f)
-        return sorted(out)
+        words = _WORD.findall(text.lower())
+        known = list(map(self.words.__contains__, words))
+        places: dict[int, list[int]] = {}
+        for i in itertools.compress(range(len(words) - 1), map(and_, known, known[1:])):
+            for k in self.of.get((words[i], words[i + 1]), ()):
+                places.setdefault(k, []).append(i)
+        found = {(*w, self.templates[k][0]) for k, at in places.items() if len(at) >= self.templates[k][2] * self.threshold / (2 - self.threshold) for w in self._windows(k, at, words)}
+        kept: list[tuple] = []
+        firsts: list[int] = []  # kept by place: those that overlap a window are neighbours
+        for w in sorted(found, key=lambda w: (-w[0], -w[1], w[2:])):
+            i = bisect_left(firsts, w[2])
+            near = kept[max(0, i - self._depth): i + self._depth]
+            if all(o[3] < w[2] or w[3] < o[2] or (o[:2] == w[:2] and o[4] != w[4]) for o in near):
+                firsts.insert(i, w[2])
+                kept.insert(i, w)
+        spans = [m.span() for m in _WORD.finditer(text.lower())] if kept and len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text)] if kept else []
+        return sorted((spans[w[2]][0], spans[w[3]][1], w[4], w[1]) for w in kept)
+
+    #: Windows that may hold at one place: ties of different licences.
+    @property
+    def _depth(self) -> int:
+        return len(self.templates) + 1
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,4 +128,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
                 found.append([dict(zip(("start", "end", "licence", "dice"), f)) for f in scanner.scan(text)])
             yield common.emit(schema, [ids, found])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, licences array<struct<start: bigint, `end`: bigint, licence: string, dice: double>>")
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(common.tidy(run), "doc_id bigint, licences array<struct<start: bigint, `end`: bigint, licence: string, dice: double>>")
