@@ -6,9 +6,10 @@ its kind's check is left alone. Any other is replaced by a value of the same for
 
 * digits and letters are permuted by a Feistel network over the two halves of the value's characters, each shifted within
   its class (0-9, a-z, A-Z) by SHA-256 of key, kind, round and the other half; this is a bijection for any length;
-* card numbers and IBANs get their check digits anew; phone and social security numbers walk the cycle (the network is
-  applied again) until the result passes the check;
-* dates are permuted as days, IPv4 addresses as 32-bit numbers.
+* card numbers and IBANs get their check digits anew;
+* ten-digit phone numbers, social security numbers, dates (as days) and IPv4 addresses are numbered within their class, and the
+  network permutes the pairs of a quotient and a remainder of that number, of moduli whose product is the class's size; so
+  every result is of the class, and no walk has to look for one.
 
 The result depends on key, kind and value alone, so equal values have equal pseudonyms in every document and run, and
 different values different ones (save for dates that may be read either way: they are what they are read as). Separators
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: For tests and examples; production passes a secret of its own.
 KEY = "example key"
-ROUNDS, WALKS = 8, 24
+ROUNDS = 8
 KINDS = ("email", "iban", "ipv4", "date", "phone", "ssn", "card")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Characters of an IBAN, and the countries that have so many.
@@ -46,8 +47,10 @@ PATTERNS = {
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: What every kind has.
 MAY = r"[0-9]{2}|@"
-FIRST_DAY, DAYS = "1900-01-01", 73_049
-_DAY_RADIX = (270, 271)  # their product is just above DAYS
+FIRST_DAY = "1900-01-01"
+#: Days of the years 1900 to 2099; numbers that are dialable in North America (NXX-NXX-XXXX, N from 2), other ten-digit ones;
+#: social security numbers (areas without 000, 666 and those from 900 on, groups and serials without 0). Each as a product.
+DAY_PAIR, DIALABLE_PAIR, OTHER_PAIR, SSN_PAIR = (17, 4297), (640_000, 10_000), (60_000, 60_000), (898 * 99, 9999)
 
 
 def _material(key: str, kind: str, i: Column, other: Column) -> Column:
@@ -95,8 +98,9 @@ def feistel_pair(u: Column, v: Column, nu: int, nv: int, key: str, kind: str, fi
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(u.cast("bigint").alias("u"), v.cast("bigint").alias("v")), step, finish)
 
 
-def _walked(value: Column, key: str, kind: str, valid: Callable[[Column], Column]) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), feistel(value, key, kind), lambda acc, _: F.when(valid(acc), acc).otherwise(feistel(acc, key, kind)))
+def permuted(number: Column, pair: tuple[int, int], key: str, kind: str) -> Column:
+    """A permutation of the numbers below the product of the pair."""
+    return feistel_pair(F.floor(number / pair[1]), F.pmod(number, F.lit(pair[1])), *pair, key, kind, lambda acc: acc["u"] * pair[1] + acc["v"])
 
 
 def _digits(x: Column) -> Column:
@@ -157,25 +161,51 @@ def _date(m: Column, key: str) -> Column:
     normal = F.when(year_first, iso(a, b)).otherwise(iso(b, a))
     swapped = F.when(~year_first & F.substring(m, 3, 1).isin("/"), iso(a, b))
     number = F.datediff(F.coalesce(normal, swapped), F.lit(FIRST_DAY).cast("date"))
-    once = lambda n: feistel_pair(F.floor(n / _DAY_RADIX[1]), n % _DAY_RADIX[1], *_DAY_RADIX, key, "date", lambda acc: acc["u"] * _DAY_RADIX[1] + acc["v"])
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(8)), once(number), lambda acc, _: F.when(acc < DAYS, acc).otherwise(once(acc)))
+    new = permuted(number.cast("bigint"), DAY_PAIR, key, "date")
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int"))
     shape = F.when(year_first, F.date_format(day, "yyyyMMdd")).when(normal.isNotNull(), F.date_format(day, "ddMMyyyy")).otherwise(F.date_format(day, "MMddyyyy"))
     return F.when(number.isNotNull(), render(m, shape))
 
 
+def _part(x: Column, at: int, n: int) -> Column:
+    return F.substring(x, at, n).cast("bigint")
+
+
+def _padded(x: Column, n: int) -> Column:
+    return F.lpad(x.cast("string"), n, "0")
+
+
+def _dialable(x: Column, key: str) -> Column:
+    number = ((_part(x, 1, 3) - 200) * 800 + _part(x, 4, 3) - 200) * 10_000 + _part(x, 7, 4)
+    return _let(permuted(number, DIALABLE_PAIR, key, "phone"), lambda y: F.concat((F.floor(y / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(y / 10_000), F.lit(800)) + 200).cast("string"), _padded(F.pmod(y, F.lit(10_000)), 4)))
+
+
+def _not_dialable(x: Column, key: str) -> Column:
+    """First those that begin with 0 or 1, then those with 0 or 1 in the fourth place."""
+    number = F.when(_part(x, 1, 1) < 2, x.cast("bigint")).otherwise(2_000_000_000 + (_part(x, 1, 3) - 200) * 2_000_000 + _part(x, 4, 7))
+    late = lambda y: F.concat((F.floor((y - 2_000_000_000) / 2_000_000) + 200).cast("string"), _padded(F.pmod(y - 2_000_000_000, F.lit(2_000_000)), 7))
+    return _let(permuted(number, OTHER_PAIR, key, "other phone"), lambda y: F.when(y < 2_000_000_000, _padded(y, 10)).otherwise(late(y)))
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays. Numbers that are dialable in North America stay so, and others stay others."""
+    """The country code stays. Ten-digit numbers that are dialable in North America stay so, and others stay others."""
     code = F.regexp_extract(m, _COUNTRY, 0)
     shape = F.substring(m, F.length(code) + 1, F.length(m))
     number = _digits(shape)
-    dialable = lambda x: x.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
-    return F.concat(code, render(shape, _walked(number, key, "phone", lambda x: dialable(x) == dialable(number))))
+    new = F.when(number.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), _dialable(number, key)).when(F.length(number) == 10, _not_dialable(number, key)).otherwise(feistel(number, key, "phone"))
+    return F.concat(code, render(shape, new))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    valid = lambda x: x.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
-    return F.when(valid(_digits(m)), render(m, _walked(_digits(m), key, "ssn", valid)))
+    d = _digits(m)
+    area = _part(d, 1, 3)
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + _part(d, 4, 2) - 1) * 9999 + _part(d, 6, 4) - 1
+
+    def shown(y: Column) -> Column:
+        rank = F.floor(y / (99 * 9999))
+        return F.concat(_padded(rank + F.when(rank >= 665, 2).otherwise(1), 3), _padded(F.pmod(F.floor(y / 9999), F.lit(99)) + 1, 2), _padded(F.pmod(y, F.lit(9999)) + 1, 4))
+
+    return F.when(d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"), render(m, _let(permuted(number, SSN_PAIR, key, "ssn"), shown)))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -191,7 +221,7 @@ _BY_KIND = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "phone
 def kind_of(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        own = PATTERNS[kind].replace(r"\2", r"\2").replace(r"\3", r"\1")
+        own = PATTERNS[kind].replace(r"\3", r"\1")  # of groups in ANY
         out = F.when(m.rlike(rf"^(?:{own})$"), F.lit(kind)).otherwise(out)
     return out
 
@@ -209,7 +239,7 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _part(value: Column, own: bool) -> Column:
+def _piece(value: Column, own: bool) -> Column:
     return F.struct(value.alias("value"), F.lit(own).alias("own"))
 
 
@@ -225,7 +255,7 @@ def _cards_in(m: Column) -> Column:
     starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), longest(i).alias("k")))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["i"] > 0, F.array(_part(F.substring(m, 5 * s["i"], F.lit(1)), False))).otherwise(F.array().cast(_PARTS))
+        gap = F.when(s["i"] > 0, F.array(_piece(F.substring(m, 5 * s["i"], F.lit(1)), False))).otherwise(F.array().cast(_PARTS))
         one = F.struct(window(s["i"], s["k"]).alias("value"), (s["k"] > 1).alias("own"))
         return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], gap, F.array(one)).alias("out"), (s["k"] - 1).alias("skip")))
 
@@ -237,14 +267,14 @@ def _iban_in(m: Column) -> Column:
     words = F.split(m, " ")
     passes = lambda x: (F.length(x) >= 12) & (_mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
     ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: passes(F.array_join(F.slice(words, F.lit(1), i), "")))
-    cut = lambda i: _let(F.array_join(F.slice(words, F.lit(1), i), " "), lambda head: F.array(_part(head, True), _part(F.substring(m, F.length(head) + 1, F.length(m)), False)))
+    cut = lambda i: _let(F.array_join(F.slice(words, F.lit(1), i), " "), lambda head: F.array(_piece(head, True), _piece(F.substring(m, F.length(head) + 1, F.length(m)), False)))
     return _let(F.array_max(ends), lambda i: F.when(i.isNotNull(), cut(i)).otherwise(F.array().cast(_PARTS)))
 
 
 def pieces(m: Column, key: str = KEY) -> Column:
     """A match as an array of value, kind and pseudonym, whose values make up the match: the match itself, unless only a part of it passes its check."""
     parts = F.when(m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){2}[ -]"), _cards_in(m)).when(m.rlike("^[A-Z]{2}[0-9]{2}.* "), _iban_in(m)).otherwise(F.array().cast(_PARTS))
-    chosen = _let(parts, lambda ps: F.when(F.exists(ps, lambda p: p["own"]), ps).otherwise(F.array(_part(m, True))))
+    chosen = _let(parts, lambda ps: F.when(F.exists(ps, lambda p: p["own"]), ps).otherwise(F.array(_piece(m, True))))
     return F.transform(chosen, lambda p: F.struct(p["value"].alias("value"), F.when(p["own"], kind_of(p["value"])).alias("kind"), F.when(p["own"], pseudonym(p["value"], key)).alias("pseudonym")))
 
 
@@ -253,15 +283,16 @@ def found(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(MAY), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pieces(m, key)))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the text replaced, and a column `pii`: an array of value, kind and pseudonym (null: left alone) of what was found.
+def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "pii") -> DataFrame:
+    """docs with the text replaced, and a column: an array of value, kind and pseudonym (null: left alone) of what was found.
 
-    A null text stays null. Every column is passed through, save for one named pii, which is replaced. Rows are handled on
+    A null text stays null. Every column is passed through, save for one with the name of the new one, which is replaced. Rows are handled on
     their own: repeated rows have equal results, and an empty table gives none. It needs no shuffle.
     """
-    listed = docs.withColumn("pii", found(F.col("text"), key))
+    listed = docs.withColumn(column, found(F.col("text"), key))
+    told = F.col(f"`{column}`")
     gaps = F.split("text", ANY, -1)
-    values = F.concat(F.transform("pii", lambda ps: F.array_join(F.transform(ps, lambda p: F.coalesce(p["pseudonym"], p["value"])), "")), F.array(F.lit("")))
+    values = F.concat(F.transform(told, lambda ps: F.array_join(F.transform(ps, lambda p: F.coalesce(p["pseudonym"], p["value"])), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, values, lambda gap, v: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(v, F.lit("")))), "")
-    told = F.filter(F.flatten("pii"), lambda p: p["kind"].isNotNull())
-    return listed.withColumns({"text": F.when(F.size("pii") > 0, joined).otherwise(F.col("text")), "pii": told})
+    kept = F.filter(F.flatten(told), lambda p: p["kind"].isNotNull())
+    return listed.withColumns({"text": F.when(F.size(told) > 0, joined).otherwise(F.col("text")), column: kept})
