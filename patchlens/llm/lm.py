@@ -72,13 +72,13 @@ def bigram_hash(v: np.ndarray, w: np.ndarray, bits: int = 64) -> np.ndarray:
     return (h ^ (h >> _U(32))) >> _U(64 - bits)
 
 
-def _pack_counts(n: np.ndarray) -> bytes:
-    """Of non-negative counts, as uint32 (larger ones as the largest), byte by byte: most are small."""
-    return _pack(np.minimum(n, 0xFFFFFFFF).astype(np.uint32).ravel().view(np.uint8).reshape(-1, 4).T)
+def _pack_counts(n: np.ndarray, width: int = 4) -> bytes:
+    """Of non-negative counts, byte by byte: most are small, and bytes of zeros take no room. width: 4 within a chunk, 8 for totals."""
+    return _pack(n.astype(f"<u{width}").ravel().view(np.uint8).reshape(-1, width).T)
 
 
-def _unpack_counts(raw: bytes) -> np.ndarray:
-    return _unpack(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+def _unpack_counts(raw: bytes, width: int = 4) -> np.ndarray:
+    return _unpack(raw, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
 
 
 class Chunk:
@@ -152,7 +152,7 @@ def _chunks(docs: DataFrame, held_out_of: int, held_out: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "chunk bigint, n_tokens bigint, ids array<bigint>, lengths binary, parts binary, words binary, tokens binary")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(common.tidy(run), "chunk bigint, n_tokens bigint, ids array<bigint>, lengths binary, parts binary, words binary, tokens binary")
 
 
 def _chunk(row: dict) -> Chunk:
@@ -192,17 +192,17 @@ def _totals(chunks: DataFrame, slices: int, bits: int) -> DataFrame:
         hashes = [_undelta(r["hashes"]) for r in rows]
         all_hashes, back = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.concatenate([_unpack_counts(r["counts"]).reshape(2, -1) for r in rows], axis=1)
-        sums = np.stack([np.bincount(back, counts[k], len(all_hashes)) for k in (0, 1)]).astype(np.int64)
+        sums = np.stack([np.bincount(back, counts[k], len(all_hashes)) for k in (0, 1)]).astype(np.int64)  # sums in doubles: exact to 2 ** 53
         at, out = 0, [[] for _ in _TOTALS]
         for i, (r, h) in enumerate(zip(rows, hashes)):
             mine = sums[:, back[at: at + len(h)]]
             at += len(h)
             own = (sums[0].sum(), sums[1].sum(), int((sums.sum(0) > 0).sum())) if i == 0 else (0, 0, 0)
-            for c, v in zip(out, (r["chunk"], r["kind"], r["slice"], _pack_counts(mine), *own)):
+            for c, v in zip(out, (r["chunk"], r["kind"], r["slice"], _pack_counts(mine, 8), *own)):
                 c.append(v)
         return pa.Table.from_batches([common.emit(_TOTALS, out)])
 
-    blobs = chunks.mapInArrow(spread, "kind bigint, slice bigint, chunk bigint, hashes binary, counts binary")
+    blobs = chunks.mapInArrow(common.tidy(spread), "kind bigint, slice bigint, chunk bigint, hashes binary, counts binary")
     return blobs.groupBy("kind", "slice").applyInArrow(total, "chunk bigint, kind bigint, slice bigint, counts binary, sum0 bigint, sum1 bigint, known bigint")
 
 
@@ -233,7 +233,7 @@ def _estimates(chunk: pa.Table, totals: pa.Table, bits: int) -> tuple[Chunk, np.
     """The chunk, its words' totals and its bigrams' totals (2 x entries), local counts, a token's bigram, and each bigram's words."""
     c = _chunk(chunk.to_pylist()[0])
     rows = sorted(totals.select(["kind", "slice", "counts"]).to_pylist(), key=lambda r: r["slice"])
-    of = [np.concatenate([_unpack_counts(r["counts"]).reshape(2, -1) for r in rows if r["kind"] == kind], axis=1).astype(np.int64) for kind in (WORDS, BIGRAMS)]
+    of = [np.concatenate([_unpack_counts(r["counts"], 8).reshape(2, -1) for r in rows if r["kind"] == kind], axis=1).astype(np.int64) for kind in (WORDS, BIGRAMS)]
     words = np.empty_like(of[WORDS])
     words[:, np.argsort(c.words)] = of[WORDS]
     _, local, inverse, first = c.bigrams(bits)
