@@ -33,7 +33,7 @@ PERIOD = 4096
 #: Blocks that the driver lays out at once.
 STRETCH = 1 << 18
 #: Documents for each bucket of the hash.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 4_000
 NO_SOURCE = "(none)"
 OTHERS = "(others)"
 _MIX = "struct<block: bigint, position: bigint, slot: bigint, release: bigint, deadline: bigint, in_mix: boolean>"
@@ -101,20 +101,20 @@ def tempered(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
     return {s: n**exponent for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = STRETCH, seed: int = 1) -> DataFrame:
-    """docs with `mix`: block, position (in the block), slot, release, deadline and in_mix (before the horizon).
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = STRETCH, seed: int = 1, column: str = "mix") -> DataFrame:
+    """docs with a column: block, position (in the block), slot, release, deadline and in_mix (before the horizon).
 
     weights: of the sources, positive and in any unit; by default the root of a source's number of documents. A null source is one of
-    its own; sources that given weights don't name share one. period: blocks laid out at once. Documents with equal ids follow each other. A null doc_id is a value like any other. An empty table gives no rows. Every column is passed through, save for one named mix.
+    its own; sources that given weights don't name share one. period: blocks laid out at once. The order in a source follows
+    from seed and doc_id; documents with equal ids follow each other, and a null doc_id is a value like any other. An empty table gives
+    no rows. Every column is passed through, save for one with the name of the new one.
     """
     spark = docs.sparkSession
-    named = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
+    named = F.coalesce(docs["source"].cast("string"), F.lit(NO_SOURCE))
     counts = {r["s"]: r["count"] for r in docs.select(named.alias("s")).groupBy("s").count().toLocalIterator()}
     if not counts:
-        return docs.drop("mix").withColumn("mix", F.lit(None).cast(_MIX))
+        return docs.drop(column).withColumn(column, F.lit(None).cast(_MIX))
     buckets = max(1, sum(counts.values()) // BUCKET_DOCS)
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"))
-    bucket = F.pmod(F.shiftright(order, 20), F.lit(buckets))
     source = named
     if weights is None:
         weights = tempered(counts)
@@ -122,24 +122,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
         source = F.when(named.isin(list(weights)), named).otherwise(F.lit(OTHERS))
         counts = {s: n for s, n in counts.items() if s in weights} | {OTHERS: others + (counts.get(OTHERS, 0) if OTHERS in weights else 0)}
         weights = weights | {OTHERS: min(weights.values(), default=1.0)}
-    keyed = docs.withColumn("mix", F.struct(source.alias("s"), bucket.alias("b"), order.alias("o")))
-    sizes = keyed.groupBy(F.col("mix.s").alias("s"), F.col("mix.b").alias("b")).agg(F.count("*").alias("n"))
-    before = common.cut(sizes.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")))
+    doc_id = docs["doc_id"].cast("bigint")
+    order = F.xxhash64(F.lit(seed), doc_id)
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if c != column])
+    keyed = docs.select(row.alias("row"), source.alias("s"), F.pmod(F.shiftright(order, 20), F.lit(buckets)).alias("b"), order.alias("o"), doc_id.alias("id"))
+    sizes = keyed.groupBy("s", "b").agg(F.count("*").alias("n"))
+    before = common.cut(sizes.select("s", "b", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before")))
     blocks = {s: -(-counts.get(s, 0) // block_docs) for s in weights}
     part, total = _exact(weights)
     horizon = min(n * total // part[s] for s, n in blocks.items())
     slots = _slots(spark, laid_out(weights, blocks), period)
-    within = F.row_number().over(Window.partitionBy("mix.s", "mix.b").orderBy("mix.o", "doc_id")) - 1
-    ranked = keyed.withColumn("mix", F.struct("mix.s", "mix.b", within.alias("r")))
-    first = before.select(F.struct("s", "b").alias("key_"), "before")
-    columns = [c for c in docs.columns if c != "mix"]
-    joined = ranked.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.struct("mix.s", "mix.b").alias("key_"), F.col("mix.r").alias("r_")).join(first, "key_")
-    rank = F.col("before") + F.col("r_")
-    numbered = joined.select("row_", F.col("key_.s").alias("s"), F.floor(rank / block_docs).alias("k"), (rank % block_docs).alias("position"))
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("o", "id")) - 1)
+    rank = F.col("before") + F.col("r")
+    numbered = ranked.join(before, ["s", "b"]).select("row", "s", F.floor(rank / block_docs).alias("k"), (rank % block_docs).alias("position"))
     placed = numbered.join(slots, ["s", "k"])
-    return placed.select("row_.*", F.struct(F.col("k").alias("block"), "position", "slot", "release", "deadline", (F.col("slot") < horizon).alias("in_mix")).alias("mix"))
+    return placed.select("row.*", F.struct(F.col("k").alias("block"), "position", "slot", "release", "deadline", (F.col("slot") < horizon).alias("in_mix")).alias(column))
 
 
-def ordered(mixed: DataFrame) -> DataFrame:
-    """The rows of mix() in the order of their slots, over range partitions, without the column mix."""
-    return mixed.repartitionByRange("mix.slot", "mix.position").sortWithinPartitions("mix.slot", "mix.position").drop("mix")
+def ordered(mixed: DataFrame, column: str = "mix") -> DataFrame:
+    """The rows of mix() in the order of their slots, over range partitions and in them, without the column."""
+    order = [F.col(f"`{column}`.slot"), F.col(f"`{column}`.position")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).drop(column)

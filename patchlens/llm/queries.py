@@ -41,14 +41,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.clean(docs, toxicity_model(docs, _labels(spark, sf_dir)))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of pseudonyms: the setting spark.patchlens.pii.key, or the public example key where it is unset."""
+    return spark.conf.get("spark.patchlens.pii.key", pii.KEY)
+
+
 def without_pii(docs: DataFrame) -> DataFrame:
     """n_chars is that of the new text: an IPv4 address may have become longer or shorter."""
-    done = pii.pseudonymize(docs).drop("pii")
+    told = common.free_name(docs, "pii")
+    done = pii.pseudonymize(docs, pii_key(docs.sparkSession), told).drop(told)
     return done.withColumn("n_chars", F.length("text").cast(done.schema["n_chars"].dataType)) if "n_chars" in done.columns else done
 
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
-    return mixing.ordered(mixing.mix(docs))
+    """docs in the order of the slots that their sources' weights give them."""
+    column = common.free_name(docs, "mix")
+    return mixing.ordered(mixing.mix(docs, column=column), column)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -56,6 +64,14 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
 
 
+def packed_in_mixed_order(docs: DataFrame) -> DataFrame:
+    """Packed along the slots: files that are read again come in no order, but the slots follow from the rows alone, so they are found again.
+
+    A partition is a range of slots, and sequence_id grows with it; inside, pieces change places within a window of packing.
+    """
+    return packed(in_mixed_order(docs.select("doc_id", "text", "source")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.documents(spark, sf_dir))
 
@@ -70,7 +86,7 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text with pseudonyms, and how many values of each kind were replaced."""
-    done = pii.pseudonymize(common.documents(spark, sf_dir))
+    done = pii.pseudonymize(common.documents(spark, sf_dir), pii_key(spark))
 
     def of(kind: str):
         replaced = F.filter("pii", lambda p: (p["kind"] == kind) & p["pseudonym"].isNotNull())
