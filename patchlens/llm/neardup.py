@@ -34,8 +34,11 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: So many ids are broadcast at most (16 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_IDS = 2_000_000
-#: Members of a bucket that are settled together; a larger bucket is cut into blocks, and every two blocks meet.
-SETTLE_MEMBERS = 2048
+#: Members of a bucket, and shingles of theirs, that are settled together (about: blocks are drawn by a hash); a larger bucket
+#: is cut into blocks, and every two blocks meet.
+SETTLE_MEMBERS, SETTLE_SHINGLES = 2048, 1 << 20
+#: A class of copies counts as hot if it has more than this share of all copies: so at most as many classes are hot as its inverse.
+HOT_SHARE = 1e-4
 
 _U = np.uint64
 _ORDERS = np.random.default_rng(11).integers(0, BINS, (2048, BINS))  # attempts x bins: where an empty bin looks
@@ -106,7 +109,7 @@ def features(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield common.emit(schema, columns)
 
-    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(common.tidy(run), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             got = [(i, shingles(text).tobytes()) for i, text in common.rows(iter([batch]), "id", "text")]
             yield common.emit(schema, [[g[0] for g in got], [g[1] for g in got]])
 
-    return common.small_batches(found).mapInArrow(run, "id bigint, shingles binary")
+    return common.small_batches(found).mapInArrow(common.tidy(run), "id bigint, shingles binary")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     c.append(v)
             yield common.emit(schema, out)
 
-    counted = joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, both bigint, either bigint")
+    counted = joined.select("a", "b", "sa", "sb").mapInArrow(common.tidy(run), "a bigint, b bigint, both bigint, either bigint")
     return counted.groupBy("a", "b").agg(F.max_by(F.struct("both", "either"), F.col("both") / F.col("either")).alias("m")).select("a", "b", "m.both", "m.either")
 
 
@@ -166,8 +169,8 @@ def components(links: DataFrame) -> DataFrame:
 def _settle(docs: DataFrame, state: DataFrame) -> DataFrame:
     """state: key, id, n, label. Links (a, b) that join what is linked within a bucket: as many as components grow together.
 
-    The full sets of a bucket's members meet in one task, or of two blocks of a bucket's, so its memory is bounded. Only
-    links leave it.
+    The full sets of a bucket's members meet in one task, or of two blocks of a bucket's, so its memory is bounded by the sizes of
+    the sets. Only links leave it.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -191,7 +194,7 @@ def _settle(docs: DataFrame, state: DataFrame) -> DataFrame:
         return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], schema=schema)
 
     sets = _sets(docs, common.cut(state.select("id").distinct()))
-    sizes = state.groupBy("key").agg(F.ceil(F.count("*") / SETTLE_MEMBERS).cast("int").alias("blocks"))
+    sizes = state.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SETTLE_MEMBERS), F.least(F.ceil(F.sum("n") / SETTLE_SHINGLES), F.count("*"))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = state.join(sizes, "key").select("key", "id", "n", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("meeting"), "id", "n", "label")
@@ -236,9 +239,16 @@ def groups(docs: DataFrame) -> DataFrame:
     f = common.cut(features(docs))
     known = f.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    copies = classes.where("size > 1").select("digest", "rep")
-    of = common.cut(known.select("doc_id", "digest", "n_shingles").join(copies, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = known.join(copies, "digest", "left").where(F.coalesce("rep", "doc_id") == F.col("doc_id")).dropDuplicates(["digest"])
+    copies = common.cut(classes.where("size > 1"))
+    total = copies.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # The members of a hot class learn its representative by a broadcast, of 1 / HOT_SHARE rows at most; the rest by a join.
+    hot = F.col("size") > total * HOT_SHARE
+    told = known.join(F.broadcast(copies.where(hot).select("digest", F.col("rep").alias("hot_rep"))), "digest", "left")
+    away = F.concat(F.encode(F.lit("hot "), "UTF-8"), F.encode(F.col("doc_id").cast("string"), "UTF-8"))  # no digest is as short
+    told = told.withColumn("to", F.when(F.col("hot_rep").isNotNull(), away).otherwise(F.col("digest")))
+    told = told.join(copies.where(~hot).select(F.col("digest").alias("to"), "rep"), "to", "left").withColumn("rep", F.coalesce("hot_rep", "rep", "doc_id"))
+    of = common.cut(told.select("doc_id", "rep"))
+    reps = told.where("rep = doc_id").select("doc_id", "n_shingles", "digest", "keys").dropDuplicates(["digest"])
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = common.cut(banded.join(shared, "key").select("key", F.col("doc_id").alias("id"), "n", "size"))
@@ -258,17 +268,18 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without those that groups() doesn't keep; of rows that share a doc_id one stays.
+    """The rows of docs, with all their columns, without those that groups() doesn't keep; of rows that share a doc_id and their text one stays.
 
-    Rows without words, or with a null doc_id, stay.
+    Which one is the same on every run: the first in the order of their JSON. Rows without words, or with a null doc_id, stay. Any column
+    name may occur.
     """
     of = common.cut(groups(docs))
-    gone = of.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    several = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"))
-    key = docs["doc_id"].cast("bigint") == F.col("gone_id")
+    gone = of.where(~F.col("kept")).select(F.col("doc_id").alias("id_")).distinct()
+    several = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id_"))
     few = lambda ids: F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
-    left = docs.join(few(gone), key, "left_anti")
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("id_"), docs["text"].alias("text_"), F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row_"))
+    left = rows.join(few(gone), "id_", "left_anti")
     if several.isEmpty():
-        return left
-    once = left.join(few(several), left["doc_id"].cast("bigint") == F.col("gone_id"), "left_semi")
-    return left.join(few(several), left["doc_id"].cast("bigint") == F.col("gone_id"), "left_anti").unionByName(once.dropDuplicates(["doc_id"]))
+        return left.select("row_.*")
+    repeated = left.join(few(several), "id_", "left_semi").groupBy("id_", "text_").agg(F.min_by("row_", F.to_json("row_")).alias("row_"))
+    return left.join(few(several), "id_", "left_anti").select("row_.*").unionByName(repeated.select("row_.*"))

@@ -147,7 +147,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         if sums:
             yield common.emit(schema, [list(sums), [s[0] for s in sums.values()], [s[1].tolist() for s in sums.values()], [s[2].tolist() for s in sums.values()]])
 
-    parts = docs.select("text", "lang").mapInArrow(run, "lang string, n bigint, chars array<double>, words array<double>")
+    parts = docs.select("text", "lang").mapInArrow(common.tidy(run), "lang string, n bigint, chars array<double>, words array<double>")
     # One row for each language and task is summed on the executors; at most len(COMMON_WORDS) + 1 rows reach the driver.
     n_words = max(map(len, COMMON_WORDS.values())) + 1
     total = parts.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(N_CLASSES)]).alias("chars"), F.array(*[F.sum(F.get("words", F.lit(i))) for i in range(n_words)]).alias("words"))
@@ -198,4 +198,4 @@ def judge(docs: DataFrame, refs: dict | None = None, max_char_distance: float =
                 columns = [[] for _ in SCHEMA]
         yield common.emit(SCHEMA, columns)
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(run, DDL)
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(common.tidy(run), DDL)
