@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: toxicity, near-duplicates, PII, mixing, packing.
 
 Each stage works on what its predecessor kept, and all but the last return the columns of `documents`. Mixing takes
-effect as the order of the rows, over files and in them; packing follows that order.
+effect as the order of the rows, over files and in them. Files that are read again come in no order, so packing finds the
+slots again, which follow from the rows alone, and packs along them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.packed(docs)
+    return queries.packed_in_mixed_order(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("packing", packing)]
