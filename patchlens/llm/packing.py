@@ -14,12 +14,16 @@ redone from its input split alone and yields the same rows.
 
 from __future__ import annotations
 
+import itertools
+import re
+import sys
 import unicodedata
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
@@ -29,67 +33,112 @@ END_ID = 2
 #: Tokens of a window and of a step group.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
-#: Words and stems that a worker remembers before it starts over: about 200 bytes each, beside other operators' caches.
-CACHE_WORDS, CACHE_STEMS = 500_000, 300_000
+#: Pieces of text whose ids a worker remembers, about 50 bytes each.
+CACHE_PIECES = 500_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_id", pa.int64())])
 DDL = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier bigint, step_id bigint"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The usual stand-ins of byte-level BPE: printable bytes stand for themselves, others for U+0100 onwards."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class WordTokenizer:
+    """Ids of texts: those that the library's encode(text, add_special_tokens=False) gives.
 
-
-class WordTokenizer(dict):
-    """Ids of whitespace-separated words, as little-endian uint32 bytes.
-
-    The vocabulary file's pre-tokenizer never joins characters across white space, so the ids of a text are those of its
-    words in order. A word of Latin-1 letters with ASCII punctuation around it is taken apart first, since its stem
-    is met far more often than the word; anything else goes to the library whole.
+    The vocabulary file cuts a lower-cased text into runs of letters, digits, English endings after an apostrophe and runs of
+    other marks, and none of these joins another. So a column of texts is cut here, by Arrow where its characters are ASCII
+    or Latin letters; each distinct piece is encoded once, and any number of pieces is one call to the library, as each ends with
+    the one id that has the mark of a word's end. What the cutting rules of Python and the library may see otherwise (special
+    tokens, numerals that aren't digits, separators U+001C to U+001F, capital sigma, dotted I, text that isn't composed)
+    goes to the library whole.
     """
 
-    PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    AT_ONCE = 512
+    _MARKS = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^\x09-\x0d\x20a-zß-öø-ÿ0-9]+)"
+    _ANY = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.letters = _byte_letters()
-        self.stems: dict[str, bytes] = {}
-
-    def stem(self, word: str) -> bytes:
-        got = self.stems.get(word)
-        if got is None:
-            if len(self.stems) > CACHE_STEMS:
-                self.stems.clear()
-            pieces = self.whole.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
-            got = self.stems[word] = np.array([p.id for p in pieces], "<u4").tobytes()
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        core = word.strip(self.PUNCTUATION)
-        if core and core.isalpha() and max(core) < "Ā" and "ª" not in core and "º" not in core and "µ" not in core:
-            at = word.index(core)
-            ids = (self.stem(word[:at]) if at else b"") + self.stem(core.lower()) + (self.stem(word[at + len(core):]) if at + len(core) < len(word) else b"")
-        else:
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        # str.split() cuts at white space as Unicode has it; so does \s of the pre-tokenizer, save for U+001C to U+001F.
-        if not text:
-            return b""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        self.size = self.whole.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.whole.get_vocab(False).items() if token.endswith("</w>")]] = True
+        numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+        special = "".join("|" + re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
+        self.odd = re.compile(f"[\x1c-\x1fΣİ{numerals}]{special}")
+        self.not_simple = r"[^\x00-\x1b\x20-\x7fÀ-ÿ]" + special
+        self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
+        self.pool, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, and how many each has."""
+        got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([*itertools.chain.from_iterable(got)], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts = [pieces[at: at + self.AT_ONCE] for at in range(0, len(pieces), self.AT_ONCE)]
+        ids, n = [], []
+        for some, got in zip(parts, self.whole.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            own = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[own]) + 1
+            own, length = (own, np.diff(ends, prepend=0)) if len(ends) == len(some) else self._encoded(some)
+            ids.append(own)
+            n.append(length)
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.string())])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
+        length = np.concatenate(n)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
+        self.pool, self.length = np.concatenate([self.pool, *ids]), np.concatenate([self.length, length])
+
+    def _forget(self) -> None:
+        """What wasn't met again since the last time goes."""
+        keep = np.flatnonzero(self.again)
+        n = self.length[keep]
+        after = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.start[keep] - (after - n), n) + np.arange(n.sum())]
+        self.known, self.start, self.length, self.again = self.known.take(pa.array(keep)), after - n, n, np.zeros(len(keep), bool)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces are in what is known."""
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        self.again[at[~new]] = True
+        if new.any():
+            at[new] = len(self.known) + np.arange(new.sum())
+            self._learn(pieces.filter(pa.array(new)).to_pylist())
+        return at
+
+    def _ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has."""
+        n = self.length[places]
+        after = np.cumsum(n)
+        return self.pool[np.repeat(self.start[places] - (after - n), n) + np.arange(n.sum())], n
+
+    def _other(self, text: str) -> np.ndarray:
+        if self.odd.search(text) or not unicodedata.is_normalized("NFC", text):
+            return self._encoded([text])[0]
+        coded = pa.array(self._ANY.findall(text.lower()), pa.string()).dictionary_encode()
+        return self._ids(self._places(coded.dictionary)[coded.indices.to_numpy()])[0]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other (uint32), and where each text's end. A null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        simple = pc.invert(pc.match_substring_regex(texts, self.not_simple))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.if_else(simple, texts, "")), self._MARKS, r" \1 "))
+        coded = lists.flatten().dictionary_encode()
+        flat, n = self._ids(self._places(coded.dictionary)[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        others = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        if len(others):
+            more, parts, at = np.zeros(len(texts), np.int64), [], 0
+            for i in others:
+                ids = self._other(texts[int(i)].as_py())
+                parts += [flat[at: ends[i]], ids]
+                at, more[i] = ends[i], len(ids)
+            flat, ends = np.concatenate([*parts, flat[at:]]), ends + np.cumsum(more)
+        return flat, ends
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -230,13 +279,15 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, end_id: int = END_ID
             held = {k: held[k] for k, _, _ in pieces}
             tokens = sum(n for _, _, n in pieces)
 
-        for doc_id, text in common.rows(batches, "doc_id", "text"):
-            ids = tok.ids(text) + end
-            held[key] = (doc_id, ids)
-            pieces.append((key, 0, len(ids) // 4))
-            key, tokens = key + 1, tokens + len(ids) // 4
-            if tokens >= window_tokens:
-                yield from flush(False)
+        for batch in common.parts(batches):
+            ids, ends = tok.ids(batch.column(1))
+            at = 0
+            for doc_id, to in zip(batch.column(0).to_pylist(), ends.tolist()):
+                held[key] = (doc_id, ids[at: to].tobytes() + end)
+                pieces.append((key, 0, to - at + 1))
+                key, tokens, at = key + 1, tokens + to - at + 1, to
+                if tokens >= window_tokens:
+                    yield from flush(False)
         yield from flush(True)
 
-    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, DDL)
+    return common.small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(common.tidy(run), DDL)
