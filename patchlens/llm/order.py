@@ -6,7 +6,7 @@ cycle-walking permutes the numbers [0, N): every sequence gets a slot of its own
 the key alone. Slots are dealt by range to shards of SHARD_SLOTS sequences. In a shard, slot s begins at byte
 (s - first_slot) * stride, so a reader that stopped at a slot goes on from there with one seek.
 
-What travels is two bytes for each token, twice: to the shared folder, which fixes the numbering against lost
+What travels is two bytes for each token (four with a vocabulary beyond 65,536 ids), twice: to the shared folder, which fixes the numbering against lost
 tasks, and to the shards.
 """
 
@@ -56,44 +56,46 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return out.astype(np.int64)
 
 
+_SEQUENCES = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32())])
+
+
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """part, number (dense in part), ids (little-endian uint16), n_tokens (without padding)."""
-    schema = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64())])
+    """part, number (dense in part), ids (little-endian, of id_bytes each: 2 if the vocabulary has at most 65,536 ids, else 4), n_tokens (without padding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, part, number, rest = tokenizer(tokenizer_path), TaskContext.get().partitionId() if TaskContext.get() else 0, 0, b""
-        end, size, buffer = np.array([end_id], "<u2").tobytes(), 2 * length, []
+        tok, part, number = tokenizer(tokenizer_path), TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        width = 2 if max(tok.size, end_id + 1, PAD_ID + 1) <= 1 << 16 else 4
+        rest, buffer, held = np.zeros(0, f"<u{width}"), [], 0
 
-        def cut(stream: bytes, last: bool):
+        def cut(stream: np.ndarray, n_tokens: int) -> pa.RecordBatch:
+            """stream: whole sequences, of which the last has n_tokens."""
             nonlocal number
-            whole = len(stream) // size
-            rows = [stream[i * size: (i + 1) * size] for i in range(whole)]
-            tokens, tail = [length] * whole, stream[whole * size:]
-            if last and tail:
-                rows.append(tail + np.full(length - len(tail) // 2, PAD_ID, "<u2").tobytes())
-                tokens.append(len(tail) // 2)
-                tail = b""
-            out = common.emit(schema, [[part] * len(rows), list(range(number, number + len(rows))), rows, tokens])
-            number += len(rows)
-            return out, tail
-
-        held = 0
-        for (text,) in common.rows(batches, "text"):
-            buffer += [np.frombuffer(tok.ids(text), "<u4").astype("<u2").tobytes(), end]
-            held += len(buffer[-2])
-            if held > 1 << 21:
-                out, rest = cut(rest + b"".join(buffer), False)
-                buffer, held = [], 0
-                yield out
-        yield cut(rest + b"".join(buffer), True)[0]
-
-    return docs.select("text").mapInArrow(run, "part bigint, number bigint, ids binary, n_tokens bigint")
+            n, raw = len(stream) // length, stream.tobytes()
+            rows = [raw[i * length * width: (i + 1) * length * width] for i in range(n)]
+            out = common.emit(_SEQUENCES, [[part] * n, list(range(number, number + n)), rows, [length] * (n - 1) + [n_tokens] * min(n, 1), [width] * n])
+            number += n
+            return out
+
+        for batch in common.parts(batches):
+            ids, ends = tok.ids(batch.column(0))
+            buffer.append(np.insert(ids, ends, end_id).astype(rest.dtype))
+            held += len(buffer[-1])
+            if held > 1 << 20:
+                stream = np.concatenate([rest, *buffer])
+                whole = len(stream) // length * length
+                rest, buffer, held = stream[whole:], [], 0
+                yield cut(stream[:whole], length)
+        stream = np.concatenate([rest, *buffer])
+        tail = len(stream) % length
+        yield cut(np.concatenate([stream, np.full(-len(stream) % length, PAD_ID, rest.dtype)]), tail or length)
+
+    return common.small_batches(docs).select("text").mapInArrow(common.tidy(run), "part bigint, number bigint, ids binary, n_tokens bigint, id_bytes int")
 
 
 def placed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """slot, number, ids and n_tokens of every sequence.
+    """slot, number, ids, n_tokens and id_bytes of every sequence.
 
     A null or empty text is its end id alone; repeated rows count as often as they occur; an empty table gives no rows; the
     other columns are ignored.
@@ -103,27 +105,27 @@ def placed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: int
     # One row for each input partition: the prefix sums of their sizes are 16 bytes for each split of the input.
     base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     total = cut.count()
-    numbered = cut.join(F.broadcast(base), "part").select((F.col("base") + F.col("number")).alias("number"), "ids", "n_tokens")
+    numbered = cut.join(F.broadcast(base), "part").select((F.col("base") + F.col("number")).alias("number"), "ids", "n_tokens", "id_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = permute(batch.column(0).to_numpy(zero_copy_only=False), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *batch.columns], ["slot", "number", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *batch.columns], ["slot", "number", "ids", "n_tokens", "id_bytes"])
 
-    return numbered.mapInArrow(run, "slot bigint, number bigint, ids binary, n_tokens bigint")
+    return numbered.mapInArrow(common.tidy(run), "slot bigint, number bigint, ids binary, n_tokens bigint, id_bytes int")
 
 
 def shards(at: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, first_slot, stride, payload, and for each slot number, crc32 (of its bytes) and n_tokens. A group is one shard: of a fixed size."""
-    schema = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("stride", pa.int64()), ("payload", pa.binary()), ("slots", pa.list_(pa.struct([("number", pa.int64()), ("crc32", pa.int64()), ("n_tokens", pa.int64())])))])
+    """shard, first_slot, stride, id_bytes, payload, and for each slot number, crc32 (of its bytes) and n_tokens. A group is one shard: of a fixed size."""
+    schema = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("stride", pa.int64()), ("id_bytes", pa.int32()), ("payload", pa.binary()), ("slots", pa.list_(pa.struct([("number", pa.int64()), ("crc32", pa.int64()), ("n_tokens", pa.int64())])))])
 
     def one(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("slot", "number", "ids", "n_tokens"))))
         shard = rows[0][0] // shard_slots
-        return pa.Table.from_batches([common.emit(schema, [[shard], [rows[0][0]], [len(rows[0][2])], [b"".join(r[2] for r in rows)], [[{"number": r[1], "crc32": zlib.crc32(r[2]), "n_tokens": r[3]} for r in rows]]])])
+        return pa.Table.from_batches([common.emit(schema, [[shard], [rows[0][0]], [len(rows[0][2])], [table.column("id_bytes")[0].as_py()], [b"".join(r[2] for r in rows)], [[{"number": r[1], "crc32": zlib.crc32(r[2]), "n_tokens": r[3]} for r in rows]]])])
 
     keyed = at.withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    return keyed.groupBy("shard").applyInArrow(one, "shard bigint, first_slot bigint, stride bigint, payload binary, slots array<struct<number: bigint, crc32: bigint, n_tokens: bigint>>")
+    return keyed.groupBy("shard").applyInArrow(one, "shard bigint, first_slot bigint, stride bigint, id_bytes int, payload binary, slots array<struct<number: bigint, crc32: bigint, n_tokens: bigint>>")
 
 
 def write(shards_: DataFrame, path: str) -> None:
@@ -136,6 +138,6 @@ def read_from(spark: SparkSession, path: str, slot: int, shard_slots: int = SHAR
     stored = spark.read.parquet(path)
     last = stored.agg(F.max("shard")).first()[0]
     for shard in range(slot // shard_slots, (-1 if last is None else last) + 1):
-        r = stored.where(F.col("shard") == shard).select("first_slot", "stride", "payload").first()
+        r = stored.where(F.col("shard") == shard).select("first_slot", "stride", "id_bytes", "payload").first()
         for i in range(max(0, slot - r["first_slot"]), len(r["payload"]) // r["stride"]):
-            yield r["first_slot"] + i, np.frombuffer(r["payload"], "<u2", r["stride"] // 2, i * r["stride"])
+            yield r["first_slot"] + i, np.frombuffer(r["payload"], f"<u{r['id_bytes']}", r["stride"] // r["id_bytes"], i * r["stride"])
