@@ -5,16 +5,22 @@ and b ~ Uniform(0, 1), all functions of (term, k). With t = floor(ln w / r + b),
 a = c exp(-r (t - b + 1)); the sample of k is the (term, t) of the least a. Two texts have equal samples with a probability
 that equals their generalised Jaccard similarity: the sum over terms of the lesser weight by that of the greater.
 
-A sample is a 64-bit integer: 32 bits of ln a in fixed point, then 32 bits of a hash of (term, t), so that a minimum over
-plain longs finds it within a hash aggregation. Words are hashed once to 64 bits.
-
-The next document in descending doc_id is found inside blocks of ids, and over the blocks' borders in a hierarchy of
-blocks; no window spans the table. A document's rows stay in the block's partition from the exchange of its text on:
+The variates are quantiles of their distributions at the midpoints of GRID equal steps, looked up by bits of one hash of
+(term, k); all terms share the grid, so it bears on no choice between terms of equal weight. A sample is a 64-bit integer: 32
+bits of ln a in fixed point, then 32 bits of (term, t), so that a minimum over plain longs finds it within a hash
+aggregation. Words are hashed once to 64 bits.
+
+The next document in descending doc_id is found inside blocks: ranges of (doc_id, hash of the text) between boundaries from a
+bounded sample of these keys, so blocks have about equal numbers of rows however the ids lie, and rows with a null or a
+repeated doc_id are dealt out as well. A document's rows stay in the block's partition from the exchange of its text on:
 counting its words and sampling need no further shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,84 +29,144 @@ from . import common
 HASHES = 64
 #: Hash functions that are evaluated for a row at once: more would make generated code too large to be compiled.
 AT_ONCE = 4
-BLOCK, LEVELS = 256, 3
-#: Texts at the heads of blocks are found by a broadcast of so many ids at most (8 bytes each); beyond, by a shuffled join.
-MAX_BROADCAST_IDS = 2_000_000
+#: Blocks for each shuffle partition (fewer, down to two, beyond MANY_BLOCKS of them), and keys (24 bytes each) that the driver
+#: sees for each block to set the boundaries.
+BLOCKS, MANY_BLOCKS, SAMPLED = 16, 20_000, 32
+#: log2 of the steps of the gamma variates' grid.
+GRID = 12
 #: ln a lies within +-64 for all weights below 2^31; it is kept in steps of 2^-24.
 _SHIFT, _STEPS = 64.0, float(1 << 24)
+#: In which of a row's two texts a term has the weight.
+BOTH, OWN, EDITED = range(3)
+
+
+def _gamma_quantile(u: float) -> float:
+    """Of Gamma(2, 1): the x with 1 - (1 + x) exp(-x) = u, by bisection."""
+    low, high = 0.0, 64.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        if -math.expm1(-mid) - mid * math.exp(-mid) < u:
+            low = mid
+        else:
+            high = mid
+    return high
+
+
+_GAMMA = [_gamma_quantile((i + 0.5) / (1 << GRID)) for i in range(1 << GRID)]
+
+
+def _table(numbers: list[float]) -> Column:
+    """A constant array: the optimizer folds it once."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
+
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """Ascending in descending doc_id, nulls last; ties by a hash of the text."""
+    return F.struct(doc_id.isNull().alias("n"), F.coalesce(F.bitwise_not(doc_id), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
 
-def _uniform(bits: Column, at: int) -> Column:
-    """A number in (0, 1) from 21 bits of a long."""
-    return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
 
+_KEY = "struct<n: boolean, k: bigint, h: bigint>"
 
-def _gamma2(u: Column, v: Column) -> Column:
-    """Gamma(2, 1): the sum of two exponential variates."""
-    return -F.ln(u * v)
 
+def _keys(keys: list[tuple]) -> Column:
+    return F.from_json(F.lit(json.dumps([{"n": n, "k": k, "h": h} for n, k, h in keys])), f"array<{_KEY}>")
 
-def successors(ids: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """id and next, the next smaller id (null for the smallest), of distinct ids. Each window holds a block of ids, the last one the table's share of 1 in block ** levels."""
-    if not levels:
-        return ids.select("id", F.lead("id").over(Window.orderBy(F.desc("id"))).alias("next"))
-    inside = ids.select("id", F.floor(F.col("id") / block).alias("g")).withColumn("next", F.lead("id").over(Window.partitionBy("g").orderBy(F.desc("id"))))
-    heads = ids.groupBy(F.floor(F.col("id") / block).alias("g")).agg(F.max("id").alias("head"))
-    after = successors(heads.select(F.col("g").alias("id")), block, levels - 1).withColumnsRenamed({"id": "g", "next": "g2"})
-    border = after.join(heads.select(F.col("g").alias("g2"), "head"), "g2").select("g", "head")
-    return inside.join(border, "g", "left").select("id", F.coalesce("next", "head").alias("next"))
 
+def boundaries(keyed: DataFrame, blocks: int) -> list[tuple]:
+    """At most blocks - 1 keys, in order, between which about equal numbers of rows lie. keyed: key. The same on every run."""
+    seen = keyed.select("key.*").orderBy(F.xxhash64("n", "k", "h"), "n", "k", "h").limit(SAMPLED * blocks).collect()
+    keys = sorted(map(tuple, seen))
+    return sorted({keys[i * len(keys) // blocks] for i in range(1, blocks)}) if keys else []
 
-def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+
+def _block(key: Column, bounds: list[tuple]) -> Column:
+    """How many bounds are not above key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = (acc["low"] < acc["high"]) & (F.get(_keys(bounds), mid) <= key)
+        return F.struct(F.when(right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(right | (acc["low"] >= acc["high"]), acc["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(steps, start, step, lambda acc: acc["low"])
+
+
+def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """block, at, doc_id, text, next_id and next_text: the next document in descending doc_id; after the last comes the first.
 
     The rows are partitioned by block, within which at is unique. Rows with the same doc_id follow each other in the order
-    of their texts; rows with a null doc_id come last in block 0, and the next of the last row of all is the first.
+    of their texts' hashes, rows with a null doc_id come last, and the next of the last row of all is the first. Rows that
+    are equal in both are of one block.
     """
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.coalesce(F.floor(F.col("doc_id") / block), F.lit(0)))
-    blocks = common.cut(own.groupBy("block").agg(F.max("doc_id").alias("head")))
-    after = successors(blocks.select(F.col("block").alias("id")), block, LEVELS - 1).withColumnsRenamed({"id": "block", "next": "b2"})
-    most = blocks.groupBy().agg(F.max("head").alias("most"))  # one row
-    border = after.join(blocks.select(F.col("block").alias("b2"), "head"), "b2", "left").crossJoin(F.broadcast(most)).select("block", F.coalesce("head", "most").alias("head_id"))
-    border = common.cut(border)
-    few = border.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    small = F.broadcast if few else (lambda df: df)
-    heads = own.select("doc_id", "text").join(small(border.select(F.col("head_id").alias("doc_id")).distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("head_text"))
-    border = border.join(heads.withColumnRenamed("doc_id", "head_id"), "head_id")
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    inside = own.withColumns({"at": F.row_number().over(order), "next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)})
-    joined = inside.join(border, "block", "left")
-    own_is_next = F.col("next_text").isNull() & F.col("head_text").isNull()  # no row has a doc_id
-    return joined.select("block", "at", "doc_id", "text", F.when(F.col("next_text").isNull(), F.col("head_id")).otherwise(F.col("next_id")).alias("next_id"), F.when(own_is_next, F.col("text")).otherwise(F.coalesce("next_text", "head_text")).alias("next_text"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or parts * max(2, min(BLOCKS, MANY_BLOCKS // parts))
+    text = F.coalesce(docs["text"], F.lit(""))
+    own = docs.select(_row_key(docs["doc_id"].cast("bigint"), text).alias("key"), text.alias("text"))
+    bounds = boundaries(own, blocks)
+    dealt = own.select(F.coalesce(_block(F.col("key"), bounds), F.lit(0)).alias("block"), F.lit(False).alias("foreign"), "key", "text")
+    # One row for each block, of which there are no more than boundaries: the key of its first row. The block before gets that row as well.
+    heads = sorted((r["block"], tuple(r["head"])) for r in dealt.groupBy("block").agg(F.min("key").alias("head")).collect())
+    following = [(b, *heads[(i + 1) % len(heads)][1]) for i, (b, _) in enumerate(heads)]
+    after = spark.createDataFrame(following, "block int, n boolean, k bigint, h bigint").select("block", F.struct("n", "k", "h").alias("key"))
+    first = own.join(F.broadcast(after), "key").groupBy("block", "key").agg(F.min("text").alias("text"))
+    every = dealt.unionByName(first.select(F.coalesce("block", F.lit(0)).alias("block"), F.lit(True).alias("foreign"), "key", "text"))
+    # Ranges of blocks are as even as blocks are; hashed ones aren't. Whatever is read of the result, the exchange is the same one:
+    # the key holds the doc_id.
+    order = Window.partitionBy("block").orderBy("foreign", "key", "text")
+    inside = every.repartitionByRange("block").withColumns({"at": F.row_number().over(order), "next": F.lead("key").over(order), "next_text": F.lead("text").over(order)})
+    id_of = lambda k: F.when(~k["n"], F.bitwise_not(k["k"]))
+    return inside.where(~F.col("foreign")).select("block", "at", id_of(F.col("key")).alias("doc_id"), "text", id_of(F.col("next")).alias("next_id"), "next_text")
 
 
 def _samples(each: DataFrame) -> DataFrame:
-    """each: block, at, k, h, lx, ly. Columns s0.. and e0.. with the samples of hash functions k, k + 1, ... of the term h in both texts.
+    """each: block, at, which, k, h, lw (the logarithm of a weight). Columns s0.. with the samples of hash functions k, k + 1, ... of the term h.
 
-    The steps are columns of their own, so that each is computed once; a null weight gives a null sample.
+    Each step is a projection of its own, so that nothing is computed twice and no generated method is too large.
     """
-    keys, n = ["block", "at", "k", "h", "lx", "ly"], range(AT_ONCE)
-    bits = each.select(*keys, *[F.xxhash64("h", F.col("k") + i).alias(f"x{i}") for i in n]).select("*", *[F.xxhash64(f"x{i}").alias(f"y{i}") for i in n])
-    drawn = bits.select(*keys, *[_gamma2(_uniform(F.col(f"x{i}"), 0), _uniform(F.col(f"x{i}"), 21)).alias(f"r{i}") for i in n], *[F.ln(_gamma2(_uniform(F.col(f"y{i}"), 0), _uniform(F.col(f"y{i}"), 21))).alias(f"c{i}") for i in n], *[_uniform(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}")), 43).alias(f"b{i}") for i in n])
-    timed = drawn.select(*keys, *[F.col(f"{v}{i}") for v in "rcb" for i in n], *[F.floor(F.col(w) / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"{t}{i}") for t, w in (("p", "lx"), ("q", "ly")) for i in n])
+    n, mask, keys = range(AT_ONCE), (1 << GRID) - 1, ["block", "at", "which", "k", "h"]
+    r_of, i_of, c_of = _table(_GAMMA), _table([1 / x for x in _GAMMA]), _table([math.log(x) for x in _GAMMA])
+    of = lambda letters: [F.col(f"{v}{i}") for v in letters for i in n]
+    bits = each.select(*keys, "lw", F.xxhash64("h", "k").alias("hk")).select(*keys, "lw", *[F.xxhash64("hk", F.lit(i)).alias(f"x{i}") for i in n])
+
+    def drawn(i: int) -> list[Column]:
+        x = F.col(f"x{i}")
+        c = c_of[F.shiftright(x, 48).bitwiseAND(F.lit(mask)).cast("int")]
+        return [F.shiftright(x, 32).bitwiseAND(F.lit(mask)).cast("int").alias(f"j{i}"), c.alias(f"c{i}"), ((x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / F.lit(float(1 << 32))).alias(f"b{i}")]
 
-    def packed(t: str, i: int) -> Column:
-        a = F.col(f"c{i}") - F.col(f"r{i}") * (F.col(f"{t}{i}") - F.col(f"b{i}") + 1)
-        return F.shiftleft(((a + _SHIFT) * _STEPS).cast("bigint"), 32).bitwiseOR(F.xxhash64("h", f"{t}{i}").bitwiseAND(F.lit(0xFFFFFFFF)))
+    def packed(i: int) -> Column:
+        a = F.col(f"c{i}") - r_of[F.col(f"j{i}")] * (F.col(f"t{i}") - F.col(f"b{i}") + 1)
+        term = F.col("h").bitwiseXOR(F.col(f"t{i}") * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft(((a + _SHIFT) * _STEPS).cast("bigint"), 32).bitwiseOR(term)
 
-    return timed.select("block", "at", "k", *[packed(t, i).alias(f"{name}{i}") for name, t in (("s", "p"), ("e", "q")) for i in n])
+    got = bits.select(*keys, "lw", *[c for i in n for c in drawn(i)])
+    step = lambda i: F.when(F.col("lw") > 0, F.floor(F.col("lw") * i_of[F.col(f"j{i}")] + F.col(f"b{i}"))).otherwise(F.lit(0).cast("bigint"))
+    got = got.select(*keys, *of("jcb"), *[step(i).alias(f"t{i}") for i in n])
+    return got.select("block", "at", "which", "k", *[packed(i).alias(f"s{i}") for i in n])
 
 
 def sampled(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """rows: block, at, own, edited (texts), partitioned by block. block, at, f and g: arrays of the samples of both texts (0 without words)."""
-    texts = rows.select("block", "at", F.explode(F.array(F.struct(F.col("own").alias("text"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("edited").alias("text"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("t"))
-    words = texts.select("block", "at", "t.x", "t.y", F.explode(F.split("t.text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
-    terms = words.select("block", "at", "x", "y", F.xxhash64("word").alias("h")).groupBy("block", "at", "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    each = terms.select("block", "at", "h", F.when(F.col("x") > 0, F.ln("x")).alias("lx"), F.when(F.col("y") > 0, F.ln("y")).alias("ly"), F.explode(F.array(*[F.lit(k) for k in range(0, hashes, AT_ONCE)])).alias("k"))
-    least = _samples(each).groupBy("block", "at", "k").agg(*[F.min(f"{n}{i}").alias(f"{n}{i}") for n in "se" for i in range(AT_ONCE)])
-    ints = {n: F.array(*[F.coalesce(F.col(f"{n}{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for i in range(AT_ONCE)]) for n in "se"}
-    gathered = least.groupBy("block", "at").agg(F.array_sort(F.collect_list(F.struct("k", ints["s"].alias("s"), ints["e"].alias("e")))).alias("all"))
-    return gathered.select("block", "at", F.flatten("all.s").alias("f"), F.flatten("all.e").alias("g"))
+    """rows: block, at, own, edited (texts), partitioned by block. block, at, f and g: arrays of the samples of both texts (0 without words).
+
+    A term that weighs the same in both texts, as most do, is sampled once for both.
+    """
+    texts = rows.select("block", "at", F.explode(F.array(F.struct(F.col("own").alias("text"), F.lit(1).cast("bigint").alias("n")), F.struct(F.col("edited").alias("text"), F.lit(1 << 32).alias("n")))).alias("t"))
+    words = texts.select("block", "at", "t.n", F.explode(F.split("t.text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
+    # Both counts of a term in one long: that of the own text below 2^32, that of the edited one above.
+    counts = words.select("block", "at", "n", F.xxhash64("word").alias("h")).groupBy("block", "at", "h").agg(F.sum("n").alias("n"))
+    terms = counts.select("block", "at", "h", F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"), F.shiftright("n", 32).alias("y"))
+    use = lambda which, w: F.struct(F.lit(which).alias("which"), F.col(w).alias("w"))
+    uses = F.when(F.col("x") == F.col("y"), F.array(use(BOTH, "x"))).when(F.col("y") == 0, F.array(use(OWN, "x"))).when(F.col("x") == 0, F.array(use(EDITED, "y"))).otherwise(F.array(use(OWN, "x"), use(EDITED, "y")))
+    weighed = terms.select("block", "at", "h", F.explode(uses).alias("u")).select("block", "at", "h", "u.which", F.coalesce(F.ln("u.w"), F.lit(0.0)).alias("lw"))
+    each = weighed.select("*", F.explode(F.array(*[F.lit(k) for k in range(0, hashes, AT_ONCE)])).alias("k"))
+    least = _samples(each).groupBy("block", "at", "which", "k").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(AT_ONCE)])
+    parts = least.groupBy("block", "at", "k").agg(*[F.min(F.when(F.col("which") != other, F.col(f"s{i}"))).alias(f"{n}{i}") for n, other in (("f", EDITED), ("g", OWN)) for i in range(AT_ONCE)])
+    ints = {n: F.array(*[F.coalesce(F.col(f"{n}{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for i in range(AT_ONCE)]) for n in "fg"}
+    gathered = parts.groupBy("block", "at").agg(F.array_sort(F.collect_list(F.struct("k", ints["f"].alias("f"), ints["g"].alias("g")))).alias("all"))
+    return gathered.select("block", "at", F.flatten("all.f").alias("f"), F.flatten("all.g").alias("g"))
 
 
 def likeness(a: Column, b: Column, hashes: int = HASHES) -> Column:
