@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 #: so many standard errors: chance differences of rare terms would else drown the rest in long documents.
 MIN_DOCS, MIN_Z = 3, 4.0
 #: A pair counts if each of its combinations is in so many sampled documents, and its interaction has so many standard errors.
-PAIR_TERMS, MIN_CELL, MIN_PAIR_Z = 3072, 10, 9.0
+PAIR_TERMS, MIN_CELL, MIN_PAIR_Z = 2048, 10, 9.0
 EPOCHS, BATCH, RATE, L2, SEED = 12, 64, 0.1, 1e-3, 1
 CACHE_WORDS = 200_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
