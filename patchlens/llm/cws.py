@@ -73,9 +73,13 @@ def _keys(keys: list[tuple]) -> Column:
 
 
 def boundaries(keyed: DataFrame, blocks: int) -> list[tuple]:
-    """At most blocks - 1 keys, in order, between which about equal numbers of rows lie. keyed: key. The same on every run."""
-    seen = keyed.select("key.*").orderBy(F.xxhash64("n", "k", "h"), "n", "k", "h").limit(SAMPLED * blocks).collect()
-    keys = sorted(map(tuple, seen))
+    """At most blocks - 1 keys, in order, between which about equal numbers of rows lie. keyed: key. The same on every run.
+
+    About SAMPLED * blocks distinct keys are seen, those whose hash is below a share of its range.
+    """
+    share = min(1.0, SAMPLED * blocks / max(1, keyed.count()))
+    chosen = F.pmod(F.xxhash64("n", "k", "h"), F.lit(1 << 40)) < int(share * (1 << 40))
+    keys = sorted(map(tuple, keyed.select("key.*").where(chosen).distinct().collect()))
     return sorted({keys[i * len(keys) // blocks] for i in range(1, blocks)}) if keys else []
 
 
