@@ -6,6 +6,8 @@ import dataclasses
 import os
 from dataclasses import dataclass
 
+from .functions.patterns import EXEMPT_PATH
+
 VERDICTS = ("pass", "review", "block")
 
 
@@ -44,6 +46,7 @@ class Config:
     registries: tuple[str, ...] = ()
     floor_on_mode: bool = False
     chunks_before_deadline: int | None = None
+    exempt_path: str = EXEMPT_PATH
 
     def __post_init__(self):
         object.__setattr__(self, "max_chunks", max(1, self.max_chunks))

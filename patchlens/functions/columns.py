@@ -30,8 +30,8 @@ def is_injection(text: Column) -> Column:
     return text.rlike(P.INJECTION)
 
 
-def is_exempt(path: Column) -> Column:
-    return path.rlike(P.EXEMPT_PATH)
+def is_exempt(path: Column, cfg: Config = Config()) -> Column:
+    return path.rlike(cfg.exempt_path)
 
 
 def is_high_risk(path: Column) -> Column:
@@ -81,7 +81,7 @@ def collapse(text: Column) -> Column:
 
 
 def wrap_untrusted(text: Column, escape: bool = True) -> Column:
-    """The payload between tags; a closing tag inside it is escaped."""
+    """The payload between tags. A closing tag inside it is escaped, or it would end the payload early; escape=False leaves it."""
     body = F.replace(text, F.lit("</untrusted_diff>"), F.lit("<\\/untrusted_diff>")) if escape else text
     return F.concat(F.lit("<untrusted_diff>\n"), body, F.lit("\n</untrusted_diff>"))
 

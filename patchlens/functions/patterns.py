@@ -2,7 +2,7 @@
 
 # Markers of text that is aimed at the reviewer.
 INJECTION = r"(?iu)(ignore\s+(all\s+)?(previous|prior)\s+instructions|you\s+are\s+now|disregard\s+the\s+above|risk[_\s]?score\s*(=|:|to)\s*0|pre-?approved|reviewer[-\s]?bot|system\s*:)"
-EXEMPT_PATH = r"(?iu)(^|/)(samples|tests|fixtures|testdata|prompts)/|(^|/)detector/scan\.py$"
+EXEMPT_PATH = r"(?iu)(^|/)(samples|tests|fixtures|testdata|prompts)/"
 # Where to look first.
 HIGH_RISK_PATH = r"(?iu)(\.github/workflows/|(^|/)Dockerfile|\.sh$|(^|/)package\.json$|(^|/)requirements\.txt$|(^|/)go\.mod$|\.ya?ml$)"
 KEYWORD = r"(?iu)(eval|exec|base64|subprocess|os\.system|urllib|requests|socket|token|secret|password|curl)"
@@ -24,10 +24,12 @@ MANIFESTS = {
 }
 # Package registries.
 HOSTS = ("npmjs.org", "npmjs.com", "yarnpkg.com", "pythonhosted.org", "pypi.org", "crates.io", "golang.org", "rubygems.org", "maven.apache.org", "github.com", "githubusercontent.com", "packagist.org")
+# An address in a lockfile, a dependency from elsewhere, and how many findings a lockfile has at most.
 URL = r"https?://[A-Za-z0-9._~\-]+"
 OFF_REGISTRY = r"(?iu)(git\+[a-z0-9.+\-]*://|(?<![A-Za-z])git://|(?<![A-Za-z])ssh://|(?<![A-Za-z0-9_])(?:file|link):(?=[./~]))"
 MAX_LOCK_FINDINGS = 25
 
+# A file's header, the ends of lines, what is deleted, the mark of a cut file, an object in prose.
 HEADER = r"^diff --git a/(.*?) b/(.*?)\s*$"
 LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"

@@ -67,6 +67,6 @@ def bootstraps(fated: DataFrame, cfg: Config = Config()) -> DataFrame:
     return sums.withColumn("bootstrap", (F.col("scannable") > cfg.bootstrap_files) | (F.col("added_lines") > cfg.bootstrap_added_lines))
 
 
-def injections(files: DataFrame) -> DataFrame:
+def injections(files: DataFrame, cfg: Config = Config()) -> DataFrame:
     """diff_id, injection: whether a file outside exempt paths has a marker anywhere in its diff."""
-    return files.groupBy("diff_id").agg(F.bool_or(C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"))).alias("injection"))
+    return files.groupBy("diff_id").agg(F.bool_or(C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"), cfg)).alias("injection"))

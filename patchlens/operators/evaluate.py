@@ -94,9 +94,23 @@ def change_rate(changes: DataFrame, diffs: DataFrame) -> DataFrame:
     return diffs.select("diff_id").join(flipped, "diff_id", "left").agg(F.count("*").alias("diffs"), F.count_if("changed").alias("changed")).withColumn("rate", F.coalesce(F.try_divide("changed", "diffs"), F.lit(0.0)))
 
 
+def distinctive(text: Column) -> Column:
+    return F.filter(C.tokens(text), lambda t: (F.length(t) >= P.MIN_TOKEN) & ~t.isin(P.GENERIC_TOKENS))
+
+
+def contaminated_by(samples: DataFrame, prompt: DataFrame) -> DataFrame:
+    """samples: id, name (of any length); prompt: one row, prompt. As contaminated(), with each token looked up once, whatever the number of samples that have it."""
+    plain = F.broadcast(prompt.select(C.collapse(F.col("prompt")).alias("plain")))  # one row
+    own = samples.select("id", F.explode(distinctive(F.col("name"))).alias("t")).distinct()
+    hits = own.select("t").distinct().join(plain, F.contains("plain", "t")).select("t")
+    met = own.join(hits, "t").groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("overlap"))
+    joined = samples.select("id").join(met, "id", "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
+    return joined.withColumn("contaminated", F.size("overlap") > 0)
+
+
 def contaminated(samples: DataFrame, prompt: Column) -> DataFrame:
     """samples: name, and any column that prompt takes. name, overlap (sorted) and contaminated: distinctive tokens of the name that the prompt has."""
-    own = F.filter(C.tokens(F.col("name")), lambda t: (F.length(t) >= P.MIN_TOKEN) & ~t.isin(P.GENERIC_TOKENS))
+    own = distinctive(F.col("name"))
     plain = C.collapse(prompt)
     overlap = F.array_sort(F.filter(own, lambda t: F.contains(plain, t)))
     return samples.select("*", overlap.alias("overlap")).withColumn("contaminated", F.size("overlap") > 0)

@@ -24,11 +24,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def sanitize(diffs: DataFrame, column: str = "raw") -> DataFrame:
-    """Adds `clean`: compatibility characters composed, zero-width ones deleted. Only rows beyond ASCII go through Python."""
-    plain = ~F.col(column).rlike(r"[^\x00-\x7F]") | F.col(column).isNull()
-    ascii_rows = diffs.where(plain).withColumn("clean", F.col(column))
-    others = diffs.where(~plain).withColumn("clean", F.translate(_nfkc(F.col(column)), P.ZERO_WIDTH, ""))
-    return ascii_rows.unionByName(others)
+    """Adds `clean`: compatibility characters composed, zero-width ones deleted. Only texts beyond ASCII go to Python."""
+    beyond = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    return diffs.withColumn("clean", F.coalesce(F.translate(_nfkc(beyond), P.ZERO_WIDTH, ""), F.col(column)))
 
 
 def lines(diffs: DataFrame, column: str = "clean") -> DataFrame:

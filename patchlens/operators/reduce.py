@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as C
+from ..functions import patterns as P
 from .score import RESULT, with_note
 
 TRIPWIRE = "Automated tripwire: text aimed at the reviewer was found in the diff, so the score was raised to the floor of %d from %d."
@@ -48,6 +49,25 @@ def reduce_outcomes(outcomes: DataFrame, cfg: Config = Config()) -> DataFrame:
     return all_.select("diff_id", "num_chunks", "files_scanned", (F.col("n_ok") > 0).alias("scored"), "failsafe", pick("risk_score", F.coalesce("worst", F.lit(0))), pick("key_changes", F.coalesce("changes", F.array().cast("array<string>"))), pick("suspicious_findings", F.coalesce("findings", F.array().cast(FINDING))), pick("reasoning", F.when(F.col("notes") != "", F.col("notes")).otherwise(none)), alone.alias("verbatim"))
 
 
+def to_narrate(results: DataFrame) -> DataFrame:
+    """diff_id, text: findings and notes of each diff whose result isn't that of its only chunk."""
+    listed = F.array_join(F.transform("suspicious_findings", lambda f: F.concat(F.lit("- "), f["file"], F.lit(": "), f["reason"])), "\n")
+    text = F.concat(F.lit("Findings:\n"), F.coalesce(F.nullif(listed, F.lit("")), F.lit("(none)")), F.lit("\n\nNotes:\n"), F.col("reasoning"))
+    return results.where(~F.col("verbatim")).select("diff_id", text.alias("text"))
+
+
+def narrated(results: DataFrame, replies: DataFrame) -> DataFrame:
+    """results with the reasoning of replies (diff_id, content: an object with a reasoning); one that can't be read changes nothing.
+
+    Scores, findings and verdicts don't depend on it.
+    """
+    v = F.coalesce(F.try_parse_json("content"), F.try_parse_json(F.nullif(F.regexp_extract("content", P.JSON_OBJECT, 0), F.lit(""))))
+    new = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.nullif(C.strip(F.try_variant_get(v, "$.reasoning", "string")), F.lit("")))
+    told = replies.select("diff_id", new.alias("told")).groupBy("diff_id").agg(F.max("told").alias("told"))
+    joined = results.join(told, "diff_id", "left")
+    return joined.withColumn("reasoning", F.when(F.col("verbatim"), F.col("reasoning")).otherwise(F.coalesce("told", "reasoning"))).drop("told")
+
+
 def merge_findings(results: DataFrame, extra: DataFrame) -> DataFrame:
     """suspicious_findings with those of extra (diff_id, part >= 1, seq, file, reason) behind, unless said before."""
     own = results.select("diff_id", F.lit(0).alias("part"), F.posexplode("suspicious_findings").alias("seq", "f")).select("diff_id", "part", F.col("seq").cast("bigint").alias("seq"), "f.file", "f.reason", F.lit(True).alias("own"))

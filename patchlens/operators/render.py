@@ -13,9 +13,18 @@ MARKER = "<!-- patchlens-report -->"
 KEYS = ("verdict score scored truncated injection failsafe bootstrap num_chunks files_scanned files_unscanned files_truncated files_binary files_excluded files_lockfiles key_changes suspicious_findings reasoning").split()
 
 
+# The fields of a result when there was nothing to review, in order.
+EMPTY_KEYS = "verdict score key_changes suspicious_findings reasoning".split()
+
+
+def is_empty() -> Column:
+    """Of a row of scans: nothing was there to be reviewed."""
+    return ~F.col("scored") & F.col("score").isNotNull()
+
+
 def json_of() -> Column:
-    """A row of scans as JSON: the 17 fields, indented by two."""
-    return F.to_json(F.struct(*KEYS), {"pretty": "true", "ignoreNullFields": "false"})
+    """A row of scans as JSON: the 17 fields, indented by two; on one line the 5 of an empty diff."""
+    return F.when(is_empty(), F.to_json(F.struct(*EMPTY_KEYS))).otherwise(F.to_json(F.struct(*KEYS), {"pretty": "true", "ignoreNullFields": "false"}))
 
 
 def as_json(scans: DataFrame) -> DataFrame:

@@ -209,11 +209,10 @@ def r4(spark, d):
     return pack.chunks(ranked, pack.placements(ranked, CFG), CFG).select("diff_id", "chunk_no", _md5(F.col("text")).alias("text_md5"), F.array_join("paths", ",").alias("paths"))
 
 
-#: Replies made of events: three events of a user are the calls of a chunk; a kind of event stands for a service error.
-_REPLY_SQL = """SELECT user_id AS diff_id, CAST((n % 9) / 3 AS INT) AS chunk_no, CAST(1 + floor(n / 9) AS INT) AS look, CAST(1 + n % 3 AS INT) AS call_no, CASE WHEN event_type = 'error' THEN 'infra' ELSE 'ok' END AS kind,
+#: Replies made of events: six events of a user are the three calls of the two looks at a chunk; a kind of event stands for a service error.
+_REPLY_SQL = """SELECT user_id AS diff_id, CAST(1 + floor(n / 6) AS INT) AS chunk_no, CAST(1 + floor((n % 6) / 3) AS INT) AS look, CAST(1 + n % 3 AS INT) AS call_no, CASE WHEN event_type = 'error' THEN 'infra' ELSE 'ok' END AS kind,
  CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('Here it is: {{"risk_score": ', cast(event_id % 140 - 20 AS {string}), ', "reasoning": " text ", "key_changes": ["a", " b "]}} done') WHEN 2 THEN 'no object' WHEN 3 THEN concat('{{"risk_score": "', cast(event_id % 100 AS {string}), '"}}') ELSE concat('{{"risk_score": ', cast(event_id % 100 AS {string}), '.7, "reasoning": "r"}}') END AS content
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n < 18"""
-_REPLY_SQL = _REPLY_SQL.replace("CAST((n % 9) / 3 AS INT)", "CAST(1 + floor((n % 9) / 3) AS INT)")
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)"""
 
 
 def _replies(spark, d):
@@ -318,7 +317,20 @@ def a13(spark, d):
     return evaluate.common_identifier(_added(spark, d))
 
 
-@query("e2a_rename")
+# A diff's lines with what the perturbations need; \\b as Unicode has it, by the characters around a word, twice as they are shared.
+_PERTURBED = f""", met AS (SELECT diff_id, line_no, unnest(range(0, len(x))) AS at_i, unnest(x) AS identifier FROM (SELECT diff_id, line_no, regexp_extract_all(substr(text, 2), '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS x FROM lines WHERE starts_with(text, '+') AND NOT starts_with(text, '+++'))),
+idn AS (SELECT diff_id, identifier, count(*) AS n, min(struct_pack(l := line_no, a := at_i)) AS f FROM met WHERE lower(identifier) NOT IN ({', '.join(repr(w) for w in P.KEYWORDS_OF_LANGUAGES)}) GROUP BY diff_id, identifier QUALIFY row_number() OVER (PARTITION BY diff_id ORDER BY n DESC, f) = 1),
+word AS (SELECT diff_id, '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])' || identifier || '($|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])' AS rx, '\\1' || identifier || '_v2\\2' AS new FROM idn),
+renamed AS (SELECT l.diff_id, string_agg(CASE WHEN rx IS NOT NULL AND substr(text, 1, 1) IN ('+', '-', ' ') AND NOT starts_with(text, '+++') AND NOT starts_with(text, '---') THEN regexp_replace(regexp_replace(text, rx, new, 'g'), rx, new, 'g') ELSE text END || chr(10), '' ORDER BY line_no) AS raw FROM lines l LEFT JOIN word w USING (diff_id) GROUP BY l.diff_id),
+blank AS (SELECT diff_id, string_agg(text || chr(10) || CASE WHEN at_ THEN '+' || chr(10) ELSE '' END, '' ORDER BY line_no) AS raw FROM flags GROUP BY diff_id),
+hg AS (SELECT *, sum(at_::INT) {_W} AS h, sum(git::INT) {_W} AS g FROM flags),
+hunk2 AS (SELECT diff_id, min(g) FILTER (h = 1) AS g1, min(g) FILTER (h = 2) AS g2 FROM hg GROUP BY diff_id),
+swapped AS (SELECT diff_id, string_agg(text || chr(10), '' ORDER BY CASE WHEN g1 IS NULL OR g2 IS NULL OR g1 <> g2 THEN 0 WHEN h = 0 THEN 0 WHEN h = 1 THEN 2 WHEN h = 2 AND g = g2 THEN 1 ELSE 3 END, line_no) AS raw FROM hg JOIN hunk2 USING (diff_id) GROUP BY diff_id)
+"""
+_MD5_OF = " SELECT diff_id, md5(raw) AS raw_md5 FROM {}"
+
+
+@query("e2a_rename", _cte() + _PERTURBED + _MD5_OF.format("renamed"))
 def e2a(spark, d):
     return evaluate.rename(virtual.diffs(spark, d)).select("diff_id", _md5(F.col("raw")).alias("raw_md5"))
 
@@ -328,7 +340,7 @@ def e2b(spark, d):
     return evaluate.blank_lines(virtual.diffs(spark, d)).select("diff_id", _md5(F.col("raw")).alias("raw_md5"))
 
 
-@query("e2c_reorder")
+@query("e2c_reorder", _cte() + _PERTURBED + _MD5_OF.format("swapped"))
 def e2c(spark, d):
     return evaluate.reorder(virtual.diffs(spark, d)).select("diff_id", _md5(F.col("raw")).alias("raw_md5"))
 
@@ -336,13 +348,13 @@ def e2c(spark, d):
 _GENERIC = ", ".join(f"'{w}'" for w in P.GENERIC_TOKENS)
 
 
-@query("e4_contamination", f"WITH p AS (SELECT regexp_replace(lower(string_agg(text, ' ' ORDER BY item_id)), '[^a-z0-9]', '', 'g') AS plain FROM benchmark), s AS (SELECT doc_id, substr(text, 1, 60) AS name FROM documents), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM s), o AS (SELECT doc_id, t FROM t, p WHERE length(t) >= 4 AND t NOT IN ({_GENERIC}) AND contains(plain, t)) SELECT doc_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS overlap, count(t) > 0 AS contaminated FROM s LEFT JOIN o USING (doc_id) GROUP BY doc_id")
+@query("e4_contamination", f"WITH p AS (SELECT regexp_replace(lower(string_agg(text, ' ' ORDER BY item_id)), '[^a-z0-9]', '', 'g') AS plain FROM benchmark), s AS (SELECT doc_id, text AS name FROM documents), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM s), o AS (SELECT doc_id, t FROM t, p WHERE length(t) >= 4 AND t NOT IN ({_GENERIC}) AND contains(plain, t)) SELECT doc_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS overlap, count(t) > 0 AS contaminated FROM s LEFT JOIN o USING (doc_id) GROUP BY doc_id")
 def e4(spark, d):
     b, docs = spark.read.parquet(f"{d}/benchmark.parquet"), spark.read.parquet(f"{d}/documents.parquet")
     # The rubric is one text: benchmark is a list of a few hundred items.
     prompt = b.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]), " ").alias("prompt"))
-    samples = docs.select("doc_id", F.substring("text", 1, 60).alias("name")).crossJoin(F.broadcast(prompt))  # one row
-    return evaluate.contaminated(samples, F.col("prompt")).select("doc_id", F.array_join("overlap", ",").alias("overlap"), "contaminated")
+    found = evaluate.contaminated_by(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("name")), prompt)
+    return found.select(F.col("id").alias("doc_id"), F.array_join("overlap", ",").alias("overlap"), "contaminated")
 
 
 def _by_risk(spark, d, cfg=CFG, source=virtual.diffs):
@@ -351,8 +363,9 @@ def _by_risk(spark, d, cfg=CFG, source=virtual.diffs):
     return plans.scan(source(spark, d), score.rules(risk), cfg)
 
 
-_SCAN = _PLACED + f""", {_META},
-ch AS (SELECT diff_id, s.chunk_no, least(100, 10 * len(list_distinct(list_transform(regexp_extract_all(string_agg(CASE WHEN length(file_diff) > {CFG.max_chars} THEN substr(file_diff, 1, {CFG.max_chars}) || chr(10) || '[file truncated]' ELSE file_diff END, '' ORDER BY s.rank), '{_RX["kw"]}'), lambda x: lower(x)))) + CASE WHEN bool_or(starts_with(path, '.github')) THEN 35 ELSE 0 END) AS risk, count(*) AS n FROM steps s JOIN ranks r ON r.diff_id = s.g AND r.rank = s.rank WHERE s.chunk_no IS NOT NULL GROUP BY ALL),
+def _scan_sql(placed: str, risk: str) -> str:
+    return placed + f""", {_META},
+ch AS (SELECT diff_id, s.chunk_no, least(100, 10 * len(list_distinct(list_transform(regexp_extract_all(string_agg(CASE WHEN length(file_diff) > {CFG.max_chars} THEN substr(file_diff, 1, {CFG.max_chars}) || chr(10) || '[file truncated]' ELSE file_diff END, '' ORDER BY s.rank), '{_RX["kw"]}'), lambda x: lower(x)))) {risk}) AS risk, count(*) AS n FROM steps s JOIN ranks r ON r.diff_id = s.g AND r.rank = s.rank WHERE s.chunk_no IS NOT NULL GROUP BY ALL),
 res AS (SELECT diff_id, max(risk) AS risk, count(*) AS num_chunks, sum(n) AS files_scanned FROM ch GROUP BY diff_id),
 cov AS (SELECT g AS diff_id, count(*) FILTER (state IN ('overflow', 'truncated')) AS partial FROM steps WHERE rank > 0 GROUP BY g),
 bin AS (SELECT diff_id, count(*) AS n_bin FROM meta WHERE starts_with(reason, 'Binary') GROUP BY diff_id),
@@ -363,6 +376,9 @@ allr AS (SELECT d.diff_id, coalesce(risk, 0) AS score, risk IS NOT NULL AS score
 SELECT diff_id, CASE WHEN score >= 70 THEN 'block' WHEN score >= 40 OR floored THEN 'review' ELSE 'pass' END AS verdict, CASE WHEN scored THEN CAST(score AS INT) END AS score, scored, truncated, CAST(num_chunks AS INT) AS num_chunks, CAST(files_scanned AS INT) AS files_scanned FROM allr"""
 
 
+_SCAN = _scan_sql(_PLACED, "+ CASE WHEN bool_or(starts_with(path, '.github')) THEN 35 ELSE 0 END")
+
+
 @query("scan_full", _SCAN)
 def scan_full(spark, d):
     return _by_risk(spark, d).select("diff_id", "verdict", "score", "scored", "truncated", "num_chunks", "files_scanned")
@@ -374,13 +390,50 @@ def reports(spark, d):
     return scans.select("diff_id", render.json_of().alias("json"), render.report(CFG).alias("report"))
 
 
-@query("a12_robustness")
+# The diffs and their variants that differ, as diffs of their own, reviewed together.
+_VARIANTS = f"SELECT diff_id * 4 + k AS diff_id, raw FROM (SELECT diff_id, 0 AS k, raw FROM diffs UNION ALL SELECT v.diff_id, k, v.raw FROM (SELECT diff_id, 1 AS k, raw FROM renamed UNION ALL SELECT diff_id, 2, raw FROM blank UNION ALL SELECT diff_id, 3, raw FROM swapped) v JOIN diffs d ON d.diff_id = v.diff_id AND d.raw <> v.raw)"
+_A12 = _scan_sql(_PLACED.replace(virtual.oracle_diffs(), _cte() + _PERTURBED + _VARIANTS), "")
+
+
+@query("a12_robustness", f"WITH judged AS ({_A12}), c AS (SELECT a.diff_id // 4 AS id, bool_or(b.verdict <> a.verdict) AS flip FROM judged a LEFT JOIN judged b ON b.diff_id // 4 = a.diff_id // 4 AND b.diff_id <> a.diff_id WHERE a.diff_id % 4 = 0 GROUP BY ALL) SELECT count(*) AS diffs, count(*) FILTER (flip) AS changed, count(*) FILTER (flip) / count(*) AS rate FROM c")
 def a12(spark, d):
     diffs = virtual.diffs(spark, d)
     judge = lambda x: plans.scan(x, score.rules(F.least(F.lit(100), 10 * F.size(C.keywords(F.col("text"))))), CFG).select("diff_id", "verdict")
     return evaluate.change_rate(evaluate.robustness(diffs, judge), diffs)
 
 
+_FLAGGED = f"WITH x AS (SELECT e.expected AS e, s.verdict <> 'pass' AS f FROM ({_SCAN}) s JOIN (SELECT cast(floor(doc_id / 10) AS bigint) AS diff_id, max(toxic) = 1 AS expected FROM labels GROUP BY ALL) e USING (diff_id)), m AS (SELECT count(*) FILTER (e AND f) AS tp, count(*) FILTER (NOT e AND f) AS fp, count(*) FILTER (NOT e AND NOT f) AS tn, count(*) FILTER (e AND NOT f) AS fn, count(*) AS n FROM x) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce((tp + tn) / nullif(n, 0), 0), 6) AS accuracy FROM m"
+
+
+@query("e1_accuracy", _FLAGGED)
+def e1(spark, d):
+    """A labelled corpus (a diff is to be flagged if one of its documents is labelled toxic), reviewed and counted."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy(F.floor(F.col("doc_id") / 10).alias("diff_id")).agg((F.max("toxic") == 1).alias("expected"))
+    m = evaluate.confusion(_by_risk(spark, d).join(labels, "diff_id"))
+    return m.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "accuracy")})
+
+
+@query("k8_empty", "SELECT doc_id AS diff_id, '{\"verdict\":\"pass\",\"score\":0,\"key_changes\":[],\"suspicious_findings\":[],\"reasoning\":\"\"}' AS json FROM documents")
+def k8(spark, d):
+    """Documents aren't diffs: nothing in them is to be reviewed."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("diff_id"), F.regexp_replace("text", "(?m)^(diff --git|--- |\\+\\+\\+ |@@)", "  $1").alias("raw"))
+    return plans.scan(docs, score.rules(F.lit(0)), CFG).select("diff_id", render.json_of().alias("json"))
+
+
+_SAID = f"""diffs d LEFT JOIN (SELECT diff_id, string_agg(path, ',' ORDER BY rank) FILTER (state = 'truncated') AS cut, string_agg(path, ',' ORDER BY rank) FILTER (state = 'overflow') AS over FROM (SELECT s.g AS diff_id, s.rank, s.state, r.path FROM steps s JOIN ranks r ON r.diff_id = s.g AND r.rank = s.rank) GROUP BY diff_id) USING (diff_id)
+LEFT JOIN (SELECT diff_id, string_agg(path, ',' ORDER BY file_no) FILTER (fate = 'lockfile') AS locks, string_agg(path, ',' ORDER BY f_order, file_no) FILTER (fate = 'excluded') AS excluded FROM (SELECT *, CASE WHEN regexp_matches(path, '{_RX["excluded"]}') THEN 0 ELSE 1 END AS f_order FROM fates) GROUP BY diff_id) USING (diff_id)
+LEFT JOIN (SELECT diff_id, string_agg(file, ',' ORDER BY l) AS bins FROM (SELECT diff_id, file, min(line_no) AS l FROM meta WHERE starts_with(reason, 'Binary') GROUP BY ALL) GROUP BY diff_id) USING (diff_id)
+LEFT JOIN (SELECT diff_id, count(*) AS n_findings, string_agg(file || '>' || reason, '|' ORDER BY file, reason) AS said FROM (SELECT DISTINCT diff_id, file, reason FROM (SELECT diff_id, file, reason FROM meta WHERE reason IS NOT NULL UNION ALL SELECT diff_id, path, '{classify.HAND_EDITED}' FROM fates WHERE fate = 'finding' UNION ALL SELECT f.diff_id, f.path, replace('{classify.NO_MANIFEST}', '%s', m.manifest) FROM first f JOIN m USING (base) WHERE NOT EXISTS (SELECT 1 FROM first g WHERE g.diff_id = f.diff_id AND g.dir = f.dir AND g.base = m.manifest))) GROUP BY diff_id) USING (diff_id)"""
+
+
+@query("scan_lists", _SCAN[: _SCAN.index("allr AS (")].rstrip().rstrip(",") + f" SELECT diff_id, coalesce(cut, '') AS cut, coalesce(over, '') AS over, coalesce(locks, '') AS locks, coalesce(excluded, '') AS excluded, coalesce(bins, '') AS bins, coalesce(n_findings, 0) AS n_findings, coalesce(said, '') AS said FROM {_SAID}")
+def scan_lists(spark, d):
+    """What a review lists: paths that were cut, left over, excluded, lockfiles and binary, in their order, and its findings."""
+    s, joined = _by_risk(spark, d), lambda c: F.array_join(c, ",")
+    said = F.array_join(F.transform(F.array_sort(F.col("suspicious_findings")), lambda f: F.concat(f["file"], F.lit(">"), f["reason"])), "|")
+    return s.select("diff_id", joined("files_truncated").alias("cut"), joined("files_unscanned").alias("over"), joined("files_lockfiles").alias("locks"), joined("files_excluded").alias("excluded"), joined("files_binary").alias("bins"), F.size("suspicious_findings").cast("bigint").alias("n_findings"), said.alias("said"))
+
+
 def top_files(spark: SparkSession, d: str) -> DataFrame:
     """What to review first: the flagship query."""
     files = classify.fates(_files(spark, d))

@@ -15,12 +15,13 @@ NO_HUNKS = "There was no text to review, but metadata (a new executable, a mode
 NOT_PRODUCED = "The diff could not be produced, so nothing was scanned."
 
 
-def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config()) -> DataFrame:
+def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), keep: list | None = None, narrator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """diffs: diff_id, raw, and if it has one status (null or ok: raw is the diff; else the error that kept it from being made).
 
     scorer: chunks to replies, see operators.score. Every diff gets a row: an empty one passes with nothing scanned, and one that
     couldn't be made falls to the fail-safe. Lines and files feed several branches of the plan, so they are persisted; a lost block is
-    made again from its lineage.
+    made again from its lineage. keep: a list that gets the persisted tables, for the caller to unpersist. narrator: with cfg.reduce = "llm",
+    from (diff_id, text) to (diff_id, content), a new wording of the reasoning.
     """
     failed = F.coalesce(F.col("status"), F.lit("ok")) != "ok" if "status" in diffs.columns else F.lit(False)
     given = diffs.select("diff_id", failed.alias("failed"), F.when(~failed, F.col("raw")).alias("raw"))
@@ -36,18 +37,24 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     placed = pack.placements(ranked, cfg).persist()
     chunks = pack.chunks(ranked, placed, cfg)
     tried = chunks.where("attempted")
-    looks = score.attempts(scorer(tried), cfg)
+    replies = scorer(tried)
+    timed_out = replies.where("kind = 'late'").select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no")).distinct().withColumn("timed_out", F.lit(True))
+    looks = score.attempts(replies.where("kind <> 'late'"), cfg)
     outcomes = tried.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), "paths").join(score.corroborated(looks, cfg), ["diff_id", "chunk_no"])
     results = reduce.reduce_outcomes(outcomes, cfg)
+    if cfg.reduce == "llm" and narrator is not None:
+        results = reduce.narrated(results, narrator(reduce.to_narrate(results)))
+    if keep is not None:
+        keep += [kept, fated, placed]
     rules = classify.rule_findings(fated, parse.added_lines(kept), cfg)
 
     none = F.array().cast("array<string>")
-    names = placed.join(ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path"), ["diff_id", "file_no"])
+    names = placed.join(ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path"), ["diff_id", "file_no"]).join(timed_out, ["diff_id", "chunk_no"], "left")
     cut = F.lit(False) if cfg.chunks_before_deadline is None else F.coalesce(F.col("chunk_no") > cfg.chunks_before_deadline, F.lit(False))
     of = lambda state: F.transform(F.array_sort(F.collect_list(F.when(state, F.struct(F.col("late"), F.when(F.col("late"), F.col("chunk_no")).alias("c"), "rank", "path")))), lambda s: s["path"])
-    coverage = names.withColumn("late", cut).groupBy("diff_id").agg(of((F.col("state") == "overflow") | F.col("late")).alias("overflow"), of(F.col("state") == "truncated").alias("truncated"))
+    coverage = names.withColumn("late", cut | F.coalesce("timed_out", F.lit(False))).groupBy("diff_id").agg(of((F.col("state") == "overflow") | F.col("late")).alias("overflow"), of(F.col("state") == "truncated").alias("truncated"))
     listed = lambda fate: F.transform(F.array_sort(F.collect_list(F.when(F.col("fate") == fate, F.struct((F.col("built") & (F.col("fate") == "excluded")).alias("b"), "file_no", "path")))), lambda s: s["path"])
-    by_policy = fated.withColumn("built", ~C.is_excluded(F.col("path"))).groupBy("diff_id").agg(listed("excluded").alias("excluded"), listed("lockfile").alias("lockfiles"), F.bool_or(C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"))).alias("injection"))
+    by_policy = fated.withColumn("built", ~C.is_excluded(F.col("path"))).groupBy("diff_id").agg(listed("excluded").alias("excluded"), listed("lockfile").alias("lockfiles"), F.bool_or(C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"), cfg)).alias("injection"))
     told = meta.groupBy("diff_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("binary"), F.struct("line_no", "file")))), lambda s: s["file"])).alias("binary"), F.bool_or(~F.col("binary")).alias("has_mode"))
     ruled = rules.groupBy("diff_id").agg(F.count("*").alias("n_rules"))
     textual = kept.groupBy("diff_id").agg(F.bool_or(F.length(C.strip(F.col("text"))) > 0).alias("textual"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,17 @@ def _replaced(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: bytes(b).decode("utf-8", "replace"), na_action="ignore")
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; those that aren't UTF-8 become U+FFFD, for which only texts that have some go to Python."""
+    text = content.cast("string")
+    return F.coalesce(_replaced(F.when(~F.is_valid_utf8(text), content)), text)
+
+
 def diff_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """diff_id, name, label (the folder's name), raw: each file is one diff; bytes that aren't UTF-8 become U+FFFD."""
     read = spark.read.option("pathGlobFilter", "*.diff").option("recursiveFileLookup", "true").format("binaryFile").load(paths)
     path = F.col("path")
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    read = read.where(good).withColumn("raw", F.col("content").cast("string")).unionByName(read.where(~good).withColumn("raw", _replaced("content")))
-    named = read.select(F.regexp_extract(path, r"([^/]+)\.diff$", 1).alias("name"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("label"), "raw")
+    named = read.withColumn("raw", decoded(F.col("content"))).select(F.regexp_extract(path, r"([^/]+)\.diff$", 1).alias("name"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("label"), "raw")
     return named.select(F.xxhash64("label", "name").alias("diff_id"), "name", "label", "raw")
 
 
@@ -53,13 +58,24 @@ def base_ref(event: Column, pr_base_sha: Column, base_ref_: Column, before: Colu
     return F.when(event == "pull_request", F.coalesce(F.nullif(pr_base_sha, F.lit("")), F.concat(F.lit("origin/"), base_ref_))).otherwise(F.coalesce(F.when(event == "push", pushed), F.when(event == "push", F.lit("HEAD^")), F.lit("HEAD")))
 
 
-def prompt(path: str) -> str:
+#: The rubric that is shipped.
+RUBRIC = str(Path(__file__).parent.parent / "prompts" / "rubric.md")
+
+
+def prompt(path: str = RUBRIC) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
 def write_reports(reports: DataFrame, path: str, append: bool = False) -> None:
-    reports.write.mode("append" if append else "overwrite").parquet(path)
+    """diff_id, report as text files, one folder diff_id=N for each diff; append: beside what is there."""
+    text = F.regexp_replace("report", r"\n\z", "").alias("value")  # the writer ends each row with a line feed
+    reports.select("diff_id", text).write.mode("append" if append else "overwrite").option("lineSep", "\n").partitionBy("diff_id").text(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """diff_id, json as text files, one folder diff_id=N for each diff."""
+    results.select("diff_id", "json").write.mode("overwrite").option("lineSep", "\n").partitionBy("diff_id").text(path)
 
 
 def upsert_comments(existing: DataFrame, reports: DataFrame, marker: str) -> DataFrame:
