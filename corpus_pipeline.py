@@ -41,10 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What each stage returns is written to the shared folder and read again by the next."""
+    """The last stage's rows. What each stage returns is written to the shared folder and read again by the next, after which it goes."""
     at = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            common.remove(spark, before)
+        before = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
