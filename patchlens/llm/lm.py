@@ -11,7 +11,7 @@ Counting without moving tokens. One pass packs documents into chunks of about CH
 each chunk's distinct words and bigrams travel, as sorted blobs of hashes, one for each chunk and slice of the hash range:
 a slice is summed over all chunks in one task, and the totals go back to where the chunks that asked for them lie. A word
 as frequent as may be adds one entry for each chunk, so no key is hot, and the number of slices grows with the number of
-chunks. All counts cover all training documents.
+chunks. Of many chunks, teams merge their blobs first, so that these keep a useful size. All counts cover all training documents.
 
 Words have hashes of 64 bits. Bigrams have as many bits as the corpus needs for a bigram to share its hash with any other
 at a chance of SHARED at most, whatever the size of the corpus (64 bits from 2 ** 44 tokens on).
@@ -19,6 +19,7 @@ at a chance of SHARED at most, whatever the size of the corpus (64 bits from 2 *
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from . import common
 CHUNK_TOKENS = 1_500_000
 #: Chunks for each slice of the hash range: a slice then holds about as many entries as so many chunks have distinct ones.
 CHUNKS_PER_SLICE = 1
+#: Up to so many chunks, each has a blob for each slice (of some hundred entries at least); beyond, blobs are merged in between.
+DIRECT_CHUNKS = 2048
 #: log2 of the chance that a bigram's hash is another's, too.
 SHARED = -20
 BUCKETS = 34
@@ -168,46 +171,103 @@ def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 WORDS, BIGRAMS = 0, 1
 _BLOBS = pa.schema([("kind", pa.int64()), ("slice", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _TOTALS = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary()), ("sum0", pa.int64()), ("sum1", pa.int64()), ("known", pa.int64())])
+_BLOBS_SQL = "kind bigint, slice bigint, chunk bigint, hashes binary, counts binary"
+_TOTALS_SQL = "chunk bigint, kind bigint, slice bigint, counts binary, sum0 bigint, sum1 bigint, known bigint"
 
 
-def _totals(chunks: DataFrame, slices: int, bits: int) -> DataFrame:
+def _cuts(lo: int, hi: int, step: int, slices: int, width: int) -> np.ndarray:
+    """The hashes at which slices lo + step, lo + 2 step, ... below hi begin."""
+    return np.array([(i << width) // slices for i in range(lo + step, hi, step)], _U)
+
+
+def _sliced(hashes: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, hashes and counts of the slices that have some."""
+    at = np.searchsorted(hashes, cuts)
+    for k, (h, n) in enumerate(zip(np.split(hashes, at), np.split(counts, at, axis=1))):
+        if len(h):
+            yield k, h, n
+
+
+class _Merged:
+    """The blobs of a slice: their hashes together, their summed counts, and where each blob's entries are among them."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        parts = [_undelta(r["hashes"]) for r in self.rows]
+        self.hashes, back = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.concatenate([_unpack_counts(r["counts"], width).reshape(2, -1) for r in self.rows], axis=1)
+        self.sums = np.stack([np.bincount(back, counts[k], len(self.hashes)) for k in (0, 1)]).astype(np.int64)  # sums in doubles: exact to 2 ** 53
+        self.places = np.split(back, np.cumsum([len(h) for h in parts])[:-1])
+
+    def answers(self, sums: np.ndarray, own: tuple[int, int, int]) -> pa.Table:
+        """For each blob the sums of its entries; own goes with the first one."""
+        out: list[list] = [[] for _ in _TOTALS]
+        for i, (r, place) in enumerate(zip(self.rows, self.places)):
+            for c, v in zip(out, (r["chunk"], r["kind"], r["slice"], _pack_counts(sums[:, place], 8), *(own if i == 0 else (0, 0, 0)))):
+                c.append(v)
+        return pa.Table.from_batches([common.emit(_TOTALS, out)])
+
+
+def _summed(blobs: DataFrame, width: int) -> DataFrame:
+    """The answers to all blobs of each slice. width: of their counts."""
+
+    def total(table: pa.Table) -> pa.Table:
+        m = _Merged(table, width)
+        return m.answers(m.sums, (int(m.sums[0].sum()), int(m.sums[1].sum()), int((m.sums.sum(0) > 0).sum())))
+
+    return blobs.groupBy("kind", "slice").applyInArrow(total, _TOTALS_SQL)
+
+
+def _totals(chunks: DataFrame, n_chunks: int, slices: int, bits: int, partitions: int) -> DataFrame:
     """chunk, kind, slice, counts: the totals (2 x entries) of the chunk's words or bigrams in the slice, in order of their hashes.
 
     sum0, sum1 and known are the slice's own totals, given with one of its rows: tokens of parts 0 and 1, and distinct
     entries that occur in training.
+
+    With more than DIRECT_CHUNKS chunks, teams of about as many chunks as the root of their number merge what they have of a
+    coarse slice, ask for the totals of its fine slices as one, and hand them on. Blobs then number n_chunks ** 1.5, not its square.
     """
+    width_of = {WORDS: 64, BIGRAMS: bits}
+    coarse = slices if n_chunks <= DIRECT_CHUNKS else math.isqrt(slices - 1) + 1
+    fine = -(-slices // coarse)
+    slices = coarse * fine
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _dicts(batches):
             c = _chunk(row)
             order = np.argsort(c.words)
-            for kind, width, (hashes, counts) in ((WORDS, 64, (c.words[order], c.word_counts()[:, order])), (BIGRAMS, bits, c.bigrams(bits)[:2])):
-                cuts = np.searchsorted(hashes, np.array([(i << width) // slices for i in range(1, slices)], _U)) if slices > 1 else []
-                for k, (h, n) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts, axis=1))):
-                    if len(h):
-                        yield common.emit(_BLOBS, [[kind], [k], [row["chunk"]], [_delta(h)], [_pack_counts(n)]])
-
-    def total(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        hashes = [_undelta(r["hashes"]) for r in rows]
-        all_hashes, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.concatenate([_unpack_counts(r["counts"]).reshape(2, -1) for r in rows], axis=1)
-        sums = np.stack([np.bincount(back, counts[k], len(all_hashes)) for k in (0, 1)]).astype(np.int64)  # sums in doubles: exact to 2 ** 53
-        at, out = 0, [[] for _ in _TOTALS]
-        for i, (r, h) in enumerate(zip(rows, hashes)):
-            mine = sums[:, back[at: at + len(h)]]
-            at += len(h)
-            own = (sums[0].sum(), sums[1].sum(), int((sums.sum(0) > 0).sum())) if i == 0 else (0, 0, 0)
-            for c, v in zip(out, (r["chunk"], r["kind"], r["slice"], _pack_counts(mine, 8), *own)):
-                c.append(v)
-        return pa.Table.from_batches([common.emit(_TOTALS, out)])
-
-    blobs = chunks.mapInArrow(common.tidy(spread), "kind bigint, slice bigint, chunk bigint, hashes binary, counts binary")
-    return blobs.groupBy("kind", "slice").applyInArrow(total, "chunk bigint, kind bigint, slice bigint, counts binary, sum0 bigint, sum1 bigint, known bigint")
-
-
-def _placed(df: DataFrame, partitions: int) -> DataFrame:
-    """df cut by a checkpoint that knows that it's dealt out by chunk: such ones meet without another shuffle.
+            for kind, (hashes, counts) in ((WORDS, (c.words[order], c.word_counts()[:, order])), (BIGRAMS, c.bigrams(bits)[:2])):
+                for k, h, n in _sliced(hashes, counts, _cuts(0, slices, fine, slices, width_of[kind])):
+                    yield common.emit(_BLOBS, [[kind], [k], [row["chunk"]], [_delta(h)], [_pack_counts(n)]])
+
+    blobs = chunks.mapInArrow(common.tidy(spread), _BLOBS_SQL)
+    if n_chunks <= DIRECT_CHUNKS:
+        return _summed(blobs, 4)
+
+    def merge(table: pa.Table) -> pa.Table:
+        m = _Merged(table, 4)
+        kind, k, team = (table.column(c)[0].as_py() for c in ("kind", "slice", "team"))
+        cuts = _cuts(k * fine, (k + 1) * fine, 1, slices, width_of[kind])
+        got = [(kind, k * fine + j, team, _delta(h), _pack_counts(n, 8)) for j, h, n in _sliced(m.hashes, m.sums, cuts)]
+        return pa.Table.from_batches([common.emit(_BLOBS, [list(c) for c in zip(*got)])])
+
+    def hand_on(table: pa.Table, totals: pa.Table) -> pa.Table:
+        m = _Merged(table, 4)
+        rows = sorted(totals.to_pylist(), key=lambda r: r["slice_"])
+        sums = np.concatenate([_unpack_counts(r["counts"], 8).reshape(2, -1) for r in rows], axis=1)
+        return m.answers(sums, tuple(sum(r[x] for r in rows) for x in ("sum0", "sum1", "known")))
+
+    keys = ("kind", "slice", "team")
+    teams = -(-n_chunks // (math.isqrt(n_chunks - 1) + 1))
+    of_teams = _placed(blobs.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), partitions, *keys)
+    asked = of_teams.groupBy(*keys).applyInArrow(merge, _BLOBS_SQL)
+    told = _summed(asked, 8).withColumn("team", F.col("chunk")).withColumn("slice_", F.col("slice")).withColumn("slice", F.expr(f"slice div {fine}"))
+    told = told.select(*keys, "slice_", "counts", "sum0", "sum1", "known")
+    return of_teams.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(hand_on, _TOTALS_SQL)
+
+
+def _placed(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """df cut by a checkpoint that knows that it's dealt out by keys: such ones meet without another shuffle.
 
     Spark forgets that of an adaptive plan, so the plan isn't one.
     """
@@ -215,7 +275,7 @@ def _placed(df: DataFrame, partitions: int) -> DataFrame:
     before = conf.get(key)
     conf.set(key, "false")
     try:
-        return common.cut(df.repartition(partitions, "chunk"))
+        return common.cut(df.repartition(partitions, *keys))
     finally:
         conf.set(key, before)
 
@@ -279,10 +339,10 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame
     """
     spark = docs.sparkSession
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = _placed(_chunks(docs, held_out_of, held_out), dealt)
+    chunks = _placed(_chunks(docs, held_out_of, held_out), dealt, "chunk")
     size = chunks.agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens")).first()
     slices, bits = max(1, size["chunks"] // CHUNKS_PER_SLICE), bigram_bits(size["tokens"] or 0)
-    totals = _placed(_totals(chunks, slices, bits), dealt)
+    totals = _placed(_totals(chunks, size["chunks"], slices, bits, dealt), dealt, "chunk")
     t = totals.where(F.col("kind") == WORDS).agg(F.sum("sum0").alias("n0"), F.sum("sum1").alias("n1"), F.sum("known").alias("v")).first()
     n0, n1, v = (int(x or 0) for x in (t["n0"], t["n1"], t["v"]))
     total = np.array([n0, n1])

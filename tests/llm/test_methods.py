@@ -218,6 +218,22 @@ def test_scores_by_hand(spark):
         assert abs(got[i].score - want) < 1e-6 and got[i].train_tokens == n
 
 
+def test_many_chunks_count_as_few_do(spark, monkeypatch):
+    """Chunks that merge by teams first get the same totals, and so the same scores, as one chunk or directly dealt ones."""
+    docs = spark.createDataFrame([(i, " ".join(R.choices(WORDS[:60], k=R.randrange(40)))) for i in range(400)] + [(None, "x y"), (7, None)], "doc_id bigint, text string").repartition(3)
+    asked = []
+    old = lm._totals
+    monkeypatch.setattr(lm, "_totals", lambda chunks, n, *rest: asked.append(n) or old(chunks, n, *rest))
+
+    def run(tokens, direct):
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", tokens)
+        monkeypatch.setattr(lm, "DIRECT_CHUNKS", direct)
+        return collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in lm.score(docs).collect())
+
+    few = run(1_000_000, 10)
+    assert few == run(200, 1000) == run(200, 1) and asked[1] == asked[2] > 30
+
+
 def test_weights_climb_in_likelihood():
     """Expectation-maximisation never makes the held-out counts less likely."""
     h = np.array([[4, R.randrange(1, 60), R.randrange(1, 100), R.randrange(1, 9)] for _ in range(40)])
