@@ -86,7 +86,10 @@ class Scanner:
         """start, end (code points), licence and Dice coefficient of each window that holds."""
         if not text:
             return []
-        words = _WORD.findall(text.lower())
+        low = text.lower()
+        if len(low) != len(text):  # letters whose lower case is longer stay, so that places in low are the text's
+            low = "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text)))
+        words = _WORD.findall(low)
         known = list(map(self.words.__contains__, words))
         places: dict[int, list[int]] = {}
         for i in itertools.compress(range(len(words) - 1), map(and_, known, known[1:])):
@@ -101,7 +104,7 @@ class Scanner:
             if all(o[3] < w[2] or w[3] < o[2] or (o[:2] == w[:2] and o[4] != w[4]) for o in near):
                 firsts.insert(i, w[2])
                 kept.insert(i, w)
-        spans = [m.span() for m in _WORD.finditer(text.lower())] if kept and len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text)] if kept else []
+        spans = [m.span() for m in _WORD.finditer(low)] if kept else []
         return sorted((spans[w[2]][0], spans[w[3]][1], w[4], w[1]) for w in kept)
 
     #: Windows that may hold at one place: ties of different licences.

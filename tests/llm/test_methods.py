@@ -172,6 +172,14 @@ def test_licence_windows_are_the_best_of_all(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licence_places_with_letters_that_grow():
+    """The lower case of U+0130 is two code points, the second no letter: places are those of the text all the same."""
+    for n in (0, 1, 5):
+        text = "\u0130stanbul, " * n + "see: Released under the MIT License."
+        (start, end, name, dice), = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD).scan(text)
+        assert text[start:end] == "Released under the MIT License" and (name, dice) == ("MIT", 1.0)
+
+
 def test_rows_of_the_mix_keep_to_the_weights(spark):
     n = {"a": 3000, "b": 900, "c": 50, None: 40}
     rows = [(i, s) for s, k in n.items() for i in range(k)]
