@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -101,6 +101,11 @@ def tempered(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
     return {s: n**exponent for s, n in counts.items()}
 
 
+def keyed_order(doc_id: Column, seed: int) -> Column:
+    """60 bits from the digest of seed and id, which any SQL engine can make again."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = STRETCH, seed: int = 1, column: str = "mix") -> DataFrame:
     """docs with a column: block, position (in the block), slot, release, deadline and in_mix (before the horizon).
 
@@ -123,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
         counts = {s: n for s, n in counts.items() if s in weights} | {OTHERS: others + (counts.get(OTHERS, 0) if OTHERS in weights else 0)}
         weights = weights | {OTHERS: min(weights.values(), default=1.0)}
     doc_id = docs["doc_id"].cast("bigint")
-    order = F.xxhash64(F.lit(seed), doc_id)
+    order = keyed_order(doc_id, seed)
     row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if c != column])
     keyed = docs.select(row.alias("row"), source.alias("s"), F.pmod(F.shiftright(order, 20), F.lit(buckets)).alias("b"), order.alias("o"), doc_id.alias("id"))
     sizes = keyed.groupBy("s", "b").agg(F.count("*").alias("n"))

@@ -173,5 +173,18 @@ told AS (SELECT b.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {qu
 SELECT doc_id, n_words, word_chars::bigint AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(c, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(f, 0) <= {quality.MAX_WORD_DISTANCE} AS kept,
   CASE WHEN NOT base_failed THEN round(c, 9) END AS char_distance, CASE WHEN NOT base_failed THEN round(f, 9) END AS word_distance FROM told"""
 
-#: The other eight hash, learn, tokenize or schedule in ways that SQL lacks: see tests/llm.
-ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9}
+#: Pfair mixing: whole-numbered weights (roots times 2 ** 52), releases and deadlines, then a slot for each round of the recursion.
+_OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '{mixing.NO_SOURCE}') AS s, ('0x' || substr(md5('1 ' || coalesce(doc_id::varchar, '')), 1, 15))::bigint AS o FROM documents),
+n AS (SELECT s, count(*) AS n, (sqrt(count(*)) * 4503599627370496)::hugeint AS w, ((count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS})::hugeint AS blocks FROM d GROUP BY s),
+t AS (SELECT sum(w)::hugeint AS total FROM n),
+b AS (SELECT s, k, k * total // w AS release, ((k + 1) * total + w - 1) // w AS deadline FROM (SELECT s, w, total, unnest(range(0, blocks::bigint))::hugeint AS k FROM n, t)),
+e AS (SELECT 0::hugeint AS slot, s, k, release, deadline FROM b WHERE release = 0 AND k = 0 QUALIFY row_number() OVER (ORDER BY deadline, s) = 1),
+r AS (SELECT slot, list(s || ' ' || k) AS done, any_value(s) AS s, any_value(k) AS k FROM e GROUP BY slot
+  UNION ALL SELECT slot, list_append(done, s || ' ' || k), s, k FROM (SELECT greatest(r.slot + 1, min(b.release) OVER ()) AS slot, r.done, b.s, b.k, b.release, b.deadline FROM r JOIN b ON NOT list_contains(r.done, b.s || ' ' || b.k))
+    WHERE release <= slot QUALIFY row_number() OVER (ORDER BY deadline, s) = 1),
+p AS (SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY (o >> 20) % (SELECT greatest(1, count(*) // {mixing.BUCKET_DOCS}) FROM d), o, doc_id) - 1 AS rank FROM d)
+SELECT doc_id, source, b.k::bigint AS block, (rank % {mixing.BLOCK_DOCS})::bigint AS position, slot::bigint AS slot, b.release::bigint AS release, b.deadline::bigint AS deadline,
+  slot < (SELECT min(blocks * total // w) FROM n, t) AS in_mix FROM p JOIN b ON b.s = p.s AND b.k = p.rank // {mixing.BLOCK_DOCS} JOIN (SELECT slot, s AS s_, k AS k_ FROM r) ON s_ = b.s AND k_ = b.k"""
+
+#: The other seven hash, learn, tokenize or schedule in ways that SQL lacks: see tests/llm.
+ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9, "op10_pfair_mixing": _OP10}
