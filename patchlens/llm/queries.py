@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, toxicity
+from . import common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, runs, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -119,6 +121,27 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of which those of every tenth document, by the digest of its id, repeat themselves from one place on."""
+    digest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if digest % 10 or not words:
+        return words
+    n, g = len(words), digest // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return words[:first] + (words[first : first + period] * ((n - first) // period + 1))[: n - first]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.scan(common.documents(spark, sf_dir), repeating)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    best = found.withColumn("best", longest).withColumns({"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period")})
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.col("n_runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return best.select("doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op5_deleted_interpolation": op5_deleted_interpolation,
@@ -130,6 +153,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Near-duplicates on exact sets: all pairs that share a shingle, and what can be reached over links.
