@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, runs, toxicity
+from . import centroids, common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, runs, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -121,6 +121,14 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+#: Centroids, rounds, and what is put before the ids whose digests choose the first centroids.
+CENTROIDS, ROUNDS, CENTROID_SEED = 40, 5, "2"
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), CENTROIDS, ROUNDS, CENTROID_SEED)
+
+
 def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words, of which those of every tenth document, by the digest of its id, repeat themselves from one place on."""
     digest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -153,6 +161,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -210,5 +219,21 @@ p AS (SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY (o >> 20) % (SELECT
 SELECT doc_id, source, b.k::bigint AS block, (rank % {mixing.BLOCK_DOCS})::bigint AS position, slot::bigint AS slot, b.release::bigint AS release, b.deadline::bigint AS deadline,
   slot < (SELECT min(blocks * total // w) FROM n, t) AS in_mix FROM p JOIN b ON b.s = p.s AND b.k = p.rank // {mixing.BLOCK_DOCS} JOIN (SELECT slot, s AS s_, k AS k_ FROM r) ON s_ = b.s AND k_ = b.k"""
 
-#: The other seven hash, learn, tokenize or schedule in ways that SQL lacks: see tests/llm.
-ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9, "op10_pfair_mixing": _OP10}
+
+
+def _clustered(rounds: int) -> str:
+    """Clustering: all distances to all centroids, round by round."""
+    near = "SELECT r, any_value(x) AS x, min({{'d': d, 'j': j}}) AS b FROM (SELECT v.r, v.x, c.j, list_sum(list_transform(v.x, lambda e, i: (e - c.x[i]) * (e - c.x[i])))::BIGINT AS d FROM v, c{0} c) GROUP BY r"
+    steps = [f"""a{k} AS MATERIALIZED ({near.format(k)}),
+m{k} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM (SELECT j, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT b.j AS j, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY j, i) GROUP BY j),
+c{k + 1} AS MATERIALIZED (SELECT j, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (j))""" for k in range(rounds)]
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({centroids.SCALE} * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {centroids.DIMENSIONS} AND len(embedding) = {centroids.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{CENTROID_SEED}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS j, x FROM v QUALIFY j < {CENTROIDS}),
+{", ".join(steps)},
+last AS MATERIALIZED ({near.format(rounds)})
+SELECT vec_id, b.j::INT AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.j))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM last JOIN v USING (r) JOIN c{rounds} c ON c.j = b.j"""
+
+
+#: The others hash, learn, tokenize or schedule in ways that SQL lacks: see tests/llm.
+ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9, "op10_pfair_mixing": _OP10, "op12_centroid_clustering": _clustered(ROUNDS)}
