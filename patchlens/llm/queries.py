@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, common, cws, licenses, lm, mixing, neardup, order, packing, pii, quality, runs, toxicity
+from . import centroids, common, cws, html, licenses, lm, mixing, neardup, order, packing, pii, quality, runs, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -121,6 +121,10 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op11_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 #: Centroids, rounds, and what is put before the ids whose digests choose the first centroids.
 CENTROIDS, ROUNDS, CENTROID_SEED = 40, 5, "2"
 
@@ -161,6 +165,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "op11_site_templates": op11_site_templates,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -220,6 +225,11 @@ SELECT doc_id, source, b.k::bigint AS block, (rank % {mixing.BLOCK_DOCS})::bigin
   slot < (SELECT min(blocks * total // w) FROM n, t) AS in_mix FROM p JOIN b ON b.s = p.s AND b.k = p.rank // {mixing.BLOCK_DOCS} JOIN (SELECT slot, s AS s_, k AS k_ FROM r) ON s_ = b.s AND k_ = b.k"""
 
 
+#: Main texts of pages that have one well-formed article of paragraphs and a heading, and no other character references, as those of the tables.
+_OP11 = r"""WITH b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS blocks FROM pages),
+d AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)), '') AS text FROM d)"""
+
 
 def _clustered(rounds: int) -> str:
     """Clustering: all distances to all centroids, round by round."""
@@ -236,4 +246,4 @@ FROM last JOIN v USING (r) JOIN c{rounds} c ON c.j = b.j"""
 
 
 #: The others hash, learn, tokenize or schedule in ways that SQL lacks: see tests/llm.
-ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9, "op10_pfair_mixing": _OP10, "op12_centroid_clustering": _clustered(ROUNDS)}
+ORACLES: dict[str, str] = {"op1_quality_divergence": _OP1, "op9_minhash_neardup": _OP9, "op10_pfair_mixing": _OP10, "op11_site_templates": _OP11, "op12_centroid_clustering": _clustered(ROUNDS)}
