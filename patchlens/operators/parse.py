@@ -91,14 +91,18 @@ MADE_EXECUTABLE = "File mode changed to executable (100755) without a change of
 BINARY = "Binary content changed; its bytes can't be reviewed as text."
 
 
-def metadata_findings(all_lines: DataFrame) -> DataFrame:
-    """diff_id, line_no, file, reason, binary: what mode and binary lines of the unfiltered diff tell."""
+def metadata_reason() -> tuple[Column, Column]:
+    """What a line's text tells as metadata: reason (null: nothing) and binary."""
     t, end = F.col("text"), F.regexp_replace("text", r"(?U)\s+\z", "")
-    path = F.last(F.when(t.rlike(P.HEADER), path_of(t)), ignorenulls=True).over(_so_far())
     binary = t.startswith("Binary files ") | t.startswith("GIT binary patch")
     reason = F.when(t.startswith("new file mode ") & end.endswith("755"), NEW_EXECUTABLE).when(t.startswith("new mode ") & end.endswith("755"), MADE_EXECUTABLE).when(binary, BINARY)
-    found = all_lines.select("diff_id", "line_no", F.coalesce(path, F.lit("unknown")).alias("file"), reason.alias("reason"), binary.alias("binary"))
-    return found.where("reason IS NOT NULL")
+    return reason.alias("reason"), binary.alias("binary")
+
+
+def metadata_findings(all_lines: DataFrame) -> DataFrame:
+    """diff_id, line_no, file, reason, binary: what mode and binary lines of the unfiltered diff tell."""
+    path = F.last(F.when(F.col("text").rlike(P.HEADER), path_of(F.col("text"))), ignorenulls=True).over(_so_far())
+    return all_lines.select("diff_id", "line_no", F.coalesce(path, F.lit("unknown")).alias("file"), *metadata_reason()).where("reason IS NOT NULL")
 
 
 def trim_context(all_lines: DataFrame, context: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import columns as C
 from ..functions import patterns as P
-from ..operators import classify, evaluate, pack, parse, reduce, render, score
+from ..operators import blocks, classify, evaluate, pack, parse, reduce, render, score
 from ..sources import generators, virtual
 from . import scan as plans
 
@@ -99,6 +99,34 @@ def p4(spark, d):
     return parse.metadata_findings(_lines(spark, d)).drop("binary")
 
 
+# All documents as one diff: the same steps, with a window over all lines.
+_ALL = "OVER (ORDER BY doc_id, i ROWS UNBOUNDED PRECEDING)"
+_ONE = f"""WITH d AS ({virtual.ONE_DIFF}),
+every AS (SELECT doc_id, unnest(range(0, len(parts))) AS i, unnest(parts) AS text, len(parts) AS n FROM (SELECT doc_id, string_split(body, chr(10)) AS parts FROM d)),
+flags AS (SELECT doc_id, i, text, starts_with(text, 'diff --git') AS git, starts_with(text, '--- ') OR starts_with(text, '+++ ') AS head, starts_with(text, '@@') AS at_, regexp_matches(text, '{_HEAD}') AS named FROM every WHERE NOT (i = n - 1 AND text = '')),
+placed AS (SELECT *, coalesce(last_value(CASE WHEN git THEN false WHEN at_ AND NOT head THEN true END IGNORE NULLS) {_ALL}, false) AS inside, CAST(sum(CAST(named AS INT)) {_ALL} AS BIGINT) AS file_no, last_value(CASE WHEN named THEN regexp_extract(text, '{_HEAD}', 2) END IGNORE NULLS) {_ALL} AS path FROM flags),
+kept AS (SELECT * FROM placed WHERE git OR head OR at_ OR (inside AND substr(text, 1, 1) IN ('+', '-', ' ', chr(92))))
+"""
+
+
+@query("p2_one_diff", _ONE + "SELECT doc_id, md5(string_agg(text || chr(10), '' ORDER BY i)) AS hunks_md5, count(*) AS n_lines FROM kept GROUP BY doc_id")
+def p2_one(spark, d):
+    kept = blocks.hunk_lines(blocks.located(virtual.one_diff(spark, d)))
+    return kept.groupBy("doc_id").agg(_md5(parse.joined(F.col("full"))).alias("hunks_md5"), F.count("*").alias("n_lines"))
+
+
+@query("p3_one_diff", _ONE + "SELECT file_no, path, md5(string_agg(text || chr(10), '' ORDER BY doc_id, i)) AS file_md5, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, count(*) FILTER (starts_with(text, '+') AND NOT starts_with(text, '+++')) AS added_lines FROM kept WHERE file_no > 0 GROUP BY ALL")
+def p3_one(spark, d):
+    found = blocks.files(blocks.hunk_lines(blocks.located(virtual.one_diff(spark, d))))
+    return found.select("file_no", "path", _md5(F.col("file_diff")).alias("file_md5"), F.length("file_diff").cast("bigint").alias("n_chars"), "added_lines")
+
+
+@query("p4_one_diff", _ONE + f""", found AS (SELECT doc_id * 4294967296 + i AS line_no, coalesce(path, 'unknown') AS file, CASE WHEN starts_with(text, 'new file mode ') AND text LIKE '%755' THEN '{parse.NEW_EXECUTABLE}' WHEN starts_with(text, 'new mode ') AND text LIKE '%755' THEN '{parse.MADE_EXECUTABLE}' WHEN starts_with(text, 'Binary files ') OR starts_with(text, 'GIT binary patch') THEN '{parse.BINARY.replace(chr(39), chr(39) * 2)}' END AS reason FROM placed)
+SELECT line_no, file, reason FROM found WHERE reason IS NOT NULL""")
+def p4_one(spark, d):
+    return blocks.metadata_findings(blocks.located(virtual.one_diff(spark, d))).select("line_no", "file", "reason")
+
+
 @query("p5_added", _cte() + "SELECT diff_id, file_no, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line_no)) AS added_md5 FROM addl GROUP BY ALL")
 def p5(spark, d):
     a = _added(spark, d)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
+from ..functions import patterns as P
+from ..operators import blocks, parse
 
 
 @F.pandas_udf(T.StringType())
@@ -32,6 +34,26 @@ def diff_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return named.select(F.xxhash64("label", "name").alias("diff_id"), "name", "label", "raw")
 
 
+def diff_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The line table (diff_id, block, line_no, full, text) of diff files of any size, of which no task reads more than a split.
+
+    A split of a file is a block. Lines end at every terminator that Unicode knows; line_no counts them from 0 in each file, by folding
+    the numbers of lines of the blocks before. Bytes that aren't UTF-8 become U+FFFD, and texts are as parse.sanitize leaves them.
+    """
+    meta = ("_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size")
+    read = spark.read.option("pathGlobFilter", "*.diff").option("recursiveFileLookup", "true").option("lineSep", "\n").text(paths).select("value", *meta, F.monotonically_increasing_id().alias("row"))
+    named = read.select(F.xxhash64("file_path").alias("diff_id"), F.col("file_block_start").alias("block"), "row", "file_size", F.octet_length("value").alias("bytes"), decoded(F.col("value").cast("binary")).alias("value"))
+    clean = parse.sanitize(named, "value").drop("value")
+    # A file's last line has a line feed if the bytes of all its lines and their line feeds are as many as the file's.
+    sized = blocks.carry(clean, {"read": blocks.total(F.col("bytes") + 1)}, "row")
+    ended = F.when((F.col("read") == F.col("read_all")) & (F.col("read_all") > F.col("file_size")), F.lit("")).otherwise(F.lit("\n"))
+    whole = sized.select("diff_id", "block", "row", F.concat("clean", ended).alias("clean"))
+    every = whole.select("diff_id", "block", "row", F.posexplode(F.regexp_extract_all("clean", F.lit(P.LINE), F.lit(0))).alias("at", "full"))
+    own = every.withColumns({"text": F.regexp_replace("full", rf"[{P.LINE_ENDS}]+\z", ""), "order": F.struct("row", "at")})
+    counted = blocks.carry(own, {"line_no": blocks.total(F.lit(1))}, "order")
+    return counted.select("diff_id", F.floor(F.col("block")).alias("block"), (F.col("line_no") - 1).alias("line_no"), "full", "text")
+
+
 def git_range(spark: SparkSession, base: str = "origin/main", cwd: str = ".", cfg: Config = Config(), diff_id: int = 1) -> DataFrame:
     """One row: diff_id, raw, status. The changes of HEAD since it left base; with less context if the diff is large.
 
