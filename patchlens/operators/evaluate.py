@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import patterns as P
-from . import parse
+from . import grams, parse
 
 
 def confusion(judged: DataFrame) -> DataFrame:
@@ -99,11 +99,12 @@ def distinctive(text: Column) -> Column:
 
 
 def contaminated_by(samples: DataFrame, prompt: DataFrame) -> DataFrame:
-    """samples: id, name (of any length); prompt: one row, prompt. As contaminated(), with each token looked up once, whatever the number of samples that have it."""
-    plain = F.broadcast(prompt.select(C.collapse(F.col("prompt")).alias("plain")))  # one row
-    own = samples.select("id", F.explode(distinctive(F.col("name"))).alias("t")).distinct()
-    hits = own.select("t").distinct().join(plain, F.contains("plain", "t")).select("t")
-    met = own.join(hits, "t").groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("overlap"))
+    """samples: id, name (of any length); prompt: part (a whole number), prompt: a text of any size in rows. As contaminated(), with each
+    token looked up once in an index of the prompt, whatever the number of samples that have it.
+    """
+    own = samples.select("id", F.explode(distinctive(F.col("name"))).alias("t"))
+    hits = grams.contained(own.select("t").distinct(), prompt, P.MIN_TOKEN, "part", "prompt")
+    met = own.join(hits, "t").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("overlap"))
     joined = samples.select("id").join(met, "id", "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
     return joined.withColumn("contaminated", F.size("overlap") > 0)
 

@@ -379,8 +379,7 @@ _GENERIC = ", ".join(f"'{w}'" for w in P.GENERIC_TOKENS)
 @query("e4_contamination", f"WITH p AS (SELECT regexp_replace(lower(string_agg(text, ' ' ORDER BY item_id)), '[^a-z0-9]', '', 'g') AS plain FROM benchmark), s AS (SELECT doc_id, text AS name FROM documents), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM s), o AS (SELECT doc_id, t FROM t, p WHERE length(t) >= 4 AND t NOT IN ({_GENERIC}) AND contains(plain, t)) SELECT doc_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS overlap, count(t) > 0 AS contaminated FROM s LEFT JOIN o USING (doc_id) GROUP BY doc_id")
 def e4(spark, d):
     b, docs = spark.read.parquet(f"{d}/benchmark.parquet"), spark.read.parquet(f"{d}/documents.parquet")
-    # The rubric is one text: benchmark is a list of a few hundred items.
-    prompt = b.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]), " ").alias("prompt"))
+    prompt = b.select(F.col("item_id").alias("part"), F.col("text").alias("prompt"))
     found = evaluate.contaminated_by(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("name")), prompt)
     return found.select(F.col("id").alias("doc_id"), F.array_join("overlap", ",").alias("overlap"), "contaminated")
 
