@@ -32,18 +32,20 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
 _IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 #: Groups of four digits, and at most three more, but not the head of a date, a phone or social security number or an address.
-_FOUR = r"[0-9]{4}(?![./-][0-9]{2}[./-][0-9]{2}(?![0-9]))"
+_FOUR = r"[0-9]{4}(?![0-9]|[./-][0-9]{2}[./-][0-9]{2}(?![0-9]))"
 _FEW = r"[0-9]{1,3}(?![0-9]|[ .-][0-9]{3}[ .-][0-9]{4}|-[0-9]{2}-[0-9]{4}|[./-][0-9]{2}[./-](?:19|20)[0-9]{2}|\.[0-9]{1,3}\.[0-9])"
 _COUNTRY = r"^\+[0-9]{1,3}(?![0-9])|^1(?=[ .-])|^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Loops over groups are possessive: Java's matcher goes through the others by recursion, which long texts would carry beyond its stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([./-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.+-])(?:1[ .-])?[0-9]{3}([ .-])[0-9]{3}\3[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -]{_FOUR}){{2,}}(?:[ -]{_FEW})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
+    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -]{_FOUR}){{2,}}+(?:[ -]{_FEW})?+|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
 }
+CARD_DIGITS = (13, 19)
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: What every kind has.
 MAY = r"[0-9]{2}|@"
@@ -110,7 +112,7 @@ def _digits(x: Column) -> Column:
 def render(shape: Column, symbols: Column, pattern: str = "[0-9]") -> Column:
     """shape with its characters of the pattern replaced by those of symbols, in order."""
     at = lambda j: F.length(F.regexp_replace(F.substring(shape, F.lit(1), j + 1), f"[^{pattern[1:]}", ""))
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, j: F.when(c.rlike(f"^{pattern}$"), F.substring(symbols, at(j), F.lit(1))).otherwise(c)), "")
+    return _let(symbols, lambda own: F.array_join(F.transform(F.split(shape, ""), lambda c, j: F.when(c.rlike(f"^{pattern}$"), F.substring(own, at(j), F.lit(1))).otherwise(c)), ""))
 
 
 def luhn_sum(digits: Column, payload: bool) -> Column:
@@ -212,7 +214,7 @@ def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     payload = feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(10 - luhn_sum(payload, True) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits, False) % 10 == 0, render(m, F.concat(payload, check)))
+    return F.when(F.length(digits).between(*CARD_DIGITS), F.when(luhn_sum(digits, False) % 10 == 0, render(m, F.concat(payload, check))))
 
 
 _BY_KIND = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
@@ -247,19 +249,33 @@ _PARTS = "array<struct<value: string, own: boolean>>"
 
 
 def _cards_in(m: Column) -> Column:
-    """Parts of groups of four digits (the last may be shorter): from each group on, the longest number that passes the check."""
-    n = F.size(F.split(m, "[ -]"))
-    window = lambda i, k: F.substring(m, 5 * i + 1, 5 * k - 1)
-    valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
-    longest = lambda i: F.coalesce(F.array_max(F.filter(F.array(F.lit(4), F.lit(5)), lambda k: (i + k <= n) & valid(_digits(window(i, k))))), F.lit(1))
-    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), longest(i).alias("k")))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["i"] > 0, F.array(_piece(F.substring(m, 5 * s["i"], F.lit(1)), False))).otherwise(F.array().cast(_PARTS))
-        one = F.struct(window(s["i"], s["k"]).alias("value"), (s["k"] > 1).alias("own"))
-        return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], gap, F.array(one)).alias("out"), (s["k"] - 1).alias("skip")))
-
-    return F.aggregate(starts, F.struct(F.array().cast(_PARTS).alias("out"), F.lit(0).alias("skip")), step, lambda acc: acc["out"])
+    """Parts of groups of four digits (the last may be shorter): from each group on, the longest number that passes the check.
+
+    A match may be a whole text of groups, so each is cut out once, and only the numbers that pass are gathered.
+    """
+
+    def text(groups: Column, i: Column, k: Column) -> Column:  # k groups with what stands before each
+        return F.array_join(F.slice(groups, i + 1, k), "")
+
+    def picks(groups: Column) -> Column:
+        def valid(i: Column, k: Column) -> Column:
+            return _let(_digits(text(groups, i, k)), lambda d: F.length(d).between(*CARD_DIGITS) & (luhn_sum(d, False) % 10 == 0))
+
+        longest = lambda i: F.array_max(F.filter(F.array(F.lit(4), F.lit(5)), lambda k: F.when(i + k <= F.size(groups), valid(i, k)).otherwise(False)))
+        starts = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.struct(i.alias("i"), longest(i).alias("k")))
+        start = F.struct(F.array().cast("array<struct<i: int, k: int>>").alias("own"), F.lit(0).alias("next"))
+        step = lambda acc, s: F.when(s["i"] >= acc["next"], F.struct(F.concat(acc["own"], F.array(s)).alias("own"), (s["i"] + s["k"]).alias("next"))).otherwise(acc)
+        return F.aggregate(F.filter(starts, lambda s: s["k"].isNotNull()), start, step, lambda acc: acc["own"])
+
+    def cut(groups: Column, own: Column, ends: Column) -> Column:
+        lead = lambda i: F.when(i > 0, F.substring(F.get(groups, i), 1, 1)).otherwise("")
+        bare = lambda p: F.regexp_replace(text(groups, p["i"], p["k"]), "^[ -]", "")
+        each = F.transform(own, lambda p, j: F.array(_piece(F.concat(text(groups, F.get(ends, j), p["i"] - F.get(ends, j)), lead(p["i"])), False), _piece(bare(p), True)))
+        rest = _let(F.element_at(ends, -1), lambda end: F.array(_piece(text(groups, end, F.size(groups) - end), False)))
+        return F.when(F.size(own) > 0, F.concat(F.flatten(each), rest)).otherwise(F.array().cast(_PARTS))
+
+    ends = lambda own: F.concat(F.array(F.lit(0)), F.transform(own, lambda p: p["i"] + p["k"]))
+    return _let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), lambda groups: _let(picks(groups), lambda own: _let(ends(own), lambda e: cut(groups, own, e))))
 
 
 def _iban_in(m: Column) -> Column:
