@@ -47,7 +47,8 @@ class WordTokenizer:
     other marks, and none of these joins another. So a column of texts is cut here, by Arrow where its characters are ASCII
     or Latin letters; each distinct piece is encoded once, and any number of pieces is one call to the library, as each ends with
     the one id that has the mark of a word's end. What the cutting rules of Python and the library may see otherwise (special
-    tokens, numerals that aren't digits, separators U+001C to U+001F, capital sigma, dotted I, text that isn't composed)
+    tokens, numerals that aren't digits, separators U+001C to U+001F, capital sigma, dotted I, text that isn't composed, characters
+    that Python doesn't know)
     goes to the library whole.
     """
 
@@ -65,6 +66,7 @@ class WordTokenizer:
         numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
         special = "".join("|" + re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
         self.odd = re.compile(f"[\x1c-\x1fΣİ{numerals}]{special}")
+        self.assigned: set[str] = set()
         self.not_simple = r"[^\x00-\x1b\x20-\x7fÀ-ÿ]" + special
         self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
         self.pool, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -116,8 +118,16 @@ class WordTokenizer:
         after = np.cumsum(n)
         return self.pool[np.repeat(self.start[places] - (after - n), n) + np.arange(n.sum())], n
 
+    def _assigned(self, text: str) -> bool:
+        """Whether Python knows each character: of those of a later Unicode it can't tell the class or the composition."""
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.assigned |= new
+        return True
+
     def _other(self, text: str) -> np.ndarray:
-        if self.odd.search(text) or not unicodedata.is_normalized("NFC", text):
+        if self.odd.search(text) or not self._assigned(text) or not unicodedata.is_normalized("NFC", text):
             return self._encoded([text])[0]
         coded = pa.array(self._ANY.findall(text.lower()), pa.string()).dictionary_encode()
         return self._ids(self._places(coded.dictionary)[coded.indices.to_numpy()])[0]
