@@ -6,6 +6,7 @@ table, so that a task that is run again doesn't count as a second answer.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.request
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import columns as C
 from ..functions import patterns as P
+from ..sources import shared
 
 REPLIES = "diff_id bigint, chunk_no int, look int, call_no int, kind string, content string"
 RESULT = "struct<risk_score: int, key_changes: array<string>, suspicious_findings: array<struct<file: string, reason: string>>, reasoning: string>"
@@ -122,13 +124,27 @@ def readable(content: str) -> int | None:
     return None
 
 
-def over_http(url: str, model: str, prompt: str, cfg: Config = Config(), stage: str | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A scorer that asks a chat endpoint, with retries and a second look at would-be blocks.
+def remembered(ledger: str | None, key: tuple, make: Callable[[], tuple[str, str]]) -> tuple[str, str]:
+    """What make gives, or gave when a task had the same key before: each answer is in the ledger before the next question is asked.
 
-    A diff's chunks are asked for one after the other; from cfg.max_seconds on, the rest of them are late. stage: a shared folder to
-    which the replies are written before they are read, so that no plan asks twice; without one, a checkpoint, for which the session has
-    to have a folder.
+    ledger: a folder of the shared store, for one run of a review; null: nothing is remembered. Only a question whose answer was
+    still under way when its task died is asked again, and one that two tasks ask at the same time (speculation).
     """
+    if ledger is None:
+        return make()
+    digest = hashlib.sha256(json.dumps(key).encode()).hexdigest()
+    at = f"{ledger}/{digest[:3]}/{digest}.json"
+    known = shared.read(at)
+    if known is not None:
+        return tuple(json.loads(known)["answer"])
+    answer = make()
+    shared.write(at, json.dumps({"key": key, "answer": answer}).encode())
+    return answer
+
+
+def asking(url: str, model: str, prompt: str, cfg: Config = Config(), ledger: str | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The work of a task of over_http(): from frames of diff_id, chunk_no, text, in this order, to replies."""
+    asked_of = hashlib.sha256(f"{url} {model} {prompt}".encode()).hexdigest()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         diff_id, began = object(), 0.0
@@ -143,7 +159,8 @@ def over_http(url: str, model: str, prompt: str, cfg: Config = Config(), stage:
                 for look in (1, 2):
                     score = None
                     for call in range(1, cfg.retries + 1):
-                        kind, content = ask(url, model, prompt, r.text, SCHEMA, cfg)
+                        key = (int(r.diff_id), int(r.chunk_no), look, call, asked_of, hashlib.sha256(r.text.encode()).hexdigest())
+                        kind, content = remembered(ledger, key, lambda: ask(url, model, prompt, r.text, SCHEMA, cfg))
                         out.append((r.diff_id, r.chunk_no, look, call, kind, content))
                         score = readable(content) if kind == "ok" else None
                         if score is not None:
@@ -154,9 +171,21 @@ def over_http(url: str, model: str, prompt: str, cfg: Config = Config(), stage:
                         break
             yield pd.DataFrame(out, columns=["diff_id", "chunk_no", "look", "call_no", "kind", "content"])
 
+    return run
+
+
+def over_http(url: str, model: str, prompt: str, cfg: Config = Config(), stage: str | None = None, ledger: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A scorer that asks a chat endpoint, with retries and a second look at would-be blocks.
+
+    A diff's chunks are asked for one after the other; from cfg.max_seconds on, the rest of them are late. stage: a shared folder to
+    which the replies are written before they are read, so that no plan asks twice; without one, a checkpoint, for which the session has
+    to have a folder. ledger: a shared folder of this run's answers by diff, chunk, look, call and question: a task or
+    a whole review that is run again asks only what has no answer there.
+    """
+
     def score(chunks: DataFrame) -> DataFrame:
         told = chunks.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), C.wrap_untrusted(F.col("text")).alias("text"))
-        asked = told.repartition("diff_id").sortWithinPartitions("diff_id", "chunk_no").mapInPandas(run, REPLIES)
+        asked = told.repartition("diff_id").sortWithinPartitions("diff_id", "chunk_no").mapInPandas(asking(url, model, prompt, cfg, ledger), REPLIES)
         return staged(asked, stage)
 
     return score

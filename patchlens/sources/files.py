@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -54,24 +55,52 @@ def diff_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return counted.select("diff_id", F.floor(F.col("block")).alias("block"), (F.col("line_no") - 1).alias("line_no"), "full", "text")
 
 
-def git_range(spark: SparkSession, base: str = "origin/main", cwd: str = ".", cfg: Config = Config(), diff_id: int = 1) -> DataFrame:
-    """One row: diff_id, raw, status. The changes of HEAD since it left base; with less context if the diff is large.
-
-    A failure of git is a status, never an empty diff.
-    """
+def _git_diff(repository: str, base: str, head: str, large: int) -> tuple[str | None, str]:
+    """The changes of head since it left base, and ok; or null and what git said. A large diff has less context."""
 
     def run(context: int) -> subprocess.CompletedProcess:
-        return subprocess.run(["git", "diff", f"--unified={context}", f"{base}...HEAD"], capture_output=True, cwd=cwd)
+        return subprocess.run(["git", "diff", f"--unified={context}", f"{base}...{head}", "--"], capture_output=True, cwd=repository)
 
-    first = run(3)
-    status, raw = "ok", first.stdout.decode("utf-8", "replace")
+    try:
+        first = run(3)
+    except OSError as error:
+        return None, f"git diff against {base} failed ({error})"
     if first.returncode:
-        status, raw = f"git diff against {base} failed ({first.stderr.decode('utf-8', 'replace').strip()}); a shallow checkout needs fetch-depth: 0", None
-    elif len(raw) > cfg.large_diff_chars:
+        return None, f"git diff against {base} failed ({first.stderr.decode('utf-8', 'replace').strip()}); a shallow checkout needs fetch-depth: 0"
+    raw = first.stdout.decode("utf-8", "replace")
+    if len(raw) > large:
         tight = run(1)
         if tight.returncode == 0 and tight.stdout:
             raw = tight.stdout.decode("utf-8", "replace")
-    return spark.createDataFrame([(diff_id, raw, status)], "diff_id bigint, raw string, status string")
+    return raw, "ok"
+
+
+def git_range(spark: SparkSession, base: str = "origin/main", cwd: str = ".", cfg: Config = Config(), diff_id: int = 1) -> DataFrame:
+    """One row: diff_id, raw, status. The changes of HEAD since it left base, made by the driver.
+
+    A failure of git is a status, never an empty diff.
+    """
+    return spark.createDataFrame([(diff_id, *_git_diff(cwd, base, "HEAD", cfg.large_diff_chars))], "diff_id bigint, raw string, status string")
+
+
+def git_ranges(ranges: DataFrame, cfg: Config = Config(), tasks: int | None = None) -> DataFrame:
+    """ranges: diff_id, repository (a folder that executors see), base, head. diff_id, raw, status of each, as git_range has it.
+
+    Executors run git, a range at a time, dealt out over `tasks` tasks (by default as many as a shuffle has). A range whose diff can't be made, or
+    that lacks a name, is a row with a status.
+    """
+    large = cfg.large_diff_chars
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():  # a row at a time: a diff may be large
+                named = all(isinstance(x, str) and x and not x.startswith("-") for x in (r.base, r.head)) and isinstance(r.repository, str)
+                raw, status = _git_diff(r.repository, r.base, r.head, large) if named else (None, "the range has no repository, base or head")
+                yield pd.DataFrame({"diff_id": [r.diff_id], "raw": [raw], "status": [status]})
+
+    own = ranges.select("diff_id", "repository", "base", "head")
+    dealt = own.repartition(tasks, "diff_id") if tasks else own.repartition("diff_id")
+    return dealt.mapInPandas(run, "diff_id bigint, raw string, status string")
 
 
 def base_ref(event: Column, pr_base_sha: Column, base_ref_: Column, before: Column) -> Column:
