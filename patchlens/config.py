@@ -47,6 +47,8 @@ class Config:
     floor_on_mode: bool = False
     chunks_before_deadline: int | None = None
     exempt_path: str = EXEMPT_PATH
+    strict_paths: bool = False  # paths in quotes begin a file, too
+    trim_large: bool = False  # diffs of more than large_diff_chars are reviewed with one line of context
 
     def __post_init__(self):
         object.__setattr__(self, "max_chunks", max(1, self.max_chunks))

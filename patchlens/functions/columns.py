@@ -26,6 +26,23 @@ def dirname(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+#: Bytes of the escapes of a quoted path.
+_ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
+
+
+def unquoted(path: Column) -> Column:
+    """A path as it is written between quotes (without these): escapes of C and bytes in octal become the UTF-8 text that they spell."""
+    parts = F.regexp_extract_all(path, F.lit(r"\\[0-3][0-7]{2}|\\.|[^\\]+|\\"), F.lit(0))
+
+    def spelt(part: Column) -> Column:
+        octal = F.lpad(F.conv(F.substring(part, 2, 3), 8, 16), 2, "0")
+        named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv]), F.substring(part, 2, 1)), F.hex(F.encode(part, "UTF-8")))
+        return F.when(part.rlike(r"^\\[0-3][0-7]{2}$"), octal).when(part.startswith("\\"), named).otherwise(F.hex(F.encode(part, "UTF-8")))
+
+    bytes_ = F.unhex(F.array_join(F.transform(parts, spelt), ""))
+    return F.when(path.contains("\\"), F.make_valid_utf8(bytes_.cast("string"))).otherwise(path)
+
+
 def is_injection(text: Column) -> Column:
     return text.rlike(P.INJECTION)
 

@@ -31,6 +31,8 @@ MAX_LOCK_FINDINGS = 25
 
 # A file's header, the ends of lines, what is deleted, the mark of a cut file, an object in prose.
 HEADER = r"^diff --git a/(.*?) b/(.*?)\s*$"
+# The same, with either path in quotes.
+QUOTED_HEADER = r'''^diff --git (?:"a/((?:[^"\\]|\\.)*+)"|a/(.*?)) (?:"b/((?:[^"\\]|\\.)*+)"|b/(.*?))\s*$'''
 LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
 ZERO_WIDTH = "​‌‍⁠﻿"

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import patterns as P
 from . import parse
 
 FANOUT = 4096
@@ -67,11 +66,11 @@ def carry(lines: DataFrame, states: dict[str, State], order: str = "line_no", by
     return joined.select(*own, *(_after(kind, F.col(f"{n}_before"), F.col(f"{n}_own")).alias(n) for n, kind in kinds.items()), *(F.coalesce(f"{n}_all", F.lit(0)).alias(f"{n}_all") for n in sums))
 
 
-def located(lines: DataFrame) -> DataFrame:
-    """lines with in_hunk, file_no (from 1; 0 before the first header), path, and how many headers the diff has (n_files)."""
+def located(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """lines with in_hunk, file_no (from 1; 0 before the first header), path, and how many headers the diff has (n_files). strict: as parse.is_header."""
     t = F.col("text")
-    starts, head, at = t.startswith("diff --git"), t.rlike(P.HEADER), t.startswith("@@")
-    states = {"in_hunk": last(F.when(starts, False).when(at, True)), "file_no": total(F.when(head, 1)), "path": last(F.when(head, parse.path_of(t)))}
+    starts, head, at = t.startswith("diff --git"), parse.is_header(t, strict), t.startswith("@@")
+    states = {"in_hunk": last(F.when(starts, False).when(at, True)), "file_no": total(F.when(head, 1)), "path": last(F.when(head, parse.path_of(t, strict)))}
     return carry(lines, states).withColumnRenamed("file_no_all", "n_files")
 
 

@@ -24,6 +24,20 @@ def fates(files: DataFrame) -> DataFrame:
     return files.withColumn("first", first).withColumn("fate", F.when(F.col("first") != "build", F.col("first")).when(scanned, "excluded").otherwise("finding")).drop("first")
 
 
+def canonical_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """host, canonical of each distinct host: whether it, or a domain that it is below, is one of domains (domain; of any number).
+
+    A host is taken apart into the domains that it is below, so an allowlist is one more hash join and no comparison of
+    each host with each domain.
+    """
+    own = hosts.select("host").distinct()
+    labels = F.split(F.lower("host"), r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = domains.select(F.lower("domain").alias("domain")).distinct()
+    met = own.select("host", F.explode(below).alias("domain")).join(listed, "domain", "left_semi").select("host").distinct()
+    return own.join(met.withColumn("canonical", F.lit(True)), "host", "left").withColumn("canonical", F.coalesce("canonical", F.lit(False)))
+
+
 def lock_events(added: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Rule hits of added lockfile lines (diff_id, file_no, path, line_no, line) in order, each key once for a file, the first 25."""
     url = lambda u: F.struct(F.substring_index(u, "://", 1).alias("scheme"), F.substring_index(u, "://", -1).alias("host"))

@@ -57,33 +57,42 @@ def joined(text: Column, order: str = "line_no") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("x")))), lambda s: s["x"]), "")
 
 
-def path_of(header: Column) -> Column:
-    a, b = (F.regexp_extract(header, P.HEADER, i) for i in (1, 2))
+def is_header(text: Column, strict: bool = False) -> Column:
+    """Whether a line begins a file. strict: also if its paths are in quotes, as those of names beyond ASCII are; else such a file belongs to the one before."""
+    return text.rlike(P.QUOTED_HEADER if strict else P.HEADER)
+
+
+def path_of(header: Column, strict: bool = False) -> Column:
+    if strict:
+        q = [F.regexp_extract(header, P.QUOTED_HEADER, i) for i in (1, 2, 3, 4)]
+        a, b = (F.concat(C.unquoted(q[i]), q[i + 1]) for i in (0, 2))
+    else:
+        a, b = (F.regexp_extract(header, P.HEADER, i) for i in (1, 2))
     return F.coalesce(F.nullif(b, F.lit("")), F.nullif(a, F.lit("")), F.lit("unknown"))
 
 
-def file_lines(kept: DataFrame) -> DataFrame:
+def file_lines(kept: DataFrame, strict: bool = False) -> DataFrame:
     """Kept lines with file_no (from 1; 0 before the first header) and the file's path."""
-    head = F.col("text").rlike(P.HEADER)
+    head = is_header(F.col("text"), strict)
     numbered = kept.withColumn("file_no", F.sum(head.cast("int")).over(_so_far()))
-    return numbered.withColumn("path", F.last(F.when(head, path_of(F.col("text"))), ignorenulls=True).over(_so_far()))
+    return numbered.withColumn("path", F.last(F.when(head, path_of(F.col("text"), strict)), ignorenulls=True).over(_so_far()))
 
 
-def files(kept: DataFrame) -> DataFrame:
+def files(kept: DataFrame, strict: bool = False) -> DataFrame:
     """diff_id, file_no, path, file_diff and added (its added lines, joined by line feeds).
 
     A diff with hunks but no header is one file named unknown.
     """
-    numbered = file_lines(kept)
+    numbered = file_lines(kept, strict)
     headless = F.max("file_no").over(Window.partitionBy("diff_id")) == 0
     own = numbered.withColumns({"path": F.when(headless, F.lit("unknown")).otherwise(F.col("path")), "headless": headless}).where("file_no > 0 OR headless")
     added = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C.is_added(F.col("text")), F.struct("line_no", "text")))), lambda s: s["text"]), "\n")
     return own.groupBy("diff_id", "file_no", "path").agg(joined(F.col("full")).alias("file_diff"), added.alias("added"), F.count_if(C.is_added(F.col("text"))).alias("added_lines"))
 
 
-def added_lines(kept: DataFrame) -> DataFrame:
+def added_lines(kept: DataFrame, strict: bool = False) -> DataFrame:
     """diff_id, file_no, path, line_no, line: added text without its plus sign."""
-    return file_lines(kept).where(C.is_added(F.col("text"))).select("diff_id", "file_no", "path", "line_no", F.expr("substring(text, 2)").alias("line"))
+    return file_lines(kept, strict).where(C.is_added(F.col("text"))).select("diff_id", "file_no", "path", "line_no", F.expr("substring(text, 2)").alias("line"))
 
 
 NEW_EXECUTABLE = "New file is executable (mode 100755)."
@@ -99,14 +108,15 @@ def metadata_reason() -> tuple[Column, Column]:
     return reason.alias("reason"), binary.alias("binary")
 
 
-def metadata_findings(all_lines: DataFrame) -> DataFrame:
+def metadata_findings(all_lines: DataFrame, strict: bool = False) -> DataFrame:
     """diff_id, line_no, file, reason, binary: what mode and binary lines of the unfiltered diff tell."""
-    path = F.last(F.when(F.col("text").rlike(P.HEADER), path_of(F.col("text"))), ignorenulls=True).over(_so_far())
+    path = F.last(F.when(is_header(F.col("text"), strict), path_of(F.col("text"), strict)), ignorenulls=True).over(_so_far())
     return all_lines.select("diff_id", "line_no", F.coalesce(path, F.lit("unknown")).alias("file"), *metadata_reason()).where("reason IS NOT NULL")
 
 
-def trim_context(all_lines: DataFrame, context: int = 1) -> DataFrame:
-    """Without context lines that are more than so many lines away from a change: what a diff with less context has."""
+def trim_context(all_lines: DataFrame, context: int = 1, only: Column | None = None) -> DataFrame:
+    """Without context lines that are more than so many lines away from a change: what a diff with less context has. only: which lines this is for."""
     near = Window.partitionBy("diff_id").orderBy("line_no").rowsBetween(-context, context)
     changed = F.col("text").startswith("+") | F.col("text").startswith("-")
-    return all_lines.withColumn("near", F.max(changed).over(near)).where("near OR NOT startswith(text, ' ')").drop("near")
+    stays = F.col("near") | ~F.col("text").startswith(" ")
+    return all_lines.withColumn("near", F.max(changed).over(near)).where(stays if only is None else stays | ~only).drop("near")

@@ -177,6 +177,18 @@ def j2(spark, d):
     return u.withColumn("canonical", C.is_canonical(F.col("host"), ("example.com",)))
 
 
+# An allowlist as a table: what hosts of every third page are below, without their first label.
+_ALLOWED = "SELECT DISTINCT regexp_replace(lower(host), '^[^.]*[.]', '') AS domain FROM met WHERE page_id % 3 = 0"
+
+
+@query("j2_allowlist", f"WITH met AS (SELECT page_id, regexp_extract(url, '://(.*)$', 1) AS host FROM ({_URLS})), allowed AS ({_ALLOWED}) SELECT page_id, host, EXISTS (SELECT 1 FROM allowed WHERE lower(host) = domain OR ends_with(lower(host), '.' || domain)) AS canonical FROM met")
+def j2_any(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    met = pages.select("page_id", F.explode(F.regexp_extract_all("url", F.lit(P.URL), F.lit(0))).alias("u")).select("page_id", F.substring_index("u", "://", -1).alias("host"))
+    allowed = met.where("page_id % 3 = 0").select(F.regexp_replace(F.lower("host"), "^[^.]*[.]", "").alias("domain"))
+    return met.join(classify.canonical_hosts(met, allowed), "host").select("page_id", "host", "canonical")
+
+
 @query("a14_lock_findings", f"""WITH locks AS (SELECT cast(floor(page_id / 50) AS bigint) AS diff_id, 1::bigint AS file_no, page_id AS line_no, concat('"resolved": "', CASE WHEN page_id % 7 = 0 THEN concat('git+ssh://git@', url) ELSE url END, '"') AS line FROM pages),
 u AS (SELECT *, regexp_extract_all(line, 'https?://[A-Za-z0-9._~\\-]+') AS urls FROM locks),
 e AS (SELECT diff_id, file_no, line_no, i, unnest(urls) AS x FROM (SELECT *, range(0, len(urls)) AS i FROM u)),
@@ -294,6 +306,37 @@ def a7(spark, d):
     return r.select("diff_id", F.explode("key_changes").alias("change")).select("diff_id", C.strip(F.col("change")).alias("change")).distinct()
 
 
+#: One reply to each chunk, with findings and reasoning; every fifth event is the only chunk of a diff, of the others up to ten make one.
+_TOLD = """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 - event_id ELSE cast(floor(event_id / 10) AS bigint) END AS diff_id, CAST(event_id % 10 + 1 AS INT) AS chunk_no FROM events"""
+_TOLD_CONTENT = """concat('{"risk_score": ', cast(event_id % 100 AS string), ', "reasoning": "r', cast(event_id % 7 AS string), '", "key_changes": ["c', cast(event_id % 3 AS string), '", " c', cast(event_id % 4 AS string), '"], "suspicious_findings": [',
+ CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('{"file": "f', cast(event_id % 2 AS string), '", "reason": " Reason ', cast(event_id % 3 AS string), '"}, {"file": "f1", "reason": "REASON ', cast(event_id % 3 AS string), '"}') END, ']}')"""
+
+
+@query("a6_a8_merged", f"""WITH r AS ({_TOLD}), alone AS (SELECT diff_id, count(*) = 1 AS verbatim FROM r GROUP BY diff_id),
+f AS (SELECT diff_id, chunk_no, 0 AS seq, 'f' || event_id % 2 AS file, ' Reason ' || event_id % 3 AS reason FROM r WHERE event_id % 4 <> 0 UNION ALL SELECT diff_id, chunk_no, 1, 'f1', 'REASON ' || event_id % 3 FROM r WHERE event_id % 4 <> 0),
+fd AS (SELECT *, row_number() OVER (PARTITION BY diff_id, file, lower(trim(reason)) ORDER BY chunk_no, seq) AS n FROM f),
+c AS (SELECT diff_id, chunk_no, 0 AS seq, 'c' || event_id % 3 AS change FROM r UNION ALL SELECT diff_id, chunk_no, 1, ' c' || event_id % 4 FROM r),
+cd AS (SELECT *, row_number() OVER (PARTITION BY diff_id, trim(change) ORDER BY chunk_no, seq) AS n FROM c),
+fs AS (SELECT diff_id, string_agg(file || ':' || reason, '|' ORDER BY chunk_no, seq) AS findings FROM fd JOIN alone USING (diff_id) WHERE n = 1 OR verbatim GROUP BY diff_id),
+cs AS (SELECT diff_id, string_agg(change, '|' ORDER BY chunk_no, seq) AS changes FROM cd JOIN alone USING (diff_id) WHERE n = 1 OR verbatim GROUP BY diff_id),
+ns AS (SELECT diff_id, string_agg('[f' || chunk_no || '] r' || event_id % 7, chr(10) || chr(10) ORDER BY chunk_no) AS notes FROM r WHERE event_id % 4 <> 0 OR event_id % 100 >= 40 GROUP BY diff_id),
+per AS (SELECT diff_id, count(*) AS n, min(event_id) AS e FROM r GROUP BY diff_id)
+SELECT diff_id, verbatim, coalesce(findings, '') AS findings, coalesce(changes, '') AS changes, CASE WHEN verbatim THEN 'r' || e % 7 ELSE coalesce(notes, 'No notable findings across ' || n || ' files / ' || n || ' chunks.') END AS reasoning
+FROM alone JOIN per USING (diff_id) LEFT JOIN fs USING (diff_id) LEFT JOIN cs USING (diff_id) LEFT JOIN ns USING (diff_id)""")
+def a6_a8(spark, d):
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
+    told = spark.sql(f"SELECT diff_id, chunk_no, 1 AS look, 1 AS call_no, 'ok' AS kind, {_TOLD_CONTENT} AS content FROM ({_TOLD})")
+    outcomes = score.corroborated(score.attempts(told)).withColumn("paths", F.array(F.concat(F.lit("f"), F.col("chunk_no").cast("string"))))
+    found = F.array_join(F.transform("suspicious_findings", lambda f: F.concat(f["file"], F.lit(":"), f["reason"])), "|")
+    return reduce.reduce_outcomes(outcomes).select("diff_id", "verbatim", found.alias("findings"), F.array_join("key_changes", "|").alias("changes"), "reasoning")
+
+
+@query("k6_alerts", _CORR + " SELECT diff_id, status AS kind, chunk_no, 'FAILSAFE kind=' || status || ' chunk=' || chunk_no || ' fail_closed=False' AS detail FROM corr WHERE status <> 'ok'")
+def k6(spark, d):
+    outcomes = _outcomes(spark, d)
+    return plans.alerts(outcomes.select("diff_id").distinct(), outcomes)
+
+
 @query("v1_v7_policy", _CORR + f""", per AS (SELECT diff_id, {_FAIL} AS failsafe, coalesce(max(risk), 0) AS worst FROM corr GROUP BY diff_id), fl AS (SELECT *, CASE WHEN diff_id % 4 = 0 THEN greatest(worst, 55) ELSE worst END AS score FROM per)
 SELECT diff_id, score AS risk_score, CASE greatest(CASE WHEN score >= 70 THEN 2 WHEN score >= 40 THEN 1 ELSE 0 END, CASE WHEN failsafe IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN diff_id % 5 = 0 OR diff_id % 7 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'block' WHEN 1 THEN 'review' ELSE 'pass' END AS verdict, CASE WHEN score >= 70 THEN 'high risk' WHEN score >= 40 THEN 'medium risk' ELSE 'low risk' END AS band, CASE WHEN score >= 70 THEN 1 ELSE 0 END AS exit_code FROM fl""")
 def v1_v7(spark, d):

@@ -15,20 +15,24 @@ NO_HUNKS = "There was no text to review, but metadata (a new executable, a mode
 NOT_PRODUCED = "The diff could not be produced, so nothing was scanned."
 
 
-def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), keep: list | None = None, narrator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), keep: list | None = None, narrator: Callable[[DataFrame], DataFrame] | None = None, monitor: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """diffs: diff_id, raw, and if it has one status (null or ok: raw is the diff; else the error that kept it from being made).
 
     scorer: chunks to replies, see operators.score. Every diff gets a row: an empty one passes with nothing scanned, and one that
     couldn't be made falls to the fail-safe. Lines and files feed several branches of the plan, so they are persisted; a lost block is
     made again from its lineage. keep: a list that gets the persisted tables, for the caller to unpersist. narrator: with cfg.reduce = "llm",
-    from (diff_id, text) to (diff_id, content), a new wording of the reasoning.
+    from (diff_id, text) to (diff_id, content), a new wording of the reasoning. monitor: gets the alerts() of this review, to write where
+    monitoring reads them.
     """
     failed = F.coalesce(F.col("status"), F.lit("ok")) != "ok" if "status" in diffs.columns else F.lit(False)
     given = diffs.select("diff_id", failed.alias("failed"), F.when(~failed, F.col("raw")).alias("raw"))
     lines = parse.lines(parse.sanitize(given))
+    if cfg.trim_large:
+        large = given.where(F.length("raw") > cfg.large_diff_chars).select("diff_id", F.lit(True).alias("large"))
+        lines = parse.trim_context(lines.join(large, "diff_id", "left"), only=F.coalesce("large", F.lit(False))).drop("large")
     kept = parse.hunk_lines(lines).persist()
-    meta = parse.metadata_findings(lines)
-    fated = classify.fates(parse.files(kept)).persist()
+    meta = parse.metadata_findings(lines, cfg.strict_paths)
+    fated = classify.fates(parse.files(kept, cfg.strict_paths)).persist()
     boot = classify.bootstraps(fated, cfg)
     executable = meta.where(F.lower("reason").contains("executable")).select("diff_id", F.col("file").alias("path")).distinct().withColumn("executable", F.lit(True))
     scannable = fated.where("fate = 'scan'").join(boot.select("diff_id", "bootstrap"), "diff_id").join(executable, ["diff_id", "path"], "left")
@@ -41,12 +45,14 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     timed_out = replies.where("kind = 'late'").select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no")).distinct().withColumn("timed_out", F.lit(True))
     looks = score.attempts(replies.where("kind <> 'late'"), cfg)
     outcomes = tried.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), "paths").join(score.corroborated(looks, cfg), ["diff_id", "chunk_no"])
+    if monitor is not None:
+        monitor(alerts(given, outcomes, cfg))
     results = reduce.reduce_outcomes(outcomes, cfg)
     if cfg.reduce == "llm" and narrator is not None:
         results = reduce.narrated(results, narrator(reduce.to_narrate(results)))
     if keep is not None:
         keep += [kept, fated, placed]
-    rules = classify.rule_findings(fated, parse.added_lines(kept), cfg)
+    rules = classify.rule_findings(fated, parse.added_lines(kept, cfg.strict_paths), cfg)
 
     none = F.array().cast("array<string>")
     names = placed.join(ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path"), ["diff_id", "file_no"]).join(timed_out, ["diff_id", "chunk_no"], "left")
