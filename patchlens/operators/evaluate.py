@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import patterns as P
+from ..sources import shared
 from . import grams, parse
 
 
@@ -65,12 +66,6 @@ def reorder(diffs: DataFrame) -> DataFrame:
 PERTURBATIONS = {"rename": rename, "blank-line": blank_lines, "reorder": reorder}
 
 
-def _planned_once(df: DataFrame) -> DataFrame:
-    """df as a leaf: a review names its input dozens of times, and each time would repeat the whole plan of the variants."""
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
-
-
 def robustness(diffs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """diff_id, perturbation, before, after, changed, for each variant that differs from the diff.
 
@@ -81,7 +76,7 @@ def robustness(diffs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> Dat
     for name, perturb in PERTURBATIONS.items():
         new = perturb(diffs).join(old.select("diff_id", F.col("raw").alias("old")), "diff_id").where("raw <> old")
         every = every.unionByName(new.select(F.col("diff_id").alias("of"), F.lit(name).alias("perturbation"), "raw"))
-    keyed = _planned_once(every.withColumn("diff_id", F.xxhash64("of", "perturbation")).persist())
+    keyed = shared.cut(every.withColumn("diff_id", F.xxhash64("of", "perturbation")))  # a review names its input many times
     judged = keyed.select("diff_id", "of", "perturbation").join(judge(keyed.select("diff_id", "raw")), "diff_id")
     before = judged.where("perturbation = ''").select("of", F.col("verdict").alias("before"))
     out = judged.where("perturbation <> ''").join(before, "of")

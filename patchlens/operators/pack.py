@@ -51,7 +51,7 @@ def truncated(text: Column, budget: int) -> Column:
 
 def chunks(files: DataFrame, placed: DataFrame, cfg: Config = Config()) -> DataFrame:
     """diff_id, chunk_no, text, paths, n_chars, attempted (false from the deadline's cut on)."""
-    own = placed.where("chunk_no IS NOT NULL").join(files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path", "file_diff"), ["diff_id", "file_no"])
+    own = placed.where("chunk_no IS NOT NULL").select("diff_id", "file_no", "rank", "chunk_no").join(files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path", "file_diff"), ["diff_id", "file_no"])
     paths = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"])
     text = parse.joined(truncated(F.col("file_diff"), cfg.max_chars), "rank")
     grouped = own.groupBy("diff_id", "chunk_no").agg(text.alias("text"), paths.alias("paths"))

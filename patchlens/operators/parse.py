@@ -39,12 +39,32 @@ def _so_far(by: str = "diff_id"):
     return Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _needed(in_hunk: Column) -> Column:
+    """Whether a reviewer needs a line: file headers, hunk headers and what follows these up to the next file."""
+    t = F.col("text")
+    header = t.startswith("--- ") | t.startswith("+++ ")
+    return t.startswith("diff --git") | header | t.startswith("@@") | (in_hunk & F.substring("text", 1, 1).isin("+", "-", " ", "\\"))
+
+
+def _in_hunk() -> Column:
+    t = F.col("text")
+    state = F.last(F.when(t.startswith("diff --git"), False).when(t.startswith("@@"), True), ignorenulls=True).over(_so_far())
+    return F.coalesce(state, F.lit(False))
+
+
+def located(all_lines: DataFrame, strict: bool = False) -> DataFrame:
+    """What hunk_lines(), file_lines() and metadata_findings() tell of each line, by one window: kept, file_no, path, reason and
+    binary of the lines that are kept or have a reason. A file's header is always kept, so its number is the same among all lines.
+    """
+    head = is_header(F.col("text"), strict)
+    path = F.last(F.when(head, path_of(F.col("text"), strict)), ignorenulls=True).over(_so_far())
+    marked = all_lines.select("*", _in_hunk().alias("in_hunk"), F.sum(head.cast("int")).over(_so_far()).alias("file_no"), path.alias("path"), *metadata_reason())
+    return marked.withColumn("kept", _needed(F.col("in_hunk"))).where("kept OR reason IS NOT NULL").drop("in_hunk")
+
+
 def hunk_lines(all_lines: DataFrame) -> DataFrame:
     """The lines that a reviewer needs: file headers, hunk headers and what follows these up to the next file."""
-    t = F.col("text")
-    starts, header, at = t.startswith("diff --git"), t.startswith("--- ") | t.startswith("+++ "), t.startswith("@@")
-    state = F.last(F.when(starts, False).when(at & ~header, True), ignorenulls=True).over(_so_far())
-    return all_lines.withColumn("in_hunk", F.coalesce(state, F.lit(False))).where(starts | header | at | (F.col("in_hunk") & F.substring("text", 1, 1).isin("+", "-", " ", "\\"))).drop("in_hunk")
+    return all_lines.withColumn("in_hunk", _in_hunk()).where(_needed(F.col("in_hunk"))).drop("in_hunk")
 
 
 def hunks(kept: DataFrame) -> DataFrame:
@@ -83,7 +103,11 @@ def files(kept: DataFrame, strict: bool = False) -> DataFrame:
 
     A diff with hunks but no header is one file named unknown.
     """
-    numbered = file_lines(kept, strict)
+    return files_of(file_lines(kept, strict))
+
+
+def files_of(numbered: DataFrame) -> DataFrame:
+    """files() of what file_lines() gives."""
     headless = F.max("file_no").over(Window.partitionBy("diff_id")) == 0
     own = numbered.withColumns({"path": F.when(headless, F.lit("unknown")).otherwise(F.col("path")), "headless": headless}).where("file_no > 0 OR headless")
     added = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C.is_added(F.col("text")), F.struct("line_no", "text")))), lambda s: s["text"]), "\n")
@@ -92,7 +116,12 @@ def files(kept: DataFrame, strict: bool = False) -> DataFrame:
 
 def added_lines(kept: DataFrame, strict: bool = False) -> DataFrame:
     """diff_id, file_no, path, line_no, line: added text without its plus sign."""
-    return file_lines(kept, strict).where(C.is_added(F.col("text"))).select("diff_id", "file_no", "path", "line_no", F.expr("substring(text, 2)").alias("line"))
+    return added_of(file_lines(kept, strict))
+
+
+def added_of(numbered: DataFrame) -> DataFrame:
+    """added_lines() of what file_lines() gives."""
+    return numbered.where(C.is_added(F.col("text"))).select("diff_id", "file_no", "path", "line_no", F.expr("substring(text, 2)").alias("line"))
 
 
 NEW_EXECUTABLE = "New file is executable (mode 100755)."

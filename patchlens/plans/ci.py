@@ -37,11 +37,9 @@ def review_one(diff: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: C
     The JSON goes to out (the standard output by default) and, if named, to the file result. The report replaces the file report and is
     appended to the file summary (by default what GITHUB_STEP_SUMMARY names). Nothing to review: five fields and no report.
     """
-    out, kept = out or sys.stdout, []
+    out = out or sys.stdout
     summary = os.environ.get("GITHUB_STEP_SUMMARY") if summary is None else summary
-    row = scan(diff, scorer, cfg, keep=kept).select("exit_code", render.is_empty().alias("empty"), render.json_of().alias("json"), render.report(cfg).alias("report")).first()
-    for df in kept:
-        df.unpersist()
+    row = scan(diff, scorer, cfg).select("exit_code", render.is_empty().alias("empty"), render.json_of().alias("json"), render.report(cfg).alias("report")).first()
     if result:
         with open(result, "w", encoding="utf-8") as f:
             Tee(out, f).write(row["json"] + "\n")

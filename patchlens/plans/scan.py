@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import columns as C
 from ..operators import classify, pack, parse, reduce, score
+from ..sources import shared
 
 NO_HUNKS = "There was no text to review, but metadata (a new executable, a mode or binary content) was flagged for a person."
 NOT_PRODUCED = "The diff could not be produced, so nothing was scanned."
 
 
-def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), keep: list | None = None, narrator: Callable[[DataFrame], DataFrame] | None = None, monitor: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), narrator: Callable[[DataFrame], DataFrame] | None = None, monitor: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """diffs: diff_id, raw, and if it has one status (null or ok: raw is the diff; else the error that kept it from being made).
 
     scorer: chunks to replies, see operators.score. Every diff gets a row: an empty one passes with nothing scanned, and one that
-    couldn't be made falls to the fail-safe. Lines and files feed several branches of the plan, so they are persisted; a lost block is
-    made again from its lineage. keep: a list that gets the persisted tables, for the caller to unpersist. narrator: with cfg.reduce = "llm",
+    couldn't be made falls to the fail-safe. Lines, files and placements feed several branches of the plan: each is computed once, when this is
+    called, and is a table in the shared folder from then on, so no executor's loss repeats it. narrator: with cfg.reduce = "llm",
     from (diff_id, text) to (diff_id, content), a new wording of the reasoning. monitor: gets the alerts() of this review, to write where
     monitoring reads them.
     """
@@ -30,15 +31,17 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     if cfg.trim_large:
         large = given.where(F.length("raw") > cfg.large_diff_chars).select("diff_id", F.lit(True).alias("large"))
         lines = parse.trim_context(lines.join(large, "diff_id", "left"), only=F.coalesce("large", F.lit(False))).drop("large")
-    kept = parse.hunk_lines(lines).persist()
-    meta = parse.metadata_findings(lines, cfg.strict_paths)
-    fated = classify.fates(parse.files(kept, cfg.strict_paths)).persist()
+    placed_lines = shared.cut(parse.located(lines, cfg.strict_paths))
+    kept = placed_lines.where("kept")
+    meta = placed_lines.where("reason IS NOT NULL").select("diff_id", "line_no", F.coalesce("path", F.lit("unknown")).alias("file"), "reason", "binary")
+    fated = shared.cut(classify.fates(parse.files_of(kept)))
     boot = classify.bootstraps(fated, cfg)
     executable = meta.where(F.lower("reason").contains("executable")).select("diff_id", F.col("file").alias("path")).distinct().withColumn("executable", F.lit(True))
     scannable = fated.where("fate = 'scan'").join(boot.select("diff_id", "bootstrap"), "diff_id").join(executable, ["diff_id", "path"], "left")
     scannable = scannable.where(~F.col("bootstrap") | C.is_high_risk(F.col("path")) | F.coalesce("executable", F.lit(False)))
     ranked = pack.ranked(scannable)
-    placed = pack.placements(ranked, cfg).persist()
+    named = ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path")
+    placed = shared.cut(pack.placements(ranked, cfg).join(named, ["diff_id", "file_no"]))
     chunks = pack.chunks(ranked, placed, cfg)
     tried = chunks.where("attempted")
     replies = scorer(tried)
@@ -50,12 +53,10 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     results = reduce.reduce_outcomes(outcomes, cfg)
     if cfg.reduce == "llm" and narrator is not None:
         results = reduce.narrated(results, narrator(reduce.to_narrate(results)))
-    if keep is not None:
-        keep += [kept, fated, placed]
-    rules = classify.rule_findings(fated, parse.added_lines(kept, cfg.strict_paths), cfg)
+    rules = classify.rule_findings(fated, parse.added_of(kept), cfg)
 
     none = F.array().cast("array<string>")
-    names = placed.join(ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path"), ["diff_id", "file_no"]).join(timed_out, ["diff_id", "chunk_no"], "left")
+    names = placed.join(timed_out, ["diff_id", "chunk_no"], "left")
     cut = F.lit(False) if cfg.chunks_before_deadline is None else F.coalesce(F.col("chunk_no") > cfg.chunks_before_deadline, F.lit(False))
     of = lambda state: F.transform(F.array_sort(F.collect_list(F.when(state, F.struct(F.col("late"), F.when(F.col("late"), F.col("chunk_no")).alias("c"), "rank", "path")))), lambda s: s["path"])
     coverage = names.withColumn("late", cut | F.coalesce("timed_out", F.lit(False))).groupBy("diff_id").agg(of((F.col("state") == "overflow") | F.col("late")).alias("overflow"), of(F.col("state") == "truncated").alias("truncated"))

@@ -3,6 +3,24 @@
 from __future__ import annotations
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names. Where none is named, one under /tmp if all runs on this machine; else it is an error."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a leaf of later plans, computed once and written to the shared folder, where it outlives executors."""
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def at(address: str) -> tuple[fs.FileSystem, str]:
