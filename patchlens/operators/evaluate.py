@@ -95,10 +95,12 @@ def distinctive(text: Column) -> Column:
 
 def contaminated_by(samples: DataFrame, prompt: DataFrame) -> DataFrame:
     """samples: id, name (of any length); prompt: part (a whole number), prompt: a text of any size in rows. As contaminated(), with each
-    token looked up once in an index of the prompt, whatever the number of samples that have it.
+    token looked up once in an index of the prompt, whatever the number of samples that have it. Distinct tokens are found when this is
+    called, and are a table in the shared folder from then on.
     """
     own = samples.select("id", F.explode(distinctive(F.col("name"))).alias("t"))
-    hits = grams.contained(own.select("t").distinct(), prompt, P.MIN_TOKEN, "part", "prompt")
+    tokens = shared.cut(own.select("t").distinct())  # several joins read them
+    hits = grams.contained(tokens, prompt, P.MIN_TOKEN, "part", "prompt")
     met = own.join(hits, "t").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("overlap"))
     joined = samples.select("id").join(met, "id", "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
     return joined.withColumn("contaminated", F.size("overlap") > 0)
