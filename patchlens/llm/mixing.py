@@ -3,14 +3,18 @@
 Each source's documents, in a keyed random order, form blocks of BLOCK_DOCS. With target weight w, block k of a source has
 release time floor(k / w) and deadline ceil((k + 1) / w), in slots of one block each. Earliest deadline first over these
 windows meets every deadline, as the weights sum to 1; so at any slot each source has got within less than one block of
-its weight's share. Weights are taken as exact fractions, so nothing drifts, however long the mix and however small a weight. The
-driver lays blocks out in stretches, with one number for each source in memory, and hands each stretch over as a file.
+its weight's share. Weights are taken as exact fractions, so nothing drifts, however long the mix and however small a weight.
 
-Every document gets a slot; none is dropped or repeated. The shares hold up to the horizon, the first slot for which a source has
-no block left; after it the other sources' blocks keep their order.
+Tasks lay the slots out in stretches, each on its own. What earliest deadline first has done before slot T follows from the weights:
+every block with a deadline up to T, and of each source's next blocks, in order of their deadlines, those that still find a slot
+between their release and T (`done_before`). For the latter only windows that reach beyond T matter, so a task looks back no
+further than the longest window, and stretches are at least as long.
+
+Every document gets a slot; none is dropped or repeated, and no slot is empty. The shares hold up to the horizon, the first slot for which
+a source may have no block left; after it the other sources' blocks follow by deadline, which they still meet.
 
 A document's rank in its source comes from counts by buckets of its hash, so that no source, however large, is ranked in
-one task.
+one task. The driver holds one number for each source, and the bounds of the stretches.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,25 +32,16 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_DOCS = 64
-PERIOD = 4096
-#: Blocks that the driver lays out at once.
+#: Slots that a task lays out at once.
 STRETCH = 1 << 18
+#: The longest window that tasks look back over; with a longer one, a single task lays out all slots up to the horizon.
+MAX_WINDOW = 1 << 22
 #: Documents for each bucket of the hash.
 BUCKET_DOCS = 4_000
 NO_SOURCE = "(none)"
 OTHERS = "(others)"
 _MIX = "struct<block: bigint, position: bigint, slot: bigint, release: bigint, deadline: bigint, in_mix: boolean>"
-
-
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each period for each source: one at least, the rest by largest remainders. At most period sources."""
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+_BLOCKS = pa.schema([("s", pa.string()), ("k", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
 
 
 def _exact(weights: dict[str, float]) -> tuple[dict[str, int], int]:
@@ -60,41 +54,97 @@ def _exact(weights: dict[str, float]) -> tuple[dict[str, int], int]:
     return whole, sum(whole.values())
 
 
-def laid_out(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
-    """Source, block number, slot, release, deadline of every block, in the order of the slots. Earliest deadline first, ties by source.
-
-    A source without blocks left takes no part, and slots before the next release are left out.
-    """
-    part, total = _exact(weights)
-    pending = [(0, s, 0) for s in sorted(blocks) if blocks[s]]
+def longest_window(part: dict[str, int], total: int) -> int:
+    """No window of a block has more slots."""
+    return -(-total // min(part.values())) + 1
+
+
+def done_before(slot: int, part: dict[str, int], total: int) -> dict[str, int]:
+    """Blocks of each source that earliest deadline first (ties by source) has put before a slot."""
+    done = {s: slot * p // total for s, p in part.items()}
+    spare = slot - sum(done.values())
+    if not spare:
+        return done
+    first = max(0, slot - longest_window(part, total))
+    later = list(range(slot - first + 1))  # from each slot on, a slot that is free, with the paths to it
+
+    def take(release: int) -> bool:
+        at = path = release - first
+        while later[at] != at:
+            at = later[at]
+        while later[path] != at:
+            later[path], path = at, later[path]
+        if at == slot - first:
+            return False
+        later[at] = at + 1
+        return True
+
+    for s, p in part.items():
+        for k in range(-(-first * p // total), done[s]):
+            take(k * total // p)
+    pending = sorted((-(-(done[s] + 1) * total // p), s) for s, p in part.items() if slot * p % total)
+    for _, s in pending:
+        if spare and take(done[s] * total // part[s]):
+            done[s] += 1
+            spare -= 1
+    return done
+
+
+def laid_out(part: dict[str, int], total: int, start: int, end: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """Source, block number, slot, release, deadline of slots start to end - 1, for whole-numbered weights and their sum."""
+    pending = [(k * total // part[s], s, k) for s, k in done_before(start, part, total).items()]
+    heapq.heapify(pending)
     ready: list[tuple[int, str, int, int]] = []
-    slot = 0
-    while pending or ready:
-        if not ready:
-            slot = max(slot, pending[0][0])
+    for slot in range(start, end):
         while pending and pending[0][0] <= slot:
             release, s, k = heapq.heappop(pending)
             heapq.heappush(ready, (-(-(k + 1) * total // part[s]), s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
-        assert slot < deadline
         yield s, k, slot, release, deadline
-        if k + 1 < blocks[s]:
-            heapq.heappush(pending, ((k + 1) * total // part[s], s, k + 1))
-        slot += 1
+        heapq.heappush(pending, ((k + 1) * total // part[s], s, k + 1))
 
 
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period of whole-numbered weights: source, block number, slot, release, deadline."""
-    return list(laid_out(quota, quota))
+def _batches(rows: Iterator[tuple[str, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, 1 << 14)):
+        yield common.emit(_BLOCKS, [list(c) for c in zip(*some)])
 
 
-def _slots(spark: SparkSession, rows: Iterator[tuple[str, int, int, int, int]], stretch: int) -> DataFrame:
-    """rows as a table in the shared folder, written a stretch at a time."""
-    at = f"{common.shared_dir(spark)}/slots-{uuid.uuid4().hex}"
-    schema = pa.schema([("s", pa.string()), ("k", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
-    while part := list(itertools.islice(rows, stretch)):
-        spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)).write.mode("append").parquet(at)
-    return spark.read.schema("s string, k bigint, slot bigint, release bigint, deadline bigint").parquet(at)
+def slots_of(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], stretch: int = STRETCH) -> tuple[DataFrame, int]:
+    """s, k, slot, release, deadline of every block of every source, and the horizon. Sources have both a weight and blocks."""
+    part, total = _exact(weights)
+    horizon = min(blocks[s] * total // p for s, p in part.items())
+    window = longest_window(part, total)
+    step = max(1, horizon if window > MAX_WINDOW else max(stretch, window))
+    schema = "s string, k bigint, slot bigint, release bigint, deadline bigint"
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (start,) in common.rows(batches, "start"):
+            yield from _batches(laid_out(part, total, start, min(start + step, horizon)))
+
+    starts = spark.range(0, horizon, step, max(1, -(-horizon // step))).select(F.col("id").alias("start"))
+    mixed = starts.mapInArrow(common.tidy(lay), schema)
+    done = done_before(horizon, part, total) if window <= MAX_WINDOW else None
+    if sum(blocks.values()) == horizon:
+        return mixed, horizon
+    if done is None:  # what is done follows from what was laid out
+        mixed = common.cut(mixed)
+        done = dict.fromkeys(part, 0) | {r["s"]: r["count"] for r in mixed.groupBy("s").count().toLocalIterator()}
+    pieces = [(s, at, min(at + stretch, n)) for s, n in blocks.items() for at in range(done[s], n, stretch)]
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, first, end in common.rows(batches, "s", "first", "end"):
+            p = part[s]
+            yield from _batches((s, k, -1, k * total // p, -(-(k + 1) * total // p)) for k in range(first, end))
+
+    table = spark.createDataFrame(pieces, "s string, first bigint, end bigint").repartition(min(len(pieces), 1 << 12))
+    by_deadline = table.mapInArrow(common.tidy(left), schema).repartitionByRange("deadline", "s").withColumn("part", F.spark_partition_id())
+    fixed = common.cut(by_deadline)  # which range a block is in stays as it is when a task is lost
+    sizes = fixed.groupBy("part").agg(F.count("*").alias("n"))
+    # One row for each range: no more than a shuffle has partitions.
+    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + horizon).alias("base"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("deadline", "s")) - 1
+    tail = fixed.withColumn("at", at).join(F.broadcast(base), "part").select("s", "k", (F.col("base") + F.col("at")).alias("slot"), "release", "deadline")
+    return mixed.unionByName(tail), horizon
 
 
 def tempered(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
@@ -106,11 +156,12 @@ def keyed_order(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = STRETCH, seed: int = 1, column: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | DataFrame | None = None, block_docs: int = BLOCK_DOCS, stretch: int = STRETCH, seed: int = 1, column: str = "mix") -> DataFrame:
     """docs with a column: block, position (in the block), slot, release, deadline and in_mix (before the horizon).
 
-    weights: of the sources, positive and in any unit; by default the root of a source's number of documents. A null source is one of
-    its own; sources that given weights don't name share one. period: blocks laid out at once. The order in a source follows
+    weights: of the sources, positive and in any unit, as a dict or a table (source, weight) with a row for each; by default the root of a
+    source's number of documents. A null source is one of its own; sources that given weights don't name share one, named OTHERS, with
+    the weight given to that name or the least of all; the weight of a source without documents counts for nothing. stretch: slots laid out at once. The order in a source follows
     from seed and doc_id; documents with equal ids follow each other, and a null doc_id is a value like any other. An empty table gives
     no rows. Every column is passed through, save for one with the name of the new one.
     """
@@ -121,22 +172,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
         return docs.drop(column).withColumn(column, F.lit(None).cast(_MIX))
     buckets = max(1, sum(counts.values()) // BUCKET_DOCS)
     source = named
+    if isinstance(weights, DataFrame):
+        told = weights.select(F.coalesce(weights["source"].cast("string"), F.lit(NO_SOURCE)).alias("s"), weights["weight"].cast("double").alias("w"))
+        weights = {r["s"]: r["w"] for r in told.toLocalIterator()}
     if weights is None:
         weights = tempered(counts)
     elif others := sum(n for s, n in counts.items() if s not in weights):
         source = F.when(named.isin(list(weights)), named).otherwise(F.lit(OTHERS))
         counts = {s: n for s, n in counts.items() if s in weights} | {OTHERS: others + (counts.get(OTHERS, 0) if OTHERS in weights else 0)}
-        weights = weights | {OTHERS: min(weights.values(), default=1.0)}
+        weights = {OTHERS: min(weights.values(), default=1.0)} | weights
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     doc_id = docs["doc_id"].cast("bigint")
     order = keyed_order(doc_id, seed)
     row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if c != column])
     keyed = docs.select(row.alias("row"), source.alias("s"), F.pmod(F.shiftright(order, 20), F.lit(buckets)).alias("b"), order.alias("o"), doc_id.alias("id"))
     sizes = keyed.groupBy("s", "b").agg(F.count("*").alias("n"))
     before = common.cut(sizes.select("s", "b", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before")))
-    blocks = {s: -(-counts.get(s, 0) // block_docs) for s in weights}
-    part, total = _exact(weights)
-    horizon = min(n * total // part[s] for s, n in blocks.items())
-    slots = _slots(spark, laid_out(weights, blocks), period)
+    slots, horizon = slots_of(spark, {s: weights[s] for s in blocks}, blocks, stretch)
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("o", "id")) - 1)
     rank = F.col("before") + F.col("r")
     numbered = ranked.join(before, ["s", "b"]).select("row", "s", F.floor(rank / block_docs).alias("k"), (rank % block_docs).alias("position"))

@@ -116,8 +116,20 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select((F.col("first_slot") + F.col("i")).alias("slot"), "shard", (F.col("i") * F.col("stride")).alias("byte_offset"), F.col("s.number").alias("sequence"), F.col("s.n_tokens").alias("n_tokens"), F.col("s.crc32").alias("ids_crc32"))
 
 
+#: Documents in a block of the registered mix.
+MIX_BLOCK_DOCS = 8
+
+
+def target_weights(docs: DataFrame) -> DataFrame:
+    """source, weight: 1 to 7 by the digest of the source's name, whatever the number of its documents."""
+    digest = F.md5(F.coalesce(F.col("source"), F.lit(mixing.NO_SOURCE)).cast("binary"))
+    weight = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 7 + 1
+    return docs.select("source").distinct().select("source", weight.alias("weight"))
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(common.documents(spark, sf_dir).select("doc_id", "source"))
+    docs = common.documents(spark, sf_dir).select("doc_id", "source")
+    mixed = mixing.mix(docs, target_weights(docs), MIX_BLOCK_DOCS)
     return mixed.select("doc_id", "source", "mix.*")
 
 
@@ -211,18 +223,20 @@ told AS (SELECT b.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {qu
 SELECT doc_id, n_words, word_chars::bigint AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(c, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(f, 0) <= {quality.MAX_WORD_DISTANCE} AS kept,
   CASE WHEN NOT base_failed THEN round(c, 9) END AS char_distance, CASE WHEN NOT base_failed THEN round(f, 9) END AS word_distance FROM told"""
 
-#: Pfair mixing: whole-numbered weights (roots times 2 ** 52), releases and deadlines, then a slot for each round of the recursion.
+#: Pfair mixing: up to the horizon, a slot for each round of the recursion, which holds how many blocks of each source are done and picks the
+#: released one with the earliest deadline; after it, blocks by deadline.
 _OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '{mixing.NO_SOURCE}') AS s, ('0x' || substr(md5('1 ' || coalesce(doc_id::varchar, '')), 1, 15))::bigint AS o FROM documents),
-n AS (SELECT s, count(*) AS n, (sqrt(count(*)) * 4503599627370496)::hugeint AS w, ((count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS})::hugeint AS blocks FROM d GROUP BY s),
-t AS (SELECT sum(w)::hugeint AS total FROM n),
-b AS (SELECT s, k, k * total // w AS release, ((k + 1) * total + w - 1) // w AS deadline FROM (SELECT s, w, total, unnest(range(0, blocks::bigint))::hugeint AS k FROM n, t)),
-e AS (SELECT 0::hugeint AS slot, s, k, release, deadline FROM b WHERE release = 0 AND k = 0 QUALIFY row_number() OVER (ORDER BY deadline, s) = 1),
-r AS (SELECT slot, list(s || ' ' || k) AS done, any_value(s) AS s, any_value(k) AS k FROM e GROUP BY slot
-  UNION ALL SELECT slot, list_append(done, s || ' ' || k), s, k FROM (SELECT greatest(r.slot + 1, min(b.release) OVER ()) AS slot, r.done, b.s, b.k, b.release, b.deadline FROM r JOIN b ON NOT list_contains(r.done, b.s || ' ' || b.k))
-    WHERE release <= slot QUALIFY row_number() OVER (ORDER BY deadline, s) = 1),
+n AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s) AS i, ('0x' || substr(md5(s), 1, 8))::bigint % 7 + 1 AS w, (count(*) + {MIX_BLOCK_DOCS - 1}) // {MIX_BLOCK_DOCS} AS blocks FROM d GROUP BY s),
+t AS MATERIALIZED (SELECT list(w ORDER BY i) AS ws, sum(w)::bigint AS total FROM n),
+h AS MATERIALIZED (SELECT min(blocks * total // w) AS horizon FROM n, t),
+r AS (SELECT 0::bigint AS slot, list_transform(ws, lambda w: 0::bigint) AS done, list_min(list_transform(ws, lambda w, i: {{'deadline': (total + w - 1) // w, 'i': i}})).i AS pick FROM t
+  UNION ALL SELECT slot, done, list_min(list_filter(list_transform(ws, lambda w, i: {{'deadline': ((done[i] + 1) * total + w - 1) // w, 'i': i, 'release': done[i] * total // w}}), lambda x: x.release <= slot)).i
+    FROM (SELECT slot + 1 AS slot, list_transform(done, lambda x, i: x + (i = pick)::bigint) AS done FROM r), t, h WHERE slot < horizon),
+b AS (SELECT s, i, k, k * total // w AS release, ((k + 1) * total + w - 1) // w AS deadline FROM (SELECT s, i, w, total, unnest(range(0, blocks)) AS k FROM n, t)),
+x AS (SELECT b.*, r.slot, row_number() OVER (PARTITION BY r.slot IS NULL ORDER BY deadline, s) - 1 AS place FROM b LEFT JOIN r ON r.pick = b.i AND r.done[r.pick] = b.k),
 p AS (SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY (o >> 20) % (SELECT greatest(1, count(*) // {mixing.BUCKET_DOCS}) FROM d), o, doc_id) - 1 AS rank FROM d)
-SELECT doc_id, source, b.k::bigint AS block, (rank % {mixing.BLOCK_DOCS})::bigint AS position, slot::bigint AS slot, b.release::bigint AS release, b.deadline::bigint AS deadline,
-  slot < (SELECT min(blocks * total // w) FROM n, t) AS in_mix FROM p JOIN b ON b.s = p.s AND b.k = p.rank // {mixing.BLOCK_DOCS} JOIN (SELECT slot, s AS s_, k AS k_ FROM r) ON s_ = b.s AND k_ = b.k"""
+SELECT doc_id, source, x.k AS block, rank % {MIX_BLOCK_DOCS} AS position, coalesce(x.slot, horizon + place) AS slot, release, deadline, x.slot IS NOT NULL AS in_mix
+FROM p JOIN x ON x.s = p.s AND x.k = p.rank // {MIX_BLOCK_DOCS}, h"""
 
 
 #: Main texts of pages that have one well-formed article of paragraphs and a heading, and no other character references, as those of the tables.

@@ -200,17 +200,8 @@ def test_shards(spark, docs, tmp_path):
     assert list(later) == list(range(11, len(every))) and (later[12] == every[12]).all()
 
 
-def test_schedule_stays_within_a_block():
-    quota = mixing.quotas({"a": 5.0, "b": 3.3, "c": 0.01}, 64)
-    got = collections.Counter()
-    for s, k, slot, release, deadline in mixing.schedule(quota):
-        assert release <= slot < deadline and k == got[s]
-        got[s] += 1
-        assert all(abs(got[x] - (slot + 1) * q / 64) < 1 for x, q in quota.items())
-
-
 def test_mixing_keeps_all(docs, none):
-    out = mixing.mix(docs, block_docs=2, period=16).collect()
+    out = mixing.mix(docs, block_docs=2, stretch=16).collect()
     assert len(out) == docs.count() and len({(r.mix.slot, r.mix.position) for r in out}) == len(out)
     assert mixing.mix(none).count() == 0
 
@@ -220,13 +211,53 @@ def test_mixing_by_exact_weights(spark):
     weights = {"big": 1 / 3, "tiny": 1e-5} | {f"s{i}": (2 / 3 - 1e-5) / 1998 for i in range(1998)}
     got = collections.Counter()
     part, total = mixing._exact(weights)
-    for s, k, slot, release, deadline in mixing.laid_out(weights, {x: 10**9 for x in weights}):
+    for s, k, slot, release, deadline in mixing.laid_out(part, total, 0, 30_000):
         assert k == got[s] and release == k * total // part[s] <= slot < deadline == -(-(k + 1) * total // part[s])
         got[s] += 1
         assert abs(got["big"] * total - (slot + 1) * part["big"]) < total
-        if slot == 29_999:
-            break
     assert got["big"] in (9_999, 10_000, 10_001) and got["tiny"] <= 1 and all(abs(got[x] * total - 30_000 * part[x]) < total for x in weights)
+    assert mixing.done_before(30_000, part, total) == {s: got[s] for s in weights}
+
+
+def test_stretches_start_where_the_one_before_ended():
+    """From any slot on, the layout is that of a plain heap that began at slot 0."""
+    r = random.Random(5)
+    for _ in range(60):
+        weights = {f"s{i}": r.choice([r.randrange(1, 8), r.random() + 1e-3, r.choice([0.01, 5])]) for i in range(r.randrange(1, 9))}
+        part, total = mixing._exact(weights)
+        waiting, got = [(0, s, 0) for s in part], []
+        for slot in range(150):
+            ready = [(-(-(k + 1) * total // part[s]), s, k, release) for release, s, k in waiting if release <= slot]
+            deadline, s, k, release = min(ready)
+            got.append((s, k, slot, release, deadline))
+            waiting.remove((release, s, k))
+            waiting.append(((k + 1) * total // part[s], s, k + 1))
+        for start in range(0, 150, 13):
+            assert list(mixing.laid_out(part, total, start, 150)) == got[start:]
+
+
+@pytest.mark.parametrize("stretch, window", [(1, 1 << 22), (7, 1 << 22), (1 << 18, 1 << 22), (7, 1)])
+def test_slots_are_the_same_for_all_stretches(spark, monkeypatch, stretch, window):
+    """In stretches or by one task: slots 0 to n - 1, up to the horizon those of laid_out, then by deadline, which all meet."""
+    monkeypatch.setattr(mixing, "MAX_WINDOW", window)
+    weights, blocks = {"a": 5.0, "b": 3.3, "c": 0.7, "d": 1.0}, {"a": 60, "b": 90, "c": 30, "d": 9}
+    part, total = mixing._exact(weights)
+    slots, horizon = mixing.slots_of(spark, weights, blocks, stretch)
+    got = sorted((tuple(r) for r in slots.collect()), key=lambda r: r[2])
+    assert [r[2] for r in got] == list(range(sum(blocks.values()))) and {(s, k) for s, k, *_ in got} == {(s, k) for s, n in blocks.items() for k in range(n)}
+    assert got[:horizon] == list(mixing.laid_out(part, total, 0, horizon)) and horizon == min(n * total // part[s] for s, n in blocks.items())
+    assert all(slot < deadline for _, _, slot, _, deadline in got)
+    left = [(deadline, s) for s, _, _, _, deadline in got[horizon:]]
+    assert left and left == sorted(left)
+
+
+def test_weights_as_a_table(spark):
+    """A null source has a weight, one without documents takes no share, those without a weight share one."""
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["a"] * 9 + ["b"] * 5 + ["c"] * 3 + ["d"] + [None] * 6)], "doc_id bigint, source string")
+    table = spark.createDataFrame([("a", 4), (None, 2), ("gone", 9), ("(others)", 3)], "source string, weight int")
+    by_table, by_dict = (mixing.mix(df, w, block_docs=1).orderBy("doc_id").collect() for w in (table, {"a": 4.0, "(none)": 2.0, "(others)": 3.0}))
+    assert by_table == by_dict and sorted(r.mix.slot for r in by_table) == list(range(24))
+    assert max(r.mix.slot for r in by_table if r.mix.in_mix) == min(9 * 9 // 4, 6 * 9 // 2, 9 * 9 // 3) - 1
 
 
 def test_mixing_has_no_limit_on_sources(spark):
