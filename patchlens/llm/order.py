@@ -3,8 +3,8 @@
 One pass cuts the token stream of each input partition (documents, each with an end id) into sequences of LENGTH tokens;
 the last of a partition is padded. Sequences are numbered densely by partition, and a keyed Feistel network with
 cycle-walking permutes the numbers [0, N): every sequence gets a slot of its own, and any slot's sequence can be told from
-the key alone. Slots are dealt by range to shards of SHARD_SLOTS sequences. In a shard, slot s begins at byte
-(s - first_slot) * stride, so a reader that stopped at a slot goes on from there with one seek.
+the key alone. Partitions are ranges of slots, each of whole shards of SHARD_SLOTS sequences. `write` makes a raw file of each shard, in
+which slot s begins at byte (s - first_slot) * stride, so a reader that stopped at a slot goes on from there with one seek.
 
 What travels is two bytes for each token (four with a vocabulary beyond 65,536 ids), twice: to the shared folder, which fixes the numbering against lost
 tasks, and to the shards.
@@ -12,20 +12,25 @@ tasks, and to the shards.
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from . import common
 from .packing import END_ID, tokenizer
 
 LENGTH = 1024
 SHARD_SLOTS = 1024
+#: Shards of a range partition at most.
+RANGE_SHARDS = 32
 PAD_ID = 0
 ROUNDS = 6
 KEY = 0x5EED
@@ -94,8 +99,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id
     return common.small_batches(docs).select("text").mapInArrow(common.tidy(run), "part bigint, number bigint, ids binary, n_tokens bigint, id_bytes int")
 
 
-def placed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """slot, number, ids, n_tokens and id_bytes of every sequence.
+def placed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
+    """slot, number, ids, n_tokens and id_bytes of every sequence, and how many there are.
 
     A null or empty text is its end id alone; repeated rows count as often as they occur; an empty table gives no rows; the
     other columns are ignored.
@@ -112,32 +117,81 @@ def placed(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: int
             slots = permute(batch.column(0).to_numpy(zero_copy_only=False), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *batch.columns], ["slot", "number", "ids", "n_tokens", "id_bytes"])
 
-    return numbered.mapInArrow(common.tidy(run), "slot bigint, number bigint, ids binary, n_tokens bigint, id_bytes int")
+    return numbered.mapInArrow(common.tidy(run), "slot bigint, number bigint, ids binary, n_tokens bigint, id_bytes int"), total
 
 
-def shards(at: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, first_slot, stride, id_bytes, payload, and for each slot number, crc32 (of its bytes) and n_tokens. A group is one shard: of a fixed size."""
-    schema = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("stride", pa.int64()), ("id_bytes", pa.int32()), ("payload", pa.binary()), ("slots", pa.list_(pa.struct([("number", pa.int64()), ("crc32", pa.int64()), ("n_tokens", pa.int64())])))])
+_SHARDS = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("stride", pa.int64()), ("id_bytes", pa.int32()), ("payload", pa.binary()), ("slots", pa.list_(pa.struct([("number", pa.int64()), ("crc32", pa.int64()), ("n_tokens", pa.int64())])))])
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("slot", "number", "ids", "n_tokens"))))
-        shard = rows[0][0] // shard_slots
-        return pa.Table.from_batches([common.emit(schema, [[shard], [rows[0][0]], [len(rows[0][2])], [table.column("id_bytes")[0].as_py()], [b"".join(r[2] for r in rows)], [[{"number": r[1], "crc32": zlib.crc32(r[2]), "n_tokens": r[3]} for r in rows]]])])
 
-    keyed = at.withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    return keyed.groupBy("shard").applyInArrow(one, "shard bigint, first_slot bigint, stride bigint, id_bytes int, payload binary, slots array<struct<number: bigint, crc32: bigint, n_tokens: bigint>>")
+def shards(at: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, first_slot, stride, id_bytes, payload, and for each slot number, crc32 (of its bytes) and n_tokens.
+
+    at, total: as placed() has them. A partition is a range of slots, in order; a task holds one shard at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            first, _, ids, _, id_bytes = held[0]
+            slots = [{"number": number, "crc32": zlib.crc32(x), "n_tokens": n} for _, number, x, n, _ in held]
+            return common.emit(_SHARDS, [[first // shard_slots], [first], [len(ids)], [id_bytes], [b"".join(r[2] for r in held)], [slots]])
+
+        for row in common.rows(batches, "slot", "number", "ids", "n_tokens", "id_bytes"):
+            if held and held[0][0] // shard_slots != row[0] // shard_slots:
+                yield close()
+                held = []
+            held.append(row)
+        if held:
+            yield close()
+
+    n_shards = max(1, -(-total // shard_slots))
+    each = max(1, min(RANGE_SHARDS, n_shards // int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = common.small_batches(at).repartitionById(-(-n_shards // each), F.floor(F.col("slot") / (shard_slots * each)).cast("int")).sortWithinPartitions("slot")
+    return ranged.mapInArrow(common.tidy(run), "shard bigint, first_slot bigint, stride bigint, id_bytes int, payload binary, slots array<struct<number: bigint, crc32: bigint, n_tokens: bigint>>")
 
 
-def write(shards_: DataFrame, path: str) -> None:
-    """The shards, ordered, through Spark's committer: a lost task leaves nothing half-written."""
-    shards_.write.mode("overwrite").parquet(path)
+_INDEX = pa.schema([(c, pa.int64()) for c in ("shard", "bytes", "stride", "id_bytes", "crc32")])
 
 
-def read_from(spark: SparkSession, path: str, slot: int, shard_slots: int = SHARD_SLOTS) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from a slot on, one shard at a time: what resumes a run that stopped there."""
-    stored = spark.read.parquet(path)
-    last = stored.agg(F.max("shard")).first()[0]
-    for shard in range(slot // shard_slots, (-1 if last is None else last) + 1):
-        r = stored.where(F.col("shard") == shard).select("first_slot", "stride", "id_bytes", "payload").first()
-        for i in range(max(0, slot - r["first_slot"]), len(r["payload"]) // r["stride"]):
-            yield r["first_slot"] + i, np.frombuffer(r["payload"], f"<u{r['id_bytes']}", r["stride"] // r["id_bytes"], i * r["stride"])
+def _file(path: str, shard: int) -> str:
+    return f"{path}/data/shard-{shard:012d}.bin"
+
+
+def write(shards_: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> None:
+    """Raw files of the shards, an index (a Parquet table of them: shard, bytes, stride, id_bytes, crc32) and, last, order.json, without which nothing is there.
+
+    A task renames a file when it is whole; a second attempt at it writes the same bytes. path: an address in a store that driver and
+    executors share. What was written there before goes first.
+    """
+    spark = shards_.sparkSession
+    common.remove(spark, f"{path}/order.json")  # first: from here on nothing is there
+    for old in ("data", "index", "_staged"):
+        common.remove(spark, f"{path}/{old}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, payload, stride, id_bytes in common.rows(batches, "shard", "payload", "stride", "id_bytes"):
+            staged = f"{path}/_staged/{uuid.uuid4().hex}"
+            shared.write(staged, payload)
+            shared.move(staged, _file(path, shard))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "bytes": len(payload), "stride": stride, "id_bytes": id_bytes, "crc32": zlib.crc32(payload)}], schema=_INDEX)
+
+    written = shards_.select("shard", "payload", "stride", "id_bytes").mapInArrow(common.tidy(run), "shard bigint, bytes bigint, stride bigint, id_bytes bigint, crc32 bigint")
+    written.write.parquet(f"{path}/index")
+    of = {c: F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("stride", "id_bytes")}
+    told = spark.read.parquet(f"{path}/index").agg(F.coalesce(F.sum(F.expr("bytes div stride")), F.lit(0)).alias("n_slots"), *of.values()).first()
+    about = told.asDict() | {"shard_slots": shard_slots}
+    shared.write(f"{path}/order.json", json.dumps(about).encode())
+    common.remove(spark, f"{path}/_staged")
+
+
+def read_from(path: str, slot: int, at_once: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from a slot on: what resumes a run that stopped there. Each read is a seek in a shard's file, of at_once slots at most."""
+    about = json.loads(shared.read(f"{path}/order.json"))
+    size, stride = about["shard_slots"], about["stride"]
+    while slot < about["n_slots"]:
+        n = min(at_once, size - slot % size, about["n_slots"] - slot)
+        raw = shared.read_range(_file(path, slot // size), slot % size * stride, n * stride)
+        for i in range(n):
+            yield slot + i, np.frombuffer(raw, f"<u{about['id_bytes']}", stride // about["id_bytes"], i * stride)
+        slot += n

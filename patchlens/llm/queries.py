@@ -111,8 +111,7 @@ def op7_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = order.placed(common.documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
-    slots = order.shards(placed).select("shard", "first_slot", "stride", F.posexplode("slots").alias("i", "s"))
+    slots = order.shards(*order.placed(common.documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))).select("shard", "first_slot", "stride", F.posexplode("slots").alias("i", "s"))
     return slots.select((F.col("first_slot") + F.col("i")).alias("slot"), "shard", (F.col("i") * F.col("stride")).alias("byte_offset"), F.col("s.number").alias("sequence"), F.col("s.n_tokens").alias("n_tokens"), F.col("s.crc32").alias("ids_crc32"))
 
 

@@ -33,7 +33,7 @@ def test_tokens_are_the_library_s(spark):
         got[p.doc_id] += bytes(p.ids)
     want = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
     assert [got[i] for i in range(len(texts))] == want
-    shards = order.shards(order.placed(rows.coalesce(1), VOCAB, length=64), shard_slots=16).collect()
+    shards = order.shards(*order.placed(rows.coalesce(1), VOCAB, length=64), shard_slots=16).collect()
     at = {s.number: bytes(r.payload[k * r.stride: (k + 1) * r.stride]) for r in shards for k, s in enumerate(r.slots)}
     stream = np.frombuffer(b"".join(at[k] for k in range(len(at))), "<u2")
     flat = np.frombuffer(b"".join(want), "<u4")

@@ -191,13 +191,37 @@ def test_permutation():
         assert sorted(p.tolist()) == list(range(n)) and (order.permute(p, n, back=True) == np.arange(n)).all()
 
 
-def test_shards(spark, docs, tmp_path):
-    at = order.shards(order.placed(docs, VOCAB, length=16), shard_slots=8)
-    order.write(at, str(tmp_path / "s"))
-    every = dict(order.read_from(spark, str(tmp_path / "s"), 0, 8))
-    assert list(every) == list(range(len(every))) and all(len(x) == 16 for x in every.values())
-    later = dict(order.read_from(spark, str(tmp_path / "s"), 11, 8))
-    assert list(later) == list(range(11, len(every))) and (later[12] == every[12]).all()
+def test_shards(spark, docs, none, tmp_path):
+    """Raw files of a fixed stride: slot s of a shard's file is at s - first_slot strides, and reading goes on from any slot."""
+    placed, total = order.placed(docs, VOCAB, length=16)
+    want = {r.slot: bytes(r.ids) for r in placed.collect()}
+    assert sorted(want) == list(range(total)) and total > 24
+    path = str(tmp_path / "s")
+    for _ in range(2):  # the second replaces the first
+        order.write(order.shards(placed, total, shard_slots=8), path, shard_slots=8)
+        files = sorted((tmp_path / "s" / "data").iterdir())
+        assert len(files) == -(-total // 8) and b"".join(f.read_bytes() for f in files) == b"".join(want[k] for k in range(total))
+        assert not (tmp_path / "s" / "_staged").exists()
+    with open(files[1], "rb") as f:
+        f.seek(3 * 32)
+        assert f.read(32) == want[11]
+    for slot, at_once in ((0, 64), (11, 3), (total - 1, 1), (total, 1)):
+        got = [(k, ids.tobytes()) for k, ids in order.read_from(path, slot, at_once)]
+        assert got == [(k, want[k]) for k in range(slot, total)]
+    index = spark.read.parquet(path + "/index").collect()
+    assert {r.shard: r.crc32 for r in index} == {i: zlib.crc32(f.read_bytes()) for i, f in enumerate(files)}
+    empty, nothing = order.placed(none, VOCAB, length=16)
+    order.write(order.shards(empty, nothing), str(tmp_path / "e"))
+    assert list(order.read_from(str(tmp_path / "e"), 0)) == []
+
+
+def test_partitions_are_ranges_of_slots(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"))
+    placed, total = order.placed(docs, VOCAB, length=4)
+    rows = order.shards(placed, total, shard_slots=8).select("first_slot", F.size("slots").alias("n"), F.spark_partition_id().alias("p")).collect()
+    at = sorted(rows, key=lambda r: r.first_slot)
+    assert [r.p for r in at] == sorted(r.p for r in at) and len({r.p for r in at}) > 1
+    assert [r.first_slot for r in at] == list(range(0, total, 8)) and sum(r.n for r in at) == total
 
 
 def test_mixing_keeps_all(docs, none):
