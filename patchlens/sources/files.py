@@ -28,13 +28,21 @@ def decoded(content: Column) -> Column:
 
 
 def diff_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """diff_id, name, label (the folder's name), raw: each file is one diff; bytes that aren't UTF-8 become U+FFFD."""
+    """diff_id, name, label (the folder's name), raw: each file is one diff; bytes that aren't UTF-8 become U+FFFD. Spark skips empty files."""
     read = spark.read.option("pathGlobFilter", "*.diff").option("recursiveFileLookup", "true").format("binaryFile").load(paths)
     path = F.col("path")
     named = read.withColumn("raw", decoded(F.col("content"))).select(F.regexp_extract(path, r"([^/]+)\.diff$", 1).alias("name"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("label"), "raw")
     return named.select(F.xxhash64("label", "name").alias("diff_id"), "name", "label", "raw")
 
 
+def labelled_files(spark: SparkSession, root: str) -> DataFrame:
+    """diff_id, name, label, raw of the files `root/label=.../*.diff`, as diff_files has them. A condition on label leaves the other folders unread."""
+    read = spark.read.option("pathGlobFilter", "*.diff").schema("path string, modificationTime timestamp, length bigint, content binary, label string").format("binaryFile").load(root)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.diff$", 1)
+    named = read.select(name.alias("name"), "label", decoded(F.col("content")).alias("raw"))
+    return named.select(F.xxhash64("label", "name").alias("diff_id"), "name", "label", "raw")
+
+
 def diff_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The line table (diff_id, block, line_no, full, text) of diff files of any size, of which no task reads more than a split.
 

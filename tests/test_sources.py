@@ -1,5 +1,6 @@
 """Ledger of replies, reports in few files, git ranges in tasks, and comments over a stream."""
 
+import re
 import collections
 import datetime
 import http.server
@@ -148,3 +149,18 @@ def test_comments_over_a_stream(spark, tmp_path):
     # After a restart: a repeat, a late one, the forge's answer with a newer report, a comment that was there before the first report.
     assert batch(report("a", 1, "first", 5), report("b", 1, "late", 1), ("a", 2, "posted", 9, None, 2), report("a", 2, "y", 3), report("c", 1, "z", 2), report(None, 1, "n", 1)) == [("a", 2, "patch", 9, "y"), ("c", 1, "patch", 77, "z")]
     assert batch(report("a", 2, "late again", 2), report("a", 1, "third", 6)) == [("a", 1, "patch", None, "third")]
+
+
+def test_labelled_folders_are_partitions(spark, tmp_path, capsys):
+    """The rows of diff_files, over folders label=...; a condition on the label is one on partitions. Spark skips empty files in both."""
+    for label, name, raw in [("benign", "a", b"+x\n"), ("benign", "b", b"\xff"), ("malicious", "a", b"+y\n"), ("7", "c", b"+z\n"), ("7", "empty", b"")]:
+        for folder in (tmp_path / "plain" / label, tmp_path / "parted" / f"label={label}"):
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{name}.diff").write_bytes(raw)
+            (folder / "notes.txt").write_bytes(b"no diff")
+    every = files.labelled_files(spark, str(tmp_path / "parted"))
+    assert sorted(every.collect()) == sorted(files.diff_files(spark, str(tmp_path / "plain")).collect()) and every.count() == 4
+    some = every.where("label = 'benign'")
+    assert {(r.name, r.raw) for r in some.collect()} == {("a", "+x\n"), ("b", "\ufffd")}
+    some.explain("formatted")
+    assert re.search(r"PartitionFilters: \[.*label#\d+ = benign", capsys.readouterr().out)
