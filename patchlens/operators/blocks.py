@@ -74,12 +74,15 @@ def located(lines: DataFrame, strict: bool = False) -> DataFrame:
     return carry(lines, states).withColumnRenamed("file_no_all", "n_files")
 
 
+def marked(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """What a review takes from lines, as parse.located has it, and n_files."""
+    told = located(lines, strict).select("*", *parse.metadata_reason())
+    return told.withColumn("kept", parse.needed(F.coalesce("in_hunk", F.lit(False)))).where("kept OR reason IS NOT NULL").drop("in_hunk")
+
+
 def hunk_lines(placed: DataFrame) -> DataFrame:
     """The lines that a reviewer needs, of located() lines: as parse.hunk_lines."""
-    t = F.col("text")
-    header = t.startswith("--- ") | t.startswith("+++ ")
-    content = F.coalesce("in_hunk", F.lit(False)) & F.substring("text", 1, 1).isin("+", "-", " ", "\\")
-    return placed.where(t.startswith("diff --git") | header | t.startswith("@@") | content)
+    return placed.where(parse.needed(F.coalesce("in_hunk", F.lit(False))))
 
 
 def file_lines(kept: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Ranking and first-fit packing of files into chunks of a character budget, as a fold inside Catalyst."""
+"""Ranking and first-fit packing of files into chunks of a character budget."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import columns as C
@@ -12,37 +16,79 @@ from . import parse
 
 
 def ranked(files: DataFrame) -> DataFrame:
-    """Adds priority and rank: by priority, ties in diff order."""
-    scored = files.withColumn("priority", C.priority(F.col("path"), F.col("added")))
+    """Adds priority, unless files have it, and rank: by priority, ties in diff order."""
+    scored = files if "priority" in files.columns else files.withColumn("priority", C.priority(F.col("path"), F.col("added")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("diff_id").orderBy(F.desc("priority"), "file_no")))
 
 
-def first_fit(items: Column, budget: int, max_chunks: int) -> Column:
-    """items: array of struct(rank, file_no, n). An array of file_no, chunk_no (null: overflow) and state.
-
-    An item over the budget has a chunk of its own, which is then closed.
+class Chunks:
+    """Chunks of one diff. A heap of rooms, each node the most that is below it, finds and takes the first place in log(chunks) steps."""
+
+    def __init__(self, budget: int, most: int):
+        self.budget, self.most, self.opened, self.leaves, self.room = budget, most, 0, 1, [-1, -1]
+
+    def _set(self, leaf: int, room: int) -> None:
+        at, rooms = self.leaves + leaf, self.room
+        rooms[at] = room
+        while at > 1:
+            at //= 2
+            rooms[at] = max(rooms[2 * at], rooms[2 * at + 1])
+
+    def _open(self, room: int) -> int | None:
+        if self.opened == self.most:
+            return None
+        if self.opened == self.leaves:  # twice as many, which is n steps for n chunks in all
+            rooms = [-1] * self.leaves * 2 + self.room[self.leaves:] + [-1] * self.leaves
+            self.leaves *= 2
+            for at in range(self.leaves - 1, 0, -1):
+                rooms[at] = max(rooms[2 * at], rooms[2 * at + 1])
+            self.room = rooms
+        self._set(self.opened, room)
+        self.opened += 1
+        return self.opened
+
+    def place(self, n: int) -> tuple[int | None, str]:
+        """The chunk, from 1, of an item of n characters (null: none has room and no more may be opened), and the state that it is in."""
+        if n > self.budget:
+            chunk = self._open(-1)
+            return chunk, "overflow" if chunk is None else "truncated"
+        if self.room[1] < n:
+            chunk = self._open(self.budget - n)
+            return chunk, "overflow" if chunk is None else "packed"
+        at = 1
+        while at < self.leaves:
+            at = 2 * at + (self.room[2 * at] < n)
+        self._set(at - self.leaves, self.room[at] - n)
+        return at - self.leaves + 1, "packed"
+
+
+def first_fit(items: DataFrame, by: str, budget: int, max_chunks: int) -> DataFrame:
+    """items with chunk_no (null: overflow) and state: each goes to the first chunk of its group that has room for its n, in the order of rank.
+
+    An item over the budget has a chunk of its own, which is then closed. A group's items pass through a task in order, and the
+    task holds the rooms of one group's chunks and a batch, however many items there are. So items have numbers and names, not texts.
     """
-    slot = lambda n, chunk, state: F.struct(n.alias("file_no"), chunk.cast("int").alias("chunk_no"), F.lit(state).alias("state"))
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<file_no: bigint, chunk_no: int, state: string>>").alias("placed"))
 
-    def step(acc: Column, item: Column) -> Column:
-        n, file_no, used = item["n"], item["file_no"], acc["used"]
-        free, large = F.size(used) < max_chunks, n > budget
-        fits = F.array_position(F.transform(used, lambda u: u + n <= budget), F.lit(True))
-        into = F.when(large, F.lit(0)).otherwise(fits)
-        grown = F.when(into > 0, F.transform(used, lambda u, i: F.when(i + 1 == into, u + n).otherwise(u))).when(free, F.concat(used, F.array(F.when(large, F.lit(budget + len(P.TRUNCATED))).otherwise(n).cast("bigint")))).otherwise(used)
-        one = F.when(into > 0, slot(file_no, into, "packed")).when(free & large, slot(file_no, F.size(used) + 1, "truncated")).when(free, slot(file_no, F.size(used) + 1, "packed")).otherwise(slot(file_no, F.lit(None), "overflow"))
-        return F.struct(grown.alias("used"), F.concat(acc["placed"], F.array(one)).alias("placed"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, chunks = object(), Chunks(budget, max_chunks)
+        for batch in batches:
+            placed = []
+            for of, n in zip(batch.column(by).to_pylist(), batch.column("n").to_pylist()):
+                if of != group:
+                    group, chunks = of, Chunks(budget, max_chunks)
+                placed.append(chunks.place(n))
+            more = [pa.array([c for c, _ in placed], pa.int32()), pa.array([s for _, s in placed], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "chunk_no", "state"])
 
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["placed"])
+    schema = T.StructType([*items.schema.fields, T.StructField("chunk_no", T.IntegerType()), T.StructField("state", T.StringType())])
+    return items.repartition(by).sortWithinPartitions(by, "rank").mapInArrow(run, schema)
 
 
 def placements(files: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """diff_id, file_no, rank, chunk_no, state. Only lengths are folded; texts stay out of it."""
-    lengths = files.select("diff_id", "rank", F.col("file_no").cast("bigint").alias("file_no"), F.length("file_diff").cast("bigint").alias("n"))
-    packed = lengths.groupBy("diff_id").agg(first_fit(F.collect_list(F.struct("rank", "file_no", "n")), cfg.max_chars, cfg.max_chunks).alias("placed"))
-    out = packed.select("diff_id", F.posexplode("placed").alias("at", "p"))
-    return out.select("diff_id", "p.file_no", (F.col("at") + 1).alias("rank"), "p.chunk_no", "p.state")
+    """diff_id, file_no, path, rank, chunk_no, state of ranked files. Only lengths (n_chars, or file_diff's) are looked at; texts stay out of it."""
+    n = F.col("n_chars") if "n_chars" in files.columns else F.length("file_diff")
+    items = files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path", "rank", n.cast("bigint").alias("n"))
+    return first_fit(items, "diff_id", cfg.max_chars, cfg.max_chunks).drop("n")
 
 
 def truncated(text: Column, budget: int) -> Column:
@@ -50,10 +96,10 @@ def truncated(text: Column, budget: int) -> Column:
 
 
 def chunks(files: DataFrame, placed: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """diff_id, chunk_no, text, paths, n_chars, attempted (false from the deadline's cut on)."""
-    own = placed.where("chunk_no IS NOT NULL").select("diff_id", "file_no", "rank", "chunk_no").join(files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path", "file_diff"), ["diff_id", "file_no"])
+    """diff_id, chunk_no, text, paths, n_chars, attempted (false from the deadline's cut on). A file's text is cut before it goes anywhere."""
+    own = placed.where("chunk_no IS NOT NULL").select("diff_id", "file_no", "path", "rank", "chunk_no")
+    texts = files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), truncated(F.col("file_diff"), cfg.max_chars).alias("part"))
     paths = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"])
-    text = parse.joined(truncated(F.col("file_diff"), cfg.max_chars), "rank")
-    grouped = own.groupBy("diff_id", "chunk_no").agg(text.alias("text"), paths.alias("paths"))
+    grouped = own.join(texts, ["diff_id", "file_no"]).groupBy("diff_id", "chunk_no").agg(parse.joined(F.col("part"), "rank").alias("text"), paths.alias("paths"))
     cut = F.lit(True) if cfg.chunks_before_deadline is None else F.col("chunk_no") <= cfg.chunks_before_deadline
     return grouped.withColumns({"n_chars": F.length("text"), "attempted": cut})

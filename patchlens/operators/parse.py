@@ -39,7 +39,7 @@ def _so_far(by: str = "diff_id"):
     return Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _needed(in_hunk: Column) -> Column:
+def needed(in_hunk: Column) -> Column:
     """Whether a reviewer needs a line: file headers, hunk headers and what follows these up to the next file."""
     t = F.col("text")
     header = t.startswith("--- ") | t.startswith("+++ ")
@@ -59,12 +59,12 @@ def located(all_lines: DataFrame, strict: bool = False) -> DataFrame:
     head = is_header(F.col("text"), strict)
     path = F.last(F.when(head, path_of(F.col("text"), strict)), ignorenulls=True).over(_so_far())
     marked = all_lines.select("*", _in_hunk().alias("in_hunk"), F.sum(head.cast("int")).over(_so_far()).alias("file_no"), path.alias("path"), *metadata_reason())
-    return marked.withColumn("kept", _needed(F.col("in_hunk"))).where("kept OR reason IS NOT NULL").drop("in_hunk")
+    return marked.withColumn("kept", needed(F.col("in_hunk"))).where("kept OR reason IS NOT NULL").drop("in_hunk")
 
 
 def hunk_lines(all_lines: DataFrame) -> DataFrame:
     """The lines that a reviewer needs: file headers, hunk headers and what follows these up to the next file."""
-    return all_lines.withColumn("in_hunk", _in_hunk()).where(_needed(F.col("in_hunk"))).drop("in_hunk")
+    return all_lines.withColumn("in_hunk", _in_hunk()).where(needed(F.col("in_hunk"))).drop("in_hunk")
 
 
 def hunks(kept: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def files(kept: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def files_of(numbered: DataFrame) -> DataFrame:
-    """files() of what file_lines() gives."""
-    headless = F.max("file_no").over(Window.partitionBy("diff_id")) == 0
+    """files() of what file_lines() gives. Where the lines know how many headers their diff has (n_files), no task sees a whole diff."""
+    headless = (F.col("n_files") if "n_files" in numbered.columns else F.max("file_no").over(Window.partitionBy("diff_id"))) == 0
     own = numbered.withColumns({"path": F.when(headless, F.lit("unknown")).otherwise(F.col("path")), "headless": headless}).where("file_no > 0 OR headless")
     added = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C.is_added(F.col("text")), F.struct("line_no", "text")))), lambda s: s["text"]), "\n")
     return own.groupBy("diff_id", "file_no", "path").agg(joined(F.col("full")).alias("file_diff"), added.alias("added"), F.count_if(C.is_added(F.col("text"))).alias("added_lines"))

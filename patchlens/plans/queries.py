@@ -235,9 +235,8 @@ steps AS (
 def r3(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     one = li.groupBy("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber")).agg(F.max("l_returnflag").alias("flag"), F.sum("l_quantity").cast("bigint").alias("n"))
-    ranks = one.select("l_orderkey", F.row_number().over(pack.Window.partitionBy("l_orderkey").orderBy(F.desc("flag"), "l_linenumber")).alias("rank"), F.col("l_linenumber").alias("file_no"), "n")
-    packed = ranks.groupBy("l_orderkey").agg(pack.first_fit(F.collect_list(F.struct("rank", "file_no", "n")), 40, 3).alias("p"))
-    return packed.select("l_orderkey", F.posexplode("p").alias("at", "p")).select("l_orderkey", (F.col("at") + 1).alias("rank"), F.col("p.file_no").alias("l_linenumber"), "p.chunk_no", "p.state")
+    ranks = one.select("l_orderkey", F.row_number().over(pack.Window.partitionBy("l_orderkey").orderBy(F.desc("flag"), "l_linenumber")).alias("rank"), "l_linenumber", "n")
+    return pack.first_fit(ranks, "l_orderkey", 40, 3).drop("n")
 
 
 _PLACED = _pack_sql("SELECT diff_id AS g, rank, file_no AS item, length(file_diff)::BIGINT AS n FROM ranks", CFG.max_chars, CFG.max_chunks, _cte().replace("WITH ", "WITH RECURSIVE ", 1) + ", ")
@@ -454,6 +453,12 @@ def scan_full(spark, d):
     return _by_risk(spark, d).select("diff_id", "verdict", "score", "scored", "truncated", "num_chunks", "files_scanned")
 
 
+@query("scan_blocks", _SCAN)
+def scan_blocks(spark, d):
+    """The same review of line tables, in blocks of 64 lines: no task sees a whole diff."""
+    return _by_risk(spark, d, source=virtual.diffs_in_blocks).select("diff_id", "verdict", "score", "scored", "truncated", "num_chunks", "files_scanned")
+
+
 @query("k1_m1_reports")
 def reports(spark, d):
     scans = _by_risk(spark, d)

@@ -9,40 +9,57 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as C
-from ..operators import classify, pack, parse, reduce, score
+from ..operators import blocks, classify, pack, parse, reduce, score
 from ..sources import shared
 
 NO_HUNKS = "There was no text to review, but metadata (a new executable, a mode or binary content) was flagged for a person."
 NOT_PRODUCED = "The diff could not be produced, so nothing was scanned."
 
 
-def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), narrator: Callable[[DataFrame], DataFrame] | None = None, monitor: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """diffs: diff_id, raw, and if it has one status (null or ok: raw is the diff; else the error that kept it from being made).
-
-    scorer: chunks to replies, see operators.score. Every diff gets a row: an empty one passes with nothing scanned, and one that
-    couldn't be made falls to the fail-safe. Lines, files and placements feed several branches of the plan: each is computed once, when this is
-    called, and is a table in the shared folder from then on, so no executor's loss repeats it. narrator: with cfg.reduce = "llm",
-    from (diff_id, text) to (diff_id, content), a new wording of the reasoning. monitor: gets the alerts() of this review, to write where
-    monitoring reads them.
-    """
+def _lines_of(diffs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """The diffs (diff_id, failed), and their lines as parse.located tells of them."""
+    if "block" in diffs.columns:
+        return diffs.select("diff_id").distinct().withColumn("failed", F.lit(False)), blocks.marked(diffs.select("diff_id", "block", "line_no", "full", "text"), cfg.strict_paths)
     failed = F.coalesce(F.col("status"), F.lit("ok")) != "ok" if "status" in diffs.columns else F.lit(False)
     given = diffs.select("diff_id", failed.alias("failed"), F.when(~failed, F.col("raw")).alias("raw"))
     lines = parse.lines(parse.sanitize(given))
     if cfg.trim_large:
         large = given.where(F.length("raw") > cfg.large_diff_chars).select("diff_id", F.lit(True).alias("large"))
         lines = parse.trim_context(lines.join(large, "diff_id", "left"), only=F.coalesce("large", F.lit(False))).drop("large")
-    placed_lines = shared.cut(parse.located(lines, cfg.strict_paths))
+    return given.select("diff_id", "failed"), parse.located(lines, cfg.strict_paths)
+
+
+def _facts(files: DataFrame, cfg: Config) -> DataFrame:
+    """What a review asks of files, and as much of their texts as a chunk may hold: a character over its budget tells that there was more."""
+    marker = C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"), cfg)
+    facts = {"n_chars": F.length("file_diff").cast("bigint"), "priority": C.priority(F.col("path"), F.col("added")), "marker": marker, "file_diff": F.substring("file_diff", 1, cfg.max_chars + 1)}
+    return files.select("diff_id", "file_no", "path", "added_lines", *(c.alias(n) for n, c in facts.items()))
+
+
+def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config = Config(), narrator: Callable[[DataFrame], DataFrame] | None = None, monitor: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """diffs: diff_id, raw, and if it has one status (null or ok: raw is the diff; else the error that kept it from being made).
+    Or the line table of diffs (diff_id, block, line_no, full, text; see operators.blocks): then a diff may be larger than a task, and
+    a task needs room for one file of it. Line tables aren't trimmed.
+
+    scorer: chunks to replies, see operators.score. Every diff gets a row: an empty one passes with nothing scanned, and one that
+    couldn't be made falls to the fail-safe (a line table has lines of neither). Lines, files, facts about files and placements feed several branches
+    of the plan: each is computed once, when this is called, and is a table in the shared folder from then on, so no executor's loss repeats it.
+    What is decided about files is decided on facts (path, priority, length), and texts of files are cut to a chunk's budget once
+    these are known. narrator: with cfg.reduce = "llm", from (diff_id, text) to (diff_id, content), a new wording of the reasoning.
+    monitor: gets the alerts() of this review, to write where monitoring reads them.
+    """
+    given, marked = _lines_of(diffs, cfg)
+    placed_lines = shared.cut(marked)
     kept = placed_lines.where("kept")
     meta = placed_lines.where("reason IS NOT NULL").select("diff_id", "line_no", F.coalesce("path", F.lit("unknown")).alias("file"), "reason", "binary")
-    fated = shared.cut(classify.fates(parse.files_of(kept)))
+    texts = shared.cut(_facts(parse.files_of(kept), cfg))
+    fated = shared.cut(classify.fates(texts.drop("file_diff")))
     boot = classify.bootstraps(fated, cfg)
     executable = meta.where(F.lower("reason").contains("executable")).select("diff_id", F.col("file").alias("path")).distinct().withColumn("executable", F.lit(True))
     scannable = fated.where("fate = 'scan'").join(boot.select("diff_id", "bootstrap"), "diff_id").join(executable, ["diff_id", "path"], "left")
     scannable = scannable.where(~F.col("bootstrap") | C.is_high_risk(F.col("path")) | F.coalesce("executable", F.lit(False)))
-    ranked = pack.ranked(scannable)
-    named = ranked.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), "path")
-    placed = shared.cut(pack.placements(ranked, cfg).join(named, ["diff_id", "file_no"]))
-    chunks = pack.chunks(ranked, placed, cfg)
+    placed = shared.cut(pack.placements(pack.ranked(scannable), cfg))
+    chunks = pack.chunks(texts, placed, cfg)
     tried = chunks.where("attempted")
     replies = scorer(tried)
     timed_out = replies.where("kind = 'late'").select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no")).distinct().withColumn("timed_out", F.lit(True))
@@ -61,7 +78,7 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     of = lambda state: F.transform(F.array_sort(F.collect_list(F.when(state, F.struct(F.col("late"), F.when(F.col("late"), F.col("chunk_no")).alias("c"), "rank", "path")))), lambda s: s["path"])
     coverage = names.withColumn("late", cut | F.coalesce("timed_out", F.lit(False))).groupBy("diff_id").agg(of((F.col("state") == "overflow") | F.col("late")).alias("overflow"), of(F.col("state") == "truncated").alias("truncated"))
     listed = lambda fate: F.transform(F.array_sort(F.collect_list(F.when(F.col("fate") == fate, F.struct((F.col("built") & (F.col("fate") == "excluded")).alias("b"), "file_no", "path")))), lambda s: s["path"])
-    by_policy = fated.withColumn("built", ~C.is_excluded(F.col("path"))).groupBy("diff_id").agg(listed("excluded").alias("excluded"), listed("lockfile").alias("lockfiles"), F.bool_or(C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"), cfg)).alias("injection"))
+    by_policy = fated.withColumn("built", ~C.is_excluded(F.col("path"))).groupBy("diff_id").agg(listed("excluded").alias("excluded"), listed("lockfile").alias("lockfiles"), F.bool_or("marker").alias("injection"))
     told = meta.groupBy("diff_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("binary"), F.struct("line_no", "file")))), lambda s: s["file"])).alias("binary"), F.bool_or(~F.col("binary")).alias("has_mode"))
     ruled = rules.groupBy("diff_id").agg(F.count("*").alias("n_rules"))
     textual = kept.groupBy("diff_id").agg(F.bool_or(F.length(C.strip(F.col("text"))) > 0).alias("textual"))

@@ -58,6 +58,12 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diffs(spark.sql(FILES))
 
 
+def diffs_in_blocks(spark: SparkSession, sf_dir: str, block_lines: int = 64) -> DataFrame:
+    """The line table of diffs()."""
+    lines = parse.lines(parse.sanitize(diffs(spark, sf_dir)))
+    return lines.select("diff_id", F.floor(F.col("line_no") / block_lines).alias("block"), F.col("line_no").cast("bigint").alias("line_no"), "full", "text")
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     _view(spark, sf_dir, "conversations")
     return _diffs(spark.sql(CHATS.replace("{string}", "string")))

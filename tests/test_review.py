@@ -1,6 +1,7 @@
 """A review's steps on small diffs, with scripted replies."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,14 +105,48 @@ def test_parse_rules(spark):
     assert [r.text for r in parse.lines(spark.createDataFrame([(0, "a\x0cb\r\nc")], "diff_id bigint, clean string")).orderBy("line_no").collect()] == ["a", "b", "c"]
 
 
-def test_pack(spark):
-    def placed(sizes, budget, most):
-        items = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(i).cast("bigint").alias("file_no"), F.lit(n).cast("bigint").alias("n")) for i, n in enumerate(sizes)])
-        return [(r.chunk_no, r.state) for r in spark.range(1).select(pack.first_fit(items, budget, most).alias("p")).first().p]
+def plain_first_fit(sizes, budget, most):
+    """Every chunk is asked in turn."""
+    used, out = [], []
+    for n in sizes:
+        fits = [] if n > budget else [i for i, u in enumerate(used) if u + n <= budget]
+        if fits:
+            used[fits[0]] += n
+            out.append((fits[0] + 1, "packed"))
+        elif len(used) < most:
+            used.append(n if n <= budget else budget + 1)
+            out.append((len(used), "packed" if n <= budget else "truncated"))
+        else:
+            out.append((None, "overflow"))
+    return out
+
 
-    assert placed([50, 50, 50, 50], 120, 8) == [(1, "packed"), (1, "packed"), (2, "packed"), (2, "packed")]
-    assert placed([500, 50], 100, 8) == [(1, "truncated"), (2, "packed")]
-    assert placed([60, 60, 500], 100, 1) == [(1, "packed"), (None, "overflow"), (None, "overflow")]
+def test_pack(spark):
+    known = [([50, 50, 50, 50], 120, 8), ([500, 50], 100, 8), ([60, 60, 500], 100, 1)]
+    assert plain_first_fit(*known[0]) == [(1, "packed"), (1, "packed"), (2, "packed"), (2, "packed")]
+    assert plain_first_fit(*known[1]) == [(1, "truncated"), (2, "packed")]
+    assert plain_first_fit(*known[2]) == [(1, "packed"), (None, "overflow"), (None, "overflow")]
+    r = random.Random(3)
+    for budget, most in ((100, 1), (100, 3), (100, 37), (1, 5)):
+        sizes = {g: [r.choice([0, 1, 30, 60, 99, 100, 101, r.randrange(120)]) for _ in range(r.randrange(1, 400))] for g in range(12)}
+        sizes |= {100 + i: s for i, (s, b, m) in enumerate(known) if (b, m) == (budget, most)}
+        rows = [(g, i + 1, n) for g, of in sizes.items() for i, n in enumerate(of)]
+        r.shuffle(rows)
+        got = pack.first_fit(spark.createDataFrame(rows, "g bigint, rank int, n bigint"), "g", budget, most).orderBy("g", "rank").collect()
+        assert [(x.chunk_no, x.state) for x in got] == [p for g in sorted(sizes) for p in plain_first_fit(sizes[g], budget, most)]
+    assert pack.first_fit(spark.createDataFrame([], "g bigint, rank int, n bigint"), "g", 1, 1).count() == 0
+
+
+def test_pack_of_many_chunks():
+    """Steps grow with the logarithm of the number of chunks: of 100,000 files in 10,000 chunks, each is placed by a walk from the root."""
+    r, chunks = random.Random(4), pack.Chunks(1000, 10_000)
+    sizes = [r.randrange(1, 200) for _ in range(100_000)]
+    placed, used = [chunks.place(n) for n in sizes], {}
+    for (chunk, state), n in zip(placed, sizes):
+        assert state == ("packed" if chunk else "overflow")
+        used[chunk] = used.get(chunk, 0) + n
+    assert chunks.leaves == 16_384 and max(u for c, u in used.items() if c) <= 1000 and sum(c is not None for c in used) == chunks.opened
+    assert placed[:3000] == plain_first_fit(sizes[:3000], 1000, 10_000)
 
 
 @pytest.mark.parametrize("raw,want", [('{"risk_score": 150}', 100), ('{"risk_score": -5}', 0), ('{"risk_score": "85"}', 85), ('{"risk_score": 85.7}', 85), ('so: {"risk_score": 3} ok', 3), ('{"risk_score": "high"}', None), ('{"risk_score": null}', None), ("[1]", None), ("{}", None), ("", None), ('{"risk_score": 1e999}', None)])
