@@ -110,8 +110,17 @@ def files_of(numbered: DataFrame) -> DataFrame:
     """files() of what file_lines() gives. Where the lines know how many headers their diff has (n_files), no task sees a whole diff."""
     headless = (F.col("n_files") if "n_files" in numbered.columns else F.max("file_no").over(Window.partitionBy("diff_id"))) == 0
     own = numbered.withColumns({"path": F.when(headless, F.lit("unknown")).otherwise(F.col("path")), "headless": headless}).where("file_no > 0 OR headless")
-    added = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C.is_added(F.col("text")), F.struct("line_no", "text")))), lambda s: s["text"]), "\n")
-    return own.groupBy("diff_id", "file_no", "path").agg(joined(F.col("full")).alias("file_diff"), added.alias("added"), F.count_if(C.is_added(F.col("text"))).alias("added_lines"))
+    # A line is collected once: its text, and what ends it.
+    own = own.select("diff_id", "file_no", "path", F.struct("line_no", "text", ending().alias("end")).alias("line"), C.is_added(F.col("text")).alias("is_added"))
+    every = F.array_sort(F.collect_list("line"))
+    text = F.array_join(F.transform(every, lambda s: F.concat(s["text"], s["end"])), "")
+    added = F.array_join(F.transform(F.filter(every, lambda s: C.is_added(s["text"])), lambda s: s["text"]), "\n")
+    return own.groupBy("diff_id", "file_no", "path").agg(text.alias("file_diff"), added.alias("added"), F.count_if("is_added").alias("added_lines"))
+
+
+def ending() -> Column:
+    """What ends a line: full is its text and this."""
+    return F.substring("full", F.length("text") + 1, F.length("full"))
 
 
 def added_lines(kept: DataFrame, strict: bool = False) -> DataFrame:

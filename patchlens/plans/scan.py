@@ -17,16 +17,18 @@ NOT_PRODUCED = "The diff could not be produced, so nothing was scanned."
 
 
 def _lines_of(diffs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """The diffs (diff_id, failed), and their lines as parse.located tells of them."""
+    """The diffs (diff_id, failed), and their lines as parse.located tells of them, with `end` in place of `full`, which is text and end: lines move once, not twice."""
     if "block" in diffs.columns:
-        return diffs.select("diff_id").distinct().withColumn("failed", F.lit(False)), blocks.marked(diffs.select("diff_id", "block", "line_no", "full", "text"), cfg.strict_paths)
+        own = diffs.select("diff_id", "block", "line_no", "text", parse.ending().alias("end"))
+        return diffs.select("diff_id").distinct().withColumn("failed", F.lit(False)), blocks.marked(own, cfg.strict_paths)
     failed = F.coalesce(F.col("status"), F.lit("ok")) != "ok" if "status" in diffs.columns else F.lit(False)
     given = diffs.select("diff_id", failed.alias("failed"), F.when(~failed, F.col("raw")).alias("raw"))
     lines = parse.lines(parse.sanitize(given))
     if cfg.trim_large:
         large = given.where(F.length("raw") > cfg.large_diff_chars).select("diff_id", F.lit(True).alias("large"))
         lines = parse.trim_context(lines.join(large, "diff_id", "left"), only=F.coalesce("large", F.lit(False))).drop("large")
-    return given.select("diff_id", "failed"), parse.located(lines, cfg.strict_paths)
+    own = lines.select("diff_id", "line_no", "text", parse.ending().alias("end"))
+    return given.select("diff_id", "failed"), parse.located(own, cfg.strict_paths)
 
 
 def _facts(files: DataFrame, cfg: Config) -> DataFrame:
@@ -50,7 +52,7 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     """
     given, marked = _lines_of(diffs, cfg)
     placed_lines = shared.cut(marked)
-    kept = placed_lines.where("kept")
+    kept = placed_lines.where("kept").withColumn("full", F.concat("text", "end"))
     meta = placed_lines.where("reason IS NOT NULL").select("diff_id", "line_no", F.coalesce("path", F.lit("unknown")).alias("file"), "reason", "binary")
     texts = shared.cut(_facts(parse.files_of(kept), cfg))
     fated = shared.cut(classify.fates(texts.drop("file_diff")))
