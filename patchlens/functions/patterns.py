@@ -34,8 +34,11 @@ HEADER = r"^diff --git a/(.*?) b/(.*?)\s*$"
 # The same, with either path in quotes.
 QUOTED_HEADER = r'''^diff --git (?:"a/((?:[^"\\]|\\.)*+)"|a/(.*?)) (?:"b/((?:[^"\\]|\\.)*+)"|b/(.*?))\s*$'''
 LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+OTHER_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
 ZERO_WIDTH = "​‌‍⁠﻿"
+# A character other than ASCII and the letters of Latin-1, which NFKC never changes, in any order. One by one, as Java then looks each up in a table of bits.
+UNSETTLED = "[^" + "".join(rf"\x{c:02x}" for c in (*range(0x80), *range(0xC0, 0x100))) + "]"
 TRUNCATED = "\n[file truncated]"
 JSON_OBJECT = r"(?s)\{.*\}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def folder(spark: SparkSession) -> str:
     """The folder for checkpoints that the cluster names. Where none is named, one under /tmp if all runs on this machine; else it is an error."""
@@ -23,6 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself. Its session sends at most BATCH_BYTES at once to Python, unless it says itself how many: ten thousand rows, the usual batch, may be hundreds of MB of diffs."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def at(address: str) -> tuple[fs.FileSystem, str]:
     """The store of an address, and the path in it."""
     if address.startswith("file:///"):
