@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlens.functions import patterns as P
-from patchlens.operators import parse
+from patchlens.operators import evaluate, parse
 
 SPACES = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
 def texts(n, pieces, seed):
     rng = random.Random(seed)
@@ -62,3 +65,37 @@ def test_lines_of_odd_texts(spark):
         got[r.diff_id].append((r.full, r.text))
     want = {i: [(x, x.rstrip(SPACES)) for x in re.findall(rf"[^{SPACES}]*(?:\r\n|[{SPACES}])|[^{SPACES}]+", t)] for i, t in enumerate(given)}
     assert got == {i: w for i, w in want.items() if w}
+
+
+def swapped(lines):
+    at = [i for i, x in enumerate(lines) if x.startswith("@@")]
+    if len(at) < 2 or any(x.startswith("diff --git") for x in lines[at[0]:at[1]]):
+        return "".join(lines)
+    end = next((i for i in range(at[1] + 1, len(lines)) if lines[i].startswith(("@@", "diff --git"))), len(lines))
+    return "".join(lines[:at[0]] + lines[at[1]:end] + lines[at[0]:at[1]] + lines[end:])
+
+
+def test_perturbations_of_odd_diffs(spark):
+    given = texts(300, ["diff --git a/x b/x\n", "@@ -1 +1 @@\n", "@@ 2\r\n", "+alpha beta\n", " alpha\n", "-x ", "--- a\n", "\n", "@@"], 3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)] + [(-1, None), (-2, "")], "diff_id int, raw string")
+    cut = {i: re.findall(P.LINE, t) for i, t in enumerate(given)}
+    assert {r.diff_id: r.raw for r in evaluate.reorder(df).collect()} == {i: swapped(x) for i, x in cut.items()}
+    assert {r.diff_id: r.raw for r in evaluate.blank_lines(df).collect()} == {i: "".join(y + "+\n" * y.startswith("@@") for y in x) for i, x in cut.items()}
+    new = {r.diff_id: r.raw for r in evaluate.rename(df).collect()}
+    for i, x in cut.items():
+        word = "alpha" if any(y.startswith("+alpha") for y in x) else None
+        assert new[i] == ("".join(re.sub(r"\balpha\b", "alpha_v2", y) if y[0] in "+- " and not y.startswith("---") else y for y in x) if word else "".join(x))
+    changes = {(r.diff_id, r.perturbation) for r in evaluate.robustness(df, lambda d: d.select("diff_id", F.lit("pass").alias("verdict"))).collect()}
+    assert changes == {(i, "reorder") for i, x in cut.items() if swapped(x) != given[i]} | {(i, "blank-line") for i, x in cut.items() if any(y.startswith("@@") for y in x)} | {(i, "rename") for i in new if new[i] != given[i]}
+
+
+def test_lines_of_a_perturbed_diff_stay_in_its_row(spark):
+    df = spark.createDataFrame([(1, "@@ 1\n+a\n")], "diff_id int, raw string")
+    assert "Generate" not in plan_of(evaluate.blank_lines(df)) + plan_of(evaluate.reorder(df))
+
+
+def test_identifiers_are_counted_without_sorting_what_is_met(spark):
+    lines = spark.createDataFrame([(1, 7, "beta alpha alpha beta"), (2, 1, "class x")], "diff_id bigint, line_no int, line string")
+    best = evaluate.common_identifier(lines)
+    assert "SortAggregate" not in plan_of(best)
+    assert [tuple(r) for r in best.collect()] == [(1, "beta", 2)]
