@@ -18,6 +18,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _SPACE, "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether strip() leaves anything: the first such character tells."""
+    return c.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -83,7 +83,7 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     by_policy = fated.withColumn("built", ~C.is_excluded(F.col("path"))).groupBy("diff_id").agg(listed("excluded").alias("excluded"), listed("lockfile").alias("lockfiles"), F.bool_or("marker").alias("injection"))
     told = meta.groupBy("diff_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("binary"), F.struct("line_no", "file")))), lambda s: s["file"])).alias("binary"), F.bool_or(~F.col("binary")).alias("has_mode"))
     ruled = rules.groupBy("diff_id").agg(F.count("*").alias("n_rules"))
-    textual = kept.groupBy("diff_id").agg(F.bool_or(F.length(C.strip(F.col("text"))) > 0).alias("textual"))
+    textual = kept.groupBy("diff_id").agg(F.bool_or(C.has_text(F.col("text"))).alias("textual"))
 
     every = given.select("diff_id", "failed")
     for more in (results, coverage, by_policy, told, ruled, boot.select("diff_id", "scannable", "bootstrap"), textual):

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from patchlens.functions import columns as C
 from patchlens.functions import patterns as P
 from patchlens.operators import evaluate, parse
 
@@ -99,3 +100,9 @@ def test_identifiers_are_counted_without_sorting_what_is_met(spark):
     best = evaluate.common_identifier(lines)
     assert "SortAggregate" not in plan_of(best)
     assert [tuple(r) for r in best.collect()] == [(1, "beta", 2)]
+
+
+def test_has_text_is_what_strip_leaves(spark):
+    given = texts(200, ["\x1c", " ", "\t", "\x85", " ", "\n", "　"], 5) + texts(50, [" ", "\x1f", "x", "é"], 6) + ["", "​"]
+    df = spark.createDataFrame([(t,) for t in given], "t string").select("t", C.has_text(F.col("t")).alias("some"), (F.length(C.strip(F.col("t"))) > 0).alias("left"))
+    assert all(r.some == r.left for r in df.collect())
