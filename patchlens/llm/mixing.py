@@ -187,13 +187,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | DataFrame | None = None, bl
     row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if c != column])
     keyed = docs.select(row.alias("row"), source.alias("s"), F.pmod(F.shiftright(order, 20), F.lit(buckets)).alias("b"), order.alias("o"), doc_id.alias("id"))
     sizes = keyed.groupBy("s", "b").agg(F.count("*").alias("n"))
-    before = common.cut(sizes.select("s", "b", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before")))
+    before = common.cut(sizes.select("s", "b", "n", (F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).alias("before")))
     slots, horizon = slots_of(spark, {s: weights[s] for s in blocks}, blocks, stretch)
+    # The slots come to the buckets, not the rows to the slots: rows move once, to be ranked.
+    first, last = F.floor(F.col("before") / block_docs), F.floor((F.col("before") + F.col("n") - 1) / block_docs)
+    held = before.select("s", "b", "before", F.explode(F.sequence(first, last)).alias("k")).join(slots, ["s", "k"])
+    placed = held.groupBy("s", "b", "before").agg(F.array_sort(F.collect_list(F.struct("k", "slot", "release", "deadline"))).alias("blocks"))
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("o", "id")) - 1)
     rank = F.col("before") + F.col("r")
-    numbered = ranked.join(before, ["s", "b"]).select("row", "s", F.floor(rank / block_docs).alias("k"), (rank % block_docs).alias("position"))
-    placed = numbered.join(slots, ["s", "k"])
-    return placed.select("row.*", F.struct(F.col("k").alias("block"), "position", "slot", "release", "deadline", (F.col("slot") < horizon).alias("in_mix")).alias(column))
+    block = F.get("blocks", F.floor(rank / block_docs) - first)
+    # One projection, or unused columns of the rows would move as well.
+    told = F.struct(block["k"].alias("block"), (rank % block_docs).alias("position"), block["slot"].alias("slot"), block["release"].alias("release"), block["deadline"].alias("deadline"), (block["slot"] < horizon).alias("in_mix"))
+    return ranked.join(placed, ["s", "b"]).select("row.*", told.alias(column))
 
 
 def ordered(mixed: DataFrame, column: str = "mix") -> DataFrame:

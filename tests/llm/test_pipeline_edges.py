@@ -77,3 +77,23 @@ def test_packing_follows_the_slots(spark, sf_dir):
         parts[p.sequence_id >> 32].append(slot[p.doc_id])
     order = [parts[k] for k in sorted(parts)]
     assert len(order) > 1 and all(max(a) <= min(b) for a, b in zip(order, order[1:]))
+
+
+def test_rows_move_once_to_be_ranked(spark):
+    """Where slots are too many to be broadcast, they go to the rows' buckets; the rows don't move again to meet them."""
+    rows = [(i, text(5), "en", f"s{i % 3}", 0, *EXTRA) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: r.m for r in mixing.mix(docs, column="m").select("doc_id", "m").collect()}
+    keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        mixed = mixing.mix(docs, column="m")
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(mixed._jdf.queryExecution(), "formatted")
+        got = {r.doc_id: r.m for r in mixed.select("doc_id", "m").collect()}
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    nodes = [n for n in plan.split("\n\n") if " Exchange" in n.split("\n")[0]]
+    assert sum("row#" in n or "text#" in n for n in nodes) == 1
+    assert got == want
