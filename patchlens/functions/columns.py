@@ -48,8 +48,16 @@ def unquoted(path: Column) -> Column:
     return F.when(path.contains("\\"), F.make_valid_utf8(bytes_.cast("string"))).otherwise(path)
 
 
+def may_have(text: Column, words: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text has all words of one of these, in any case, or a letter that isn't ASCII and matches one of a to z. If it hasn't, no
+    pattern of them matches; that takes a fifth of the pattern's time."""
+    has = lambda low: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(w) for w in every]) for every in words])
+    folded = reduce(lambda a, b: a | b, [text.contains(c) for c in P.FOLDED])
+    return folded | F.exists(F.array(F.lower(text)), has)  # one value: lower case is made once
+
+
 def is_injection(text: Column) -> Column:
-    return text.rlike(P.INJECTION)
+    return may_have(text, P.INJECTION_WORDS) & text.rlike(P.INJECTION)
 
 
 def is_exempt(path: Column, cfg: Config = Config()) -> Column:
@@ -87,7 +95,8 @@ def is_added(line: Column) -> Column:
 
 
 def keywords(added: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(added, F.lit(P.KEYWORD), F.lit(0)), F.lower))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(added, F.lit(P.KEYWORD), F.lit(0)), F.lower))
+    return F.when(~may_have(added, P.KEYWORD_WORDS), F.array().cast("array<string>")).otherwise(found)
 
 
 def priority(path: Column, added: Column) -> Column:

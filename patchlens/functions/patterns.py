@@ -2,10 +2,15 @@
 
 # Markers of text that is aimed at the reviewer.
 INJECTION = r"(?iu)(ignore\s+(all\s+)?(previous|prior)\s+instructions|you\s+are\s+now|disregard\s+the\s+above|risk[_\s]?score\s*(=|:|to)\s*0|pre-?approved|reviewer[-\s]?bot|system\s*:)"
+# What a text must have, in lower case, for a marker to be in it: all words of one of these.
+INJECTION_WORDS = (("disregard", "above"), ("reviewer", "bot"), ("approved",), ("ignore", "instructions"), ("system",), ("risk", "score"), ("now", "you", "are"))
 EXEMPT_PATH = r"(?iu)(^|/)(samples|tests|fixtures|testdata|prompts)/"
 # Where to look first.
 HIGH_RISK_PATH = r"(?iu)(\.github/workflows/|(^|/)Dockerfile|\.sh$|(^|/)package\.json$|(^|/)requirements\.txt$|(^|/)go\.mod$|\.ya?ml$)"
 KEYWORD = r"(?iu)(eval|exec|base64|subprocess|os\.system|urllib|requests|socket|token|secret|password|curl)"
+KEYWORD_WORDS = tuple((w.replace("\\.", "."),) for w in KEYWORD.removeprefix("(?iu)(").removesuffix(")").split("|"))
+# Letters beyond ASCII that a pattern without case, as Unicode has it, takes for one of a to z: i twice, s and k.
+FOLDED = "\u0130\u0131\u017f\u212a"
 # What isn't reviewed by policy, and build output.
 EXCLUDED_PATH = r"(?iu)(^|/)(node_modules|vendor|third_party|\.venv|__pycache__|__snapshots__|testdata|\.terraform|Pods)/|\.min\.js$|\.min\.css$|\.js\.map$|\.snap$|\.log$|_pb2\.py$|\.pb\.go$|\.generated\."
 BUILD_PATH = r"(?iu)(^|/)(dist|build|out|target)/"

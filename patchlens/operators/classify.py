@@ -56,7 +56,8 @@ def lock_events(added: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def manifests(spark) -> DataFrame:
-    return spark.createDataFrame(list(P.MANIFESTS.items()), "base string, manifest string")
+    named = F.create_map(*[F.lit(x) for kv in P.MANIFESTS.items() for x in kv])
+    return spark.range(0, 1, 1, 1).select(F.explode(named).alias("base", "manifest"))  # no list, which Python's workers would read
 
 
 def locks_without_manifest(files: DataFrame) -> DataFrame:

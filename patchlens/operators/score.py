@@ -91,7 +91,8 @@ def rules(score: Column) -> Callable[[DataFrame], DataFrame]:
 
     def run(chunks: DataFrame) -> DataFrame:
         reply = F.to_json(F.named_struct(F.lit("risk_score"), score, F.lit("reasoning"), F.lit("")))
-        return chunks.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.explode(F.array(F.lit(1), F.lit(2))).alias("look"), F.lit(1).alias("call_no"), F.lit("ok").alias("kind"), reply.alias("content"))
+        told = chunks.select("diff_id", F.col("chunk_no").cast("int").alias("chunk_no"), reply.alias("content"))  # once, for both looks
+        return told.select("diff_id", "chunk_no", F.explode(F.array(F.lit(1), F.lit(2))).alias("look"), F.lit(1).alias("call_no"), F.lit("ok").alias("kind"), "content")
 
     return run
 
