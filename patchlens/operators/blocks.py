@@ -53,12 +53,13 @@ def carry(lines: DataFrame, states: dict[str, State], order: str = "line_no", by
 
     blocks = lines.groupBy(by, "block").agg(*(_folded(kind, value, order).alias(name) for name, (kind, value) in states.items()))
     blocks = blocks.withColumn("stretch", F.floor(F.col("block") / FANOUT))
+    # Every stretch has its row above; a left join says nothing of the blocks' keys, so both branches fold the same lines, and do so once.
     stretches = blocks.groupBy(by, "stretch").agg(*(_folded(kind, F.col(n), "block").alias(n) for n, kind in kinds.items()))
     over_diff = Window.partitionBy(by).orderBy("stretch").rowsBetween(*before)
     above = stretches.select(by, "stretch", *(_over(kind, F.col(n), over_diff).alias(f"{n}_above") for n, kind in kinds.items()), *(F.sum(n).over(Window.partitionBy(by)).alias(f"{n}_all") for n in sums))
     over_stretch = Window.partitionBy(by, "stretch").orderBy("block").rowsBetween(*before)
     within = blocks.select(by, "stretch", "block", *(_over(kind, F.col(n), over_stretch).alias(n) for n, kind in kinds.items()))
-    handed = within.join(above, [by, "stretch"]).select(by, "block", *(_after(kind, F.col(f"{n}_above"), F.col(n)).alias(f"{n}_before") for n, kind in kinds.items()), *(f"{n}_all" for n in sums))
+    handed = within.join(above, [by, "stretch"], "left").select(by, "block", *(_after(kind, F.col(f"{n}_above"), F.col(n)).alias(f"{n}_before") for n, kind in kinds.items()), *(f"{n}_all" for n in sums))
 
     over_block = Window.partitionBy(by, "block").orderBy(order).rowsBetween(*sofar)
     local = lines.select("*", *(_over(kind, value, over_block).alias(f"{n}_own") for n, (kind, value) in states.items()))

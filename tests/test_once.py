@@ -1,4 +1,4 @@
-"""Reviews do their work once: patterns only where their words are, a score for both looks."""
+"""Reviews do their work once: patterns only where their words are, a score for both looks, folds of blocks."""
 
 import random
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import columns as C
 from patchlens.functions import patterns as P
-from patchlens.operators import classify, score
+from patchlens.operators import blocks, classify, score
 
 
 def plan_of(df):
@@ -50,3 +50,14 @@ def test_manifests_are_no_list_of_pythons(spark):
     named = classify.manifests(spark)
     assert "ExistingRDD" not in plan_of(named)
     assert {tuple(r) for r in named.collect()} == set(P.MANIFESTS.items())
+
+
+
+def test_blocks_are_folded_once(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")  # else reuse shows when it has run
+    rows = [(d, b, b * 10 + i, "x\n", "@@" if i == d else "+x") for d in (1, 2) for b in range(3) for i in range(3)]
+    own.createDataFrame(rows, "diff_id bigint, block bigint, line_no bigint, full string, text string").write.parquet(str(tmp_path / "lines"))
+    lines = own.read.parquet(str(tmp_path / "lines"))
+    for kept in (blocks.hunk_lines(blocks.located(lines)), blocks.hunk_lines(blocks.located(lines.withColumn("diff_id", F.lit(1).cast("bigint"))))):
+        assert plan_of(kept).count("FileScan") == 2  # lines, and their folds
