@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions import columns as C
 from ..functions import patterns as P
 from ..operators import blocks, classify, evaluate, pack, parse, reduce, render, score
-from ..sources import generators, virtual
+from ..sources import generators, shared, virtual
 from . import scan as plans
 
 CFG = Config(max_chars=6000, max_chunks=3)
@@ -244,8 +244,9 @@ _PLACED = _pack_sql("SELECT diff_id AS g, rank, file_no AS item, length(file_dif
 
 @query("r4_chunks", _PLACED + f"SELECT diff_id, s.chunk_no, md5(string_agg(CASE WHEN length(file_diff) > {CFG.max_chars} THEN substr(file_diff, 1, {CFG.max_chars}) || chr(10) || '[file truncated]' ELSE file_diff END, '' ORDER BY s.rank)) AS text_md5, string_agg(path, ',' ORDER BY s.rank) AS paths FROM steps s JOIN ranks r ON r.diff_id = s.g AND r.rank = s.rank WHERE s.chunk_no IS NOT NULL GROUP BY ALL")
 def r4(spark, d):
-    ranked = pack.ranked(classify.fates(_files(spark, d)).where("fate = 'scan'"))
-    return pack.chunks(ranked, pack.placements(ranked, CFG), CFG).select("diff_id", "chunk_no", _md5(F.col("text")).alias("text_md5"), F.array_join("paths", ",").alias("paths"))
+    texts = shared.cut(plans.facts_of(_files(spark, d), CFG).select("diff_id", "file_no", "path", "n_chars", "priority", "file_diff"))  # for two branches
+    ranked = pack.ranked(classify.fates(texts.drop("file_diff")).where("fate = 'scan'"))
+    return pack.chunks(texts, pack.placements(ranked, CFG), CFG).select("diff_id", "chunk_no", _md5(F.col("text")).alias("text_md5"), F.array_join("paths", ",").alias("paths"))
 
 
 #: Replies made of events: six events of a user are the three calls of the two looks at a chunk; a kind of event stands for a service error.

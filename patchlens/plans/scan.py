@@ -31,7 +31,7 @@ def _lines_of(diffs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     return given.select("diff_id", "failed"), parse.located(own, cfg.strict_paths)
 
 
-def _facts(files: DataFrame, cfg: Config) -> DataFrame:
+def facts_of(files: DataFrame, cfg: Config) -> DataFrame:
     """What a review asks of files, and as much of their texts as a chunk may hold: a character over its budget tells that there was more."""
     marker = C.is_injection(F.col("file_diff")) & ~C.is_exempt(F.col("path"), cfg)
     facts = {"n_chars": F.length("file_diff").cast("bigint"), "priority": C.priority(F.col("path"), F.col("added")), "marker": marker, "file_diff": F.substring("file_diff", 1, cfg.max_chars + 1)}
@@ -54,7 +54,7 @@ def scan(diffs: DataFrame, scorer: Callable[[DataFrame], DataFrame], cfg: Config
     placed_lines = shared.cut(marked)
     kept = placed_lines.where("kept").withColumn("full", F.concat("text", "end"))
     meta = placed_lines.where("reason IS NOT NULL").select("diff_id", "line_no", F.coalesce("path", F.lit("unknown")).alias("file"), "reason", "binary")
-    texts = shared.cut(_facts(parse.files_of(kept), cfg))
+    texts = shared.cut(facts_of(parse.files_of(kept), cfg))
     fated = shared.cut(classify.fates(texts.drop("file_diff")))
     boot = classify.bootstraps(fated, cfg)
     executable = meta.where(F.lower("reason").contains("executable")).select("diff_id", F.col("file").alias("path")).distinct().withColumn("executable", F.lit(True))

@@ -1,4 +1,4 @@
-"""Reviews do their work once: patterns only where their words are, a score for both looks, folds of blocks."""
+"""Reviews do their work once: patterns only where their words are, a score for both looks, folds of blocks, texts of chunks."""
 
 import random
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from patchlens.functions import columns as C
 from patchlens.functions import patterns as P
 from patchlens.operators import blocks, classify, score
+from patchlens.plans import queries
 
 
 def plan_of(df):
@@ -52,6 +53,13 @@ def test_manifests_are_no_list_of_pythons(spark):
     assert {tuple(r) for r in named.collect()} == set(P.MANIFESTS.items())
 
 
+def test_chunks_take_their_files_from_one_pass(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("token\n"), F.repeat(F.lit("x y\n"), (F.col("id") * 90).cast("int"))).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["r4_chunks"](spark, str(tmp_path))
+    assert "FileScan" not in plan_of(got)  # files are a table when chunks are asked for
+    assert got.count() > 4
+
 
 def test_blocks_are_folded_once(spark, tmp_path):
     own = spark.newSession()
