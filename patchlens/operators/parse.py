@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +18,10 @@ from ..functions import patterns as P
 from ..sources import shared
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    each = (t.as_py() for t in texts)  # one at a time; pandas, besides what it takes itself, holds a batch as strings twice
+    return pa.array((None if t is None else unicodedata.normalize("NFKC", t) for t in each), pa.string(), size=len(texts))
 
 
 def sanitize(diffs: DataFrame, column: str = "raw") -> DataFrame:
