@@ -44,6 +44,14 @@ LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
 ZERO_WIDTH = "​‌‍⁠﻿"
 # A character other than ASCII and the letters of Latin-1, which NFKC never changes, in any order. One by one, as Java then looks each up in a table of bits.
 UNSETTLED = "[^" + "".join(rf"\x{c:02x}" for c in (*range(0x80), *range(0xC0, 0x100))) + "]"
+# Ranges beyond Latin-1 that NFKC never changes either, in any order: letters, punctuation, arrows, Kana, Han, Hangul, emoji.
+STABLE = (
+    ((0x100, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x388, 0x38A), (0x38E, 0x3A1), (0x3A3, 0x3CF), (0x400, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA), (0x620, 0x64A))
+    + ((0x2012, 0x2016), (0x2018, 0x2023), (0x2030, 0x2032), (0x2039, 0x203B), (0x20A9, 0x20BF), (0x2190, 0x222B), (0x2231, 0x2328), (0x2500, 0x27BF))
+    + ((0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FE), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFE0E, 0xFE0F), (0x1F300, 0x1F64F), (0x1F680, 0x1F6C5), (0x1F900, 0x1F9FF))
+)
+# A character that is in neither. Looked at first is whether it is beyond Latin-1, as ranges are compared one by one.
+CHANGING = f"(?={UNSETTLED})[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in STABLE) + "]"
 TRUNCATED = "\n[file truncated]"
 JSON_OBJECT = r"(?s)\{.*\}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"

@@ -26,8 +26,9 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 
 def sanitize(diffs: DataFrame, column: str = "raw") -> DataFrame:
     """Adds `clean`: compatibility characters composed, zero-width ones deleted. Only texts with characters that this may change go to Python, a few MB at once."""
-    beyond = F.when(F.col(column).rlike(P.UNSETTLED), F.col(column))
-    return shared.small_batches(diffs).withColumn("clean", F.coalesce(F.translate(_nfkc(beyond), P.ZERO_WIDTH, ""), F.col(column)))
+    text = F.col(column)
+    beyond = F.when(text.rlike(P.UNSETTLED) & text.rlike(P.CHANGING), text)  # the first is quick, and tells of most texts
+    return shared.small_batches(diffs).withColumn("clean", F.coalesce(F.translate(_nfkc(beyond), P.ZERO_WIDTH, ""), text))
 
 
 def lines(diffs: DataFrame, column: str = "clean") -> DataFrame:
