@@ -39,8 +39,15 @@ HEADER = r"^diff --git a/(.*?) b/(.*?)\s*$"
 # The same, with either path in quotes.
 QUOTED_HEADER = r'''^diff --git (?:"a/((?:[^"\\]|\\.)*+)"|a/(.*?)) (?:"b/((?:[^"\\]|\\.)*+)"|b/(.*?))\s*$'''
 LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-OTHER_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: The same as characters.
+ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# Line ends other than line feeds: those of Latin-1, which Java looks up in a table of bits, and the others.
+OTHER_LINE_END, OTHER_LINE_ENDS = r"[\r\x0b\x0c\x1c\x1d\x1e\x85]", ("\u2028", "\u2029")
 LINE = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
+# The place behind a line's end, a file's header as HEADER has it, where a file begins, and where a hunk begins or ends. Letters are looked at first, as most places have others.
+LINE_START = rf"(?<=[{LINE_ENDS}])"
+FILE_START = rf"diff --git a/[^{LINE_ENDS}]*? b/"
+FILE_CUT, HUNK_CUT = rf"(?=diff --git){LINE_START}(?={FILE_START})", rf"(?=[d@]){LINE_START}(?=diff --git|@@)"
 ZERO_WIDTH = "​‌‍⁠﻿"
 # A character other than ASCII and the letters of Latin-1, which NFKC never changes, in any order. One by one, as Java then looks each up in a table of bits.
 UNSETTLED = "[^" + "".join(rf"\x{c:02x}" for c in (*range(0x80), *range(0xC0, 0x100))) + "]"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -16,10 +16,14 @@ FOREIGN_HOST = "Lockfile resolves a dependency from the non-canonical host `%s`.
 OFF_REGISTRY = "Lockfile takes a dependency from a local path or a repository instead of a registry: %s"
 
 
+def by_path(path: Column) -> Column:
+    """What a path alone tells of a file's fate: lockfile, excluded, build (by the other files, excluded or finding) or scan."""
+    return F.when(C.is_lockfile(path), "lockfile").when(C.is_excluded(path), "excluded").when(C.is_build_output(path), "build").otherwise("scan")
+
+
 def fates(files: DataFrame) -> DataFrame:
     """Adds fate: lockfile, excluded, finding (build output that changed alone) or scan."""
-    path = F.col("path")
-    first = F.when(C.is_lockfile(path), "lockfile").when(C.is_excluded(path), "excluded").when(C.is_build_output(path), "build").otherwise("scan")
+    first = by_path(F.col("path"))
     scanned = F.max(F.col("first") == "scan").over(Window.partitionBy("diff_id"))
     return files.withColumn("first", first).withColumn("fate", F.when(F.col("first") != "build", F.col("first")).when(scanned, "excluded").otherwise("finding")).drop("first")
 

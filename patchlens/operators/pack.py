@@ -96,10 +96,14 @@ def truncated(text: Column, budget: int) -> Column:
 
 
 def chunks(files: DataFrame, placed: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """diff_id, chunk_no, text, paths, n_chars, attempted (false from the deadline's cut on). A file's text is cut before it goes anywhere."""
+    """diff_id, chunk_no, text, paths, n_chars, attempted (false from the deadline's cut on). A file's text is cut before it goes anywhere,
+    and goes once, to its diff: there it meets its place (as a group, since a join by file would move it again), and its chunk is put together.
+    """
     own = placed.where("chunk_no IS NOT NULL").select("diff_id", "file_no", "path", "rank", "chunk_no")
-    texts = files.select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), truncated(F.col("file_diff"), cfg.max_chars).alias("part"))
+    texts = files.where("file_diff IS NOT NULL").select("diff_id", F.col("file_no").cast("bigint").alias("file_no"), truncated(F.col("file_diff"), cfg.max_chars).alias("part"), F.lit(True).alias("there"))  # or who asks for paths alone moves texts, too
+    met = own.unionByName(texts, allowMissingColumns=True).repartition("diff_id").groupBy("diff_id", "file_no")
+    whole = met.agg(*(F.max(c).alias(c) for c in ("path", "rank", "chunk_no", "part", "there"))).where("chunk_no IS NOT NULL AND there")
     paths = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"])
-    grouped = own.join(texts, ["diff_id", "file_no"]).groupBy("diff_id", "chunk_no").agg(parse.joined(F.col("part"), "rank").alias("text"), paths.alias("paths"))
+    grouped = whole.groupBy("diff_id", "chunk_no").agg(parse.joined(F.col("part"), "rank").alias("text"), paths.alias("paths"))
     cut = F.lit(True) if cfg.chunks_before_deadline is None else F.col("chunk_no") <= cfg.chunks_before_deadline
     return grouped.withColumns({"n_chars": F.length("text"), "attempted": cut})

@@ -7,6 +7,7 @@ review group by diff_id too, so one exchange by diff_id serves them.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +37,7 @@ def lines(diffs: DataFrame, column: str = "clean") -> DataFrame:
 
     A text whose only terminators are line feeds is split at these, which takes a tenth of the pattern's time.
     """
-    other = F.col(column).rlike(P.OTHER_LINE_END)
+    other = other_ends(F.col(column))
     parts = F.when(other, F.regexp_extract_all(F.col(column), F.lit(P.LINE), F.lit(0))).otherwise(F.split(F.col(column), "\n"))
     cut = diffs.select("diff_id", parts.alias("parts"), other.alias("other"))
     each = cut.select("diff_id", "other", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("line_no", "part"))  # outer, or the plan makes parts once more to look for empty ones
@@ -47,20 +48,25 @@ def lines(diffs: DataFrame, column: str = "clean") -> DataFrame:
     return each.select("diff_id", "line_no", full.alias("full"), text.alias("text"))
 
 
-def full_lines(text: Column) -> Column:
-    """The lines of a text with their terminators, as an array; an empty text may be behind the last."""
-    return F.when(text.rlike(P.OTHER_LINE_END), F.regexp_extract_all(text, F.lit(P.LINE), F.lit(0))).otherwise(F.split(text, r"(?<=\n)"))
+def other_ends(text: Column) -> Column:
+    """Whether a text has terminators other than line feeds."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in P.OTHER_LINE_ENDS], text.rlike(P.OTHER_LINE_END))
+
+
+def full_lines(text: Column, other: Column | None = None) -> Column:
+    """The lines of a text with their terminators, as an array; an empty text may be behind the last. other: other_ends(), if it is known."""
+    return F.when(other_ends(text) if other is None else other, F.regexp_extract_all(text, F.lit(P.LINE), F.lit(0))).otherwise(F.split(text, r"(?<=\n)"))
 
 
 def _so_far(by: str = "diff_id"):
     return Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def needed(in_hunk: Column) -> Column:
+def needed(in_hunk: Column, text: Column | None = None) -> Column:
     """Whether a reviewer needs a line: file headers, hunk headers and what follows these up to the next file."""
-    t = F.col("text")
+    t = F.col("text") if text is None else text
     header = t.startswith("--- ") | t.startswith("+++ ")
-    return t.startswith("diff --git") | header | t.startswith("@@") | (in_hunk & F.substring("text", 1, 1).isin("+", "-", " ", "\\"))
+    return t.startswith("diff --git") | header | t.startswith("@@") | (in_hunk & F.substring(t, 1, 1).isin("+", "-", " ", "\\"))
 
 
 def _in_hunk() -> Column:
@@ -135,6 +141,45 @@ def files_of(numbered: DataFrame) -> DataFrame:
     return own.groupBy("diff_id", "file_no", "path").agg(text.alias("file_diff"), added.alias("added"), F.count_if("is_added").alias("added_lines"))
 
 
+def _bare(line: Column) -> Column:
+    """A line without its terminator."""
+    return F.rtrim(line, F.lit(P.ENDS))
+
+
+def files_in_rows(diffs: DataFrame, column: str = "clean") -> DataFrame:
+    """What located() and files_of() tell of lines(), by functions of a diff's row: no row for a line, no window, and nothing moves.
+
+    A row for each file, one for what is before the first, and at least one for a diff; other columns of diffs stay. at is 0 in the first
+    row of a diff; is_file: whether files() has it; path, file_diff, added, added_lines: as there; told: line_no, reason, binary of its lines;
+    locked: line_no, line of the added lines of a lockfile that a rule may be about. Paths in quotes begin no file.
+    """
+    rest = [c for c in diffs.columns if c not in ("diff_id", "raw", column)]
+    split = diffs.select("diff_id", *rest, other_ends(F.col(column)).alias("other"), F.split(F.col(column), P.FILE_CUT).alias("parts"))
+    headed = F.coalesce(F.col("parts")[0].rlike(rf"\A{P.FILE_START}"), F.lit(False))
+    each = split.select("diff_id", *rest, "other", headed.alias("headed"), F.size("parts").alias("n"), F.posexplode_outer("parts").alias("at", "part"))
+    each = each.withColumns({"at": F.coalesce("at", F.lit(0)), "file_no": (F.coalesce("at", F.lit(0)) + F.col("headed").cast("int")).cast("bigint")})
+    path = F.when(F.col("file_no") > 0, path_of(F.regexp_extract("part", rf"^[^{P.LINE_ENDS}]*", 0))).otherwise("unknown")
+    # A piece begins with a file's header or a hunk's, so all of it is in a hunk or none is.
+    own = lambda piece: F.filter(full_lines(piece, F.col("other")), lambda x: needed(piece.startswith("@@"), x))
+    each = each.withColumns({"path": path, "kept": F.flatten(F.transform(F.split("part", P.HUNK_CUT), own))})
+
+    number = lambda i: F.col("at").cast("bigint") * F.lit(1 << 32) + i
+    words = ("new file mode ", "new mode ", "Binary files ", "GIT binary patch")
+    some = lambda found: reduce(lambda a, b: a | b, [found(w) for w in words])
+    marked = F.filter(F.transform(full_lines(F.col("part"), F.col("other")), lambda x, i: F.struct(number(i).alias("line_no"), x.alias("x"))), lambda s: some(s["x"].startswith))
+    reasons = F.filter(F.transform(marked, lambda s: F.struct(s["line_no"].alias("line_no"), *metadata_reason(_bare(s["x"])))), lambda s: s["reason"].isNotNull())
+    told = F.when(some(F.col("part").contains), reasons)
+    ruled = lambda s: C.is_added(s["line"]) & (s["line"].rlike(P.URL) | C.is_off_registry(s["line"]))
+    numbered = F.filter(F.transform("kept", lambda x, i: F.struct(number(i).alias("line_no"), _bare(x).alias("line"))), ruled)
+    locked = F.when(C.is_lockfile(F.col("path")), F.transform(numbered, lambda s: F.struct(s["line_no"].alias("line_no"), s["line"].substr(F.lit(2), F.length(s["line"])).alias("line"))))
+    plus = F.filter("kept", C.is_added)
+    is_file = (F.col("file_no") > 0) | (~F.col("headed") & (F.col("n") == 1) & (F.size("kept") > 0))
+    return each.select(
+        "diff_id", *rest, "at", "file_no", "path", F.coalesce(is_file, F.lit(False)).alias("is_file"), F.array_join("kept", "").alias("file_diff"),
+        F.array_join(F.transform(plus, _bare), "\n").alias("added"), F.size(plus).cast("bigint").alias("added_lines"), told.alias("told"), locked.alias("locked"),
+    )
+
+
 def ending() -> Column:
     """What ends a line: full is its text and this."""
     return F.substring("full", F.length("text") + 1, F.length("full"))
@@ -155,9 +200,10 @@ MADE_EXECUTABLE = "File mode changed to executable (100755) without a change of
 BINARY = "Binary content changed; its bytes can't be reviewed as text."
 
 
-def metadata_reason() -> tuple[Column, Column]:
+def metadata_reason(text: Column | None = None) -> tuple[Column, Column]:
     """What a line's text tells as metadata: reason (null: nothing) and binary."""
-    t, end = F.col("text"), F.regexp_replace("text", r"(?U)\s+\z", "")
+    t = F.col("text") if text is None else text
+    end = F.regexp_replace(t, r"(?U)\s+\z", "")
     binary = t.startswith("Binary files ") | t.startswith("GIT binary patch")
     reason = F.when(t.startswith("new file mode ") & end.endswith("755"), NEW_EXECUTABLE).when(t.startswith("new mode ") & end.endswith("755"), MADE_EXECUTABLE).when(binary, BINARY)
     return reason.alias("reason"), binary.alias("binary")

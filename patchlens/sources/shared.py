@@ -20,9 +20,17 @@ def folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a leaf of later plans, computed once and written to the shared folder, where it outlives executors."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a leaf of later plans, computed once and written to the shared folder, where it outlives executors. What was shuffled for it goes
+    when it is written, not when the driver happens to collect its garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        own = df.select("*")  # a plan takes its settings when it is made
+    finally:
+        spark.conf.set(key, before)
+    return own.checkpoint(eager=True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
